@@ -3,8 +3,9 @@
 A document's set holds the 64-bit hashes of its distinct word shingles. One hash per shingle fills BINS bins (a bin keeps
 its least value; empty bins borrow from bins that a fixed random sequence names). Bands of ROWS bins make bucket keys.
 In each bucket the member that meets most others over all buckets is the centre, and only centre-member pairs become
-candidates. Every candidate is confirmed on the full sets. Members that a centre didn't reach are paired again, across
-the components found so far, until a round links nothing new; so a bucket's stars bound the pairs without losing links.
+candidates. Every candidate is confirmed on the full sets. Buckets whose members are still in several components get one
+more star, and what is then apart is joined exactly, by a prefix filter across components; so stars bound the pairs
+without losing links.
 """
 
 from __future__ import annotations
@@ -20,10 +21,8 @@ from pyspark.sql import functions as F
 from airgate.llm.common import components, mix, slices, written
 
 BINS, ROWS = 128, 4
-#: Buckets up to this size have all their cross-component pairs checked at once; larger ones first get more stars.
-SMALL_BUCKET = 32
-#: Rounds of further stars before the pairs that are left are all checked.
-STAR_ROUNDS = 3
+#: Hashed shingles whose counts order the prefixes of the exact join: bits of the hash, and how many counts are kept.
+HEAVY_BITS, HEAVY = 22, 1 << 15
 
 _SALT = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _PROBE = np.random.default_rng(20).integers(0, BINS, size=(BINS, 1024))
@@ -124,6 +123,31 @@ def _full_sets(n: int):
     return run
 
 
+def _prefixes(heavy: dict[int, int], of: int, least: int):
+    schema = pa.schema([("sid", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("s", pa.int64())])
+
+    def run(batches):
+        spots = np.array(sorted(heavy), np.int64)
+        counts = np.array([heavy[x] for x in spots.tolist()], np.int64)
+        for part in slices(batches):
+            columns: list[list] = [[], [], [], []]
+            for sid, root, shingles in zip(*(part.column(c).to_pylist() for c in ("sid", "root", "shingles")), strict=True):
+                s = np.array(shingles, np.int64)
+                own = (s.view(np.uint64) >> np.uint64(64 - HEAVY_BITS)).astype(np.int64)
+                weight = np.zeros(len(s), np.int64)
+                if len(spots):
+                    at = np.minimum(np.searchsorted(spots, own), len(spots) - 1)
+                    weight = np.where(spots[at] == own, counts[at], 0)
+                first = s[np.lexsort((s, weight))][: len(s) + (-len(s) * least) // of + 1]
+                columns[0] += [sid] * len(first)
+                columns[1] += [root] * len(first)
+                columns[2] += [len(s)] * len(first)
+                columns[3] += first.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+
+    return run
+
+
 class _Sets:
     """Full shingle sets, computed only for the documents that stand in a candidate pair."""
 
@@ -137,6 +161,27 @@ class _Sets:
         asked = self.docs.select("doc_id", "text").join(one, "doc_id").select("sid", "text")
         self.known = written(asked.mapInArrow(_full_sets(self.n), "sid long, shingles array<long>"))
 
+    def sharing(self, open_sets: DataFrame) -> DataFrame:
+        """Pairs (a, b) of open_sets (sid, root) with unlike roots that can be alike enough: an exact prefix filter.
+
+        Ordered with the commonest shingles last, two sets that are alike enough share one of their first
+        n - ceil(n * least / of) + 1. Any order serves, so counts of hashed shingles do, and of these the HEAVY largest.
+        """
+        asked = written(self.known.join(open_sets, "sid"))
+        spot = F.shiftrightunsigned(F.col("s"), 64 - HEAVY_BITS)
+        counts = asked.select(F.explode("shingles").alias("s")).groupBy(spot.alias("spot")).count().where("count > 2")
+        heavy = {r["spot"]: r["count"] for r in counts.orderBy(F.desc("count"), "spot").limit(HEAVY).collect()}
+        held = asked.mapInArrow(_prefixes(heavy, self.of, self.least), "sid long, root long, n long, s long")
+        held = written(held)
+        main = held.groupBy("s", "root").count().groupBy("s").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("roots"))
+        main = main.where("roots > 1").select("s", F.col("m.root").alias("main"))
+        held = written(held.join(main, "s"))
+        a = held.where("root <> main").select("s", F.col("sid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+        b = held.select("s", F.col("sid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), "main")
+        near = (F.col("na") * self.least <= F.col("nb") * self.of) & (F.col("nb") * self.least <= F.col("na") * self.of)
+        once = (F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))
+        return a.join(b, (a.s == b.s) & (F.col("ra") != F.col("rb")) & near & once).select("a", "b").distinct()
+
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are alike enough."""
         a = self.known.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
@@ -147,6 +192,13 @@ class _Sets:
         return held.where(self.of * F.col("both") >= self.least * union).select("a", "b").distinct()
 
 
+def _star(members: DataFrame, centres: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's best-connected centre with its members outside the centre's component."""
+    best = centres.groupBy("key").agg(F.max(F.struct("met", "sid", "root")).alias("c")).select("key", F.col("c.sid").alias("a"), F.col("c.root").alias("ra"))
+    apart = F.col("ra").isNull() if "root" not in members.columns else F.col("ra") != F.col("root")
+    return members.join(best, "key").where(apart & (F.col("a") != F.col("sid"))).select("a", F.col("sid").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, least: int = 80, of: int = 100) -> DataFrame:
     """Groups of near duplicates: doc_id, n_shingles, component_id (least doc_id of the group), kept.
 
@@ -167,38 +219,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, least: int = 80, of: int
     members = written(members.join(met, "sid"))
     sets = _Sets(docs, named, shingle, of, least)
     sets.take(members.select("sid").distinct())
-    centre = members.groupBy("key").agg(F.max(F.struct("met", "sid")).alias("c")).select("key", F.col("c.sid").alias("a"))
-    star = members.join(centre, "key").where("a <> sid").select("a", F.col("sid").alias("b")).distinct()
-    links = written(sets.linked(star))
-    tried = written(star)
-    for turn in range(STAR_ROUNDS + 1):
+    links = written(sets.linked(written(_star(members, members.select("key", "sid", "met", F.lit(None).cast("long").alias("root"))))))
+    for last in (False, True):
         roots = components(links)
         left = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        by_root = left.groupBy("key", "root").agg(F.count("*").alias("n"), F.max(F.struct("met", "sid")).alias("hub"))
-        open_keys = by_root.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("size")).where("roots > 1")
-        last = turn == STAR_ROUNDS
-        few = F.lit(True) if last else F.col("size") <= SMALL_BUCKET
-        rest = left.drop("size").join(open_keys.select("key", "size", F.col("main.root").alias("main")), "key")
-        outside = rest.where("root <> main")
-        # Every member outside the bucket's largest component against every member of another component...
-        every = outside.where(few).select("key", F.col("sid").alias("a"), F.col("root").alias("ra")).join(
-            rest.where(few).select("key", F.col("sid").alias("b"), F.col("root").alias("rb"), F.col("main").alias("mb")), "key"
-        ).where("ra <> rb and (rb = mb or a < b)").select("a", "b")
+        mixed = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        left = written(left.join(mixed, "key"))
         if last:
-            fresh = every
+            fresh = sets.sharing(left.select("sid", "root").distinct())
         else:
-            # ...or, in a large bucket, one more star from the best-connected member outside it.
-            hub = outside.where(~few).groupBy("key").agg(F.max(F.struct("met", "sid", "root")).alias("h")).select("key", F.col("h.sid").alias("a"), F.col("h.root").alias("ra"))
-            more = rest.where(~few).join(hub, "key").where("ra <> root").select("a", F.col("sid").alias("b"))
-            fresh = every.union(more)
-        fresh = written(fresh.distinct().join(tried, ["a", "b"], "left_anti"))
-        if not fresh.limit(1).count():
-            if last or not open_keys.where(F.col("size") > SMALL_BUCKET).limit(1).count():
-                break
-            continue
-        found = written(sets.linked(fresh))
-        tried = tried.union(fresh)
-        links = links.union(found)
+            # One more star in each bucket, from the best-connected member outside its largest component.
+            main = left.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
+            fresh = _star(left, left.join(main, "key").where("root <> main"))
+        links = links.union(written(sets.linked(written(fresh))))
     roots = components(links)
     nodes = named.groupBy("sid").agg(F.min("doc_id").alias("least"))
     grouped = nodes.join(roots.withColumnRenamed("node", "sid"), "sid").groupBy("root").agg(F.min("least").alias("least"))
