@@ -103,11 +103,11 @@ o AS (
   SELECT *, coalesce(sum(cap) OVER w, 0) AS caps_before, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS weight_left
   FROM c WINDOW w AS (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (
-  SELECT min((budget - caps_before) / weight_left) FILTER (WHERE cap > weight * ((budget - caps_before) / weight_left)) AS level FROM o),
+  SELECT arg_min((budget - caps_before) / weight_left, cap / weight) FILTER (WHERE cap > weight * ((budget - caps_before) / weight_left)) AS level FROM o),
 t AS (SELECT source, source_size, least(cap, weight * coalesce(level, 1e300::DOUBLE)) AS target FROM c, l),
 r AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole,
-         coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY draw, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        ((whole + (before + size / 2.0::DOUBLE <= target - whole * source_size)::BIGINT) * size)::BIGINT AS taken

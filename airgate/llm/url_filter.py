@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 2048
 GRAMS = (3, 4, 5)
-STEPS, RATE, DECAY = 14, 6.0, 0.002
+STEPS, RATE, BIAS_RATE, DECAY = 16, 40.0, 4.0, 0.002
 
 #: (host, path, verdict); a rule fits its host and all subdomains where the url's path starts with the rule's.
 RULES = (
@@ -22,23 +22,32 @@ RULES = (
     ("org", "/fr/", "allow"),
 )
 
-#: The small labelled table used where the caller has none of its own: url and 1 (block) or 0 (allow).
-LABELLED = (
-    *((f"http://{host}/{path}", 1) for host, path in zip(
-        "cheap-pills.example.com spam-farm.example.org www.casino-bonus.example.com free-loans.example.org win-prizes.example.net "
-        "adult-cams.example.com replica-watches.example.org quick-cash.example.com buy-followers.example.net click-bait.example.com "
-        "cheap-meds.example.net spam-links.example.com poker-casino.example.org pills-online.example.com hot-singles.example.net "
-        "link-farm.example.com bonus-slots.example.org payday-loans.example.com crypto-giveaway.example.net fake-designer.example.org".split(),
-        "en/101 en/728?utm_source=feed de/450 es/12 fr/33 en/9 en/771.html de/5 en/620/ fr/176/ en/44 es/91 en/3 en/507 de/88 en/21 fr/7 es/640 en/15 de/2".split(),
-        strict=True)),
-    *((f"https://{host}/{path}", 0) for host, path in zip(
-        "ththre.example.com m.ththth.example.net thther.example.org blog.therha.example.com www.ththen.example.org news.example.com "
-        "library.example.org docs.example.net university.example.org blog.theron.example.com m.therin.example.net www.weather.example.com "
-        "museum.example.org recipes.example.com gardening.example.net science.example.org travel.example.com history.example.net "
-        "blog.ththan.example.org www.ththwh.example.com health.example.org music.example.com m.therou.example.org thering.example.net".split(),
-        "en/825 en/25 en/685 en/676 fr/8 en/100 de/54 en/3/index.html en/91 es/2 en/770 en/12/ fr/66 en/8 de/13 en/540 es/17 en/31 en/7 fr/414 en/2 de/612 en/474.html en/328/".split(),
-        strict=True)),
-)
+#: Hosts of the small labelled table used where the caller has none of its own.
+BLOCKED_HOSTS = (
+    "cheap-pills.example.com spam-farm.example.org casino-bonus.example.com free-loans.example.org win-prizes.example.net adult-cams.example.com "
+    "replica-watches.example.org quick-cash.example.com buy-followers.example.net click-bait.example.com cheap-meds.example.net spam-links.example.com "
+    "poker-casino.example.org pills-online.example.com hot-singles.example.net link-farm.example.com bonus-slots.example.org payday-loans.example.com "
+    "crypto-giveaway.example.net fake-designer.example.org"
+).split()
+ALLOWED_HOSTS = (
+    "ththre.example.com ththth.example.net thther.example.org therha.example.com ththen.example.org news.example.com library.example.org docs.example.net "
+    "university.example.org theron.example.com therin.example.net weather.example.com museum.example.org recipes.example.com gardening.example.net "
+    "science.example.org travel.example.com history.example.net ththan.example.org ththwh.example.com health.example.org music.example.com "
+    "therou.example.org thering.example.net tionsh.example.com thblea.example.org inerat.example.net thstes.example.com cityhall.example.org school.example.com"
+).split()
+LABELLED_PER_HOST = 8
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """(url, 1 for block or 0 for allow): each host under LABELLED_PER_HOST prefixes and paths, alike for both labels."""
+    out = []
+    for label, hosts in ((1, BLOCKED_HOSTS), (0, ALLOWED_HOSTS)):
+        for i, host in enumerate(hosts):
+            for k in range(LABELLED_PER_HOST):
+                prefix = ("", "www.", "blog.", "m.")[(i + k) % 4]
+                path = f"{('en', 'de', 'fr', 'es')[k % 4]}/{(i * 37 + k * 101) % 1000}{('', '/', '.html')[(i + k) % 3]}"
+                out.append((f"http://{prefix}{host}/{path}", label))
+    return out
 
 
 def host_of(url: Column) -> Column:
@@ -79,7 +88,7 @@ def probability(found: Column, weights: list[float], bias: float) -> Column:
 
 
 def default_labels(spark: SparkSession) -> DataFrame:
-    return spark.range(1, numPartitions=1).select(F.inline(F.array(*[F.struct(F.lit(u).alias("url"), F.lit(y).alias("label")) for u, y in LABELLED])))
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*[F.struct(F.lit(u).alias("url"), F.lit(y).alias("label")) for u, y in labelled_urls()])))
 
 
 def train(labelled: DataFrame) -> tuple[list[float], float]:
@@ -98,7 +107,7 @@ def train(labelled: DataFrame) -> tuple[list[float], float]:
             sums = off.select(F.explode(F.concat("found", F.array(F.lit(0)))).alias("b"), (F.col("off") * F.when(F.col("b") == 0, 1.0).otherwise(F.col("scale"))).alias("g"))
             step = {r["b"]: r["g"] for r in sums.groupBy("b").agg(F.sum("g").alias("g")).collect()}
             weights = [w * (1 - DECAY) + RATE * step.get(i, 0.0) / n for i, w in enumerate(weights, 1)]
-            bias += RATE * step.get(0, 0.0) / n
+            bias += BIAS_RATE * step.get(0, 0.0) / n
     finally:
         rows.unpersist()
     return weights, bias
