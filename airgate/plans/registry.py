@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from airgate.plans import permit
+
+QUERIES: dict = {**permit.QUERIES}
+ORACLES: dict[str, str] = {**permit.ORACLES}
