@@ -76,10 +76,14 @@ def buckets(host: Column, path: Column) -> Column:
     grams = []
     for n in GRAMS:
         starts = F.when(F.length(whole) >= n, F.sequence(F.lit(1), F.length(whole) - n + 1)).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(starts, lambda i, n=n: (F.pmod(F.xxhash64(F.substr(whole, i, F.lit(n))), F.lit(BUCKETS)) + 1).cast("int")))
+        grams.append(F.transform(starts, _bucket(whole, n)))
     return F.concat(*grams)
 
 
+def _bucket(whole: Column, n: int):
+    return lambda start: (F.pmod(F.xxhash64(F.substr(whole, start, F.lit(n))), F.lit(BUCKETS)) + 1).cast("int")
+
+
 def probability(found: Column, weights: list[float], bias: float) -> Column:
     """The model's probability of block; features are counts over the root of how many grams there are."""
     table = F.array(*[F.lit(float(w)) for w in weights])
