@@ -7,23 +7,10 @@ from pyspark.sql import functions as F
 
 from airgate.functions.rules import CRITERIA, MONTH_DAYS, POLLUTANTS, SEVERITY, SIGNIFICANT
 from airgate.operators import emissions, pathway
+from airgate.plans.base import ORACLES, QUERIES, registered, shown
 from airgate.sources import derived
 from airgate.sources.derived import SQL
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def registered(sql: str):
-    """Registers a job under its name, with the SQL that it must equal."""
-
-    def keep(f):
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
-        return f
-
-    return keep
-
-
 _PTE = f"WITH {SQL['plants']}, {emissions.sql()}"
 _OWN = f"WITH {SQL['plants']}, {SQL['sites']}, {SQL['designations']}, {emissions.sql()}, chosen AS (SELECT * FROM pte), {pathway.sql('chosen.l_suppkey = located.site_id')}"
 _DESIGNS = f"""WITH {SQL['plants'].replace('plants AS', 'every_plant AS')}, {SQL['sites']}, {SQL['designations']},
@@ -70,11 +57,6 @@ _SWEEP = f"""WITH {SQL['sites']}, {SQL['designations']}, plants AS (SELECT 500.0
 _DAYS = f"round(months_likely * {MONTH_DAYS}::DOUBLE, 0)::BIGINT"
 
 
-def _shown(x):
-    """Four decimals; a nudge keeps exact halves from being rounded unlike in another engine."""
-    return F.round((F.col(x) if isinstance(x, str) else x) + 1e-7, 4)
-
-
 def _days():
     return F.round(F.col("months_likely") * MONTH_DAYS, 0).cast("long")
 
@@ -90,7 +72,7 @@ def prj1_config_errors(spark, sf_dir):
 
 @registered(f"{_PTE} SELECT plant_id, round(heat_input, 6) AS heat_input, effective_hours::DOUBLE AS effective_hours, {', '.join(f'round({p}_tpy + 1e-7::DOUBLE, 4) AS {p}_tpy' for p in POLLUTANTS)} FROM pte")
 def prj4_pte(spark, sf_dir):
-    return _pte(spark, sf_dir).select("plant_id", F.round("heat_input", 6).alias("heat_input"), "effective_hours", *[_shown(f"{p}_tpy").alias(f"{p}_tpy") for p in POLLUTANTS])
+    return _pte(spark, sf_dir).select("plant_id", F.round("heat_input", 6).alias("heat_input"), "effective_hours", *[shown(f"{p}_tpy").alias(f"{p}_tpy") for p in POLLUTANTS])
 
 
 @registered(f"""{_PTE} SELECT plant_id, concat_ws(',', {', '.join(f"CASE WHEN {p}_tpy >= {r!r} THEN '{p}' END" for p, r in SIGNIFICANT.items())}) AS significant FROM pte""")
@@ -102,13 +84,13 @@ def prj5_significant(spark, sf_dir):
 FROM (SELECT *, greatest({', '.join(f'{p}_tpy' for p in CRITERIA)}) AS most FROM pte)""")
 def prj6_largest_criteria(spark, sf_dir):
     held = _pte(spark, sf_dir).withColumn("l", emissions.largest_criteria())
-    return held.select("plant_id", F.col("l.name").alias("largest"), _shown("l.tpy").alias("tpy"))
+    return held.select("plant_id", F.col("l.name").alias("largest"), shown("l.tpy").alias("tpy"))
 
 
 @registered(f"""{_PTE} SELECT plant_id, CASE WHEN nox_tpy * 8760 / effective_hours > 250 AND 8760 * 250 / (nox_tpy * 8760 / effective_hours) >= 1
 THEN round(8760 * 250 / (nox_tpy * 8760 / effective_hours) + 1e-7::DOUBLE, 4) END AS hours FROM pte""")
 def prj7_hours_to_hold(spark, sf_dir):
-    return _pte(spark, sf_dir).select("plant_id", _shown(emissions.hours_to_hold(F.col("nox_tpy"), 250.0, F.col("effective_hours"))).alias("hours"))
+    return _pte(spark, sf_dir).select("plant_id", shown(emissions.hours_to_hold(F.col("nox_tpy"), 250.0, F.col("effective_hours"))).alias("hours"))
 
 
 # ---- designations
@@ -167,22 +149,22 @@ n_stops, added, round(months_low + 1e-7::DOUBLE, 4) AS months_low, round(months_
 def prj12_pathway_at_own_site(spark, sf_dir):
     d = own_site(spark, sf_dir)
     return d.select(
-        "plant_id", "site_id", "pathway", "rank", "controlling", _shown("controlling_tpy").alias("controlling_tpy"), "applicable", _shown("offsets_tons").alias("offsets_tons"),
-        F.size("stops").alias("n_stops"), "added", *[_shown(f"months_{k}").alias(f"months_{k}") for k in ("low", "likely", "high")],
+        "plant_id", "site_id", "pathway", "rank", "controlling", shown("controlling_tpy").alias("controlling_tpy"), "applicable", shown("offsets_tons").alias("offsets_tons"),
+        F.size("stops").alias("n_stops"), "added", *[shown(f"months_{k}").alias(f"months_{k}") for k in ("low", "likely", "high")],
     )
 
 
 @registered(f"{_DESIGNS} SELECT pathway, count(*)::BIGINT AS n_decisions, sum(n_plants)::BIGINT AS n_plants, count(*) FILTER (WHERE n_stops > 0)::BIGINT AS n_stopped, round(avg(months_likely) + 1e-7::DOUBLE, 4) AS months FROM decided GROUP BY 1 ORDER BY 2 DESC")
 def sweep_pathway_counts(spark, sf_dir):
     d = portfolio(spark, sf_dir)
-    got = d.groupBy("pathway").agg(F.count("*").alias("n_decisions"), F.sum("n_plants").alias("n_plants"), F.count_if(F.size("stops") > 0).alias("n_stopped"), _shown(F.avg("months_likely")).alias("months"))
+    got = d.groupBy("pathway").agg(F.count("*").alias("n_decisions"), F.sum("n_plants").alias("n_plants"), F.count_if(F.size("stops") > 0).alias("n_stopped"), shown(F.avg("months_likely")).alias("months"))
     return got.orderBy(F.desc("n_decisions"))
 
 
 @registered(f"{_SWEEP} SELECT site_id, state, fips, pathway, {_DAYS} AS days, n_stops, round(offsets_tons + 1e-7::DOUBLE, 4) AS offsets_tons, state IN ('VA', 'TX', 'GA', 'OH', 'AZ', 'NJ', 'NM', 'IL') AS modelled FROM decided")
 def prj34_score_records(spark, sf_dir):
     d = reference_sweep(spark, sf_dir)
-    return d.select("site_id", "state", "fips", "pathway", _days().alias("days"), F.size("stops").alias("n_stops"), _shown("offsets_tons").alias("offsets_tons"), F.col("state").isin("VA", "TX", "GA", "OH", "AZ", "NJ", "NM", "IL").alias("modelled"))
+    return d.select("site_id", "state", "fips", "pathway", _days().alias("days"), F.size("stops").alias("n_stops"), shown("offsets_tons").alias("offsets_tons"), F.col("state").isin("VA", "TX", "GA", "OH", "AZ", "NJ", "NM", "IL").alias("modelled"))
 
 
 @registered(f"{_SWEEP} SELECT CASE WHEN d < 700 THEN 0 WHEN d < 850 THEN 1 WHEN d < 1050 THEN 2 WHEN d < 1350 THEN 3 ELSE 4 END AS bin, count(*)::BIGINT AS n, (max(d) - min(d))::BIGINT AS spread FROM (SELECT {_DAYS} AS d FROM decided) GROUP BY 1")
@@ -249,7 +231,7 @@ FROM (SELECT *, largest_tpy * 8760 / effective_hours AS f, least(threshold,
   CASE WHEN so2_class IS NOT NULL OR no2_class IS NOT NULL OR lead_class IS NOT NULL THEN 100 END)::DOUBLE AS target FROM decided)""")
 def prj17_synthetic_minor_cap(spark, sf_dir):
     d = own_site(spark, sf_dir).withColumns(pathway.synthetic_cap())
-    return d.select("plant_id", "site_id", "cap_threshold", _shown("cap_hours").alias("cap_hours"), "cap_feasible")
+    return d.select("plant_id", "site_id", "cap_threshold", shown("cap_hours").alias("cap_hours"), "cap_feasible")
 
 
 # ---- search: the plants of one order are the candidates of one project
@@ -296,4 +278,4 @@ def flt6_improvements(spark, sf_dir):
     first = Window.partitionBy("l_orderkey").orderBy("seq")
     d = d.withColumns({"base_rank": F.first("rank").over(first), "base_months": F.first("months_likely").over(first)}).where("seq > 1")
     delta, saved = F.col("base_rank") - F.col("rank"), F.col("base_months") - F.col("months_likely")
-    return d.select(F.col("l_orderkey").alias("project"), "plant_id", delta.alias("rank_delta"), _shown(saved).alias("months_saved"), ((F.col("n_stops") == 0) & ((delta > 0) | (saved > 1))).alias("improves"))
+    return d.select(F.col("l_orderkey").alias("project"), "plant_id", delta.alias("rank_delta"), shown(saved).alias("months_saved"), ((F.col("n_stops") == 0) & ((delta > 0) | (saved > 1))).alias("improves"))

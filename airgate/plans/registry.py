@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from airgate.plans import permit
+from airgate.plans import markets, permit, signals, streams  # noqa: F401  each registers its jobs
+from airgate.plans.base import ORACLES, QUERIES
 
-QUERIES: dict = {**permit.QUERIES}
-ORACLES: dict[str, str] = {**permit.ORACLES}
+__all__ = ["ORACLES", "QUERIES"]
