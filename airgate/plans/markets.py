@@ -42,7 +42,7 @@ def scl_m2_destination(spark, sf_dir):
     return s.select("site_id", shown(lat).alias("lat"), shown(lon).alias("lon"))
 
 
-@registered("""SELECT s_suppkey AS site_id, ['N','NNE','NE','ENE','E','ESE','SE','SSE','S','SSW','SW','WSW','W','WNW','NW','NNW'][((s_suppkey * 37 % 360)::DOUBLE / 22.5 + 0.5)::DOUBLE // 1 % 16 + 1] AS compass FROM supplier""")
+@registered("""SELECT s_suppkey AS site_id, ['N','NNE','NE','ENE','E','ESE','SE','SSE','S','SSW','SW','WSW','W','WNW','NW','NNW'][(floor((s_suppkey * 37 % 360)::DOUBLE / 22.5 + 0.5) % 16 + 1)::BIGINT] AS compass FROM supplier""")
 def scl_m3_compass(spark, sf_dir):
     return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site_id"), geo.compass((F.col("s_suppkey") * 37 % 360).cast("double")).alias("compass"))
 

@@ -41,11 +41,11 @@ def agg10_volume_halves(spark, sf_dir):
 
 
 @registered(f"""WITH {_NEWS}, d AS (SELECT county, published AS day, count(*) AS n FROM news GROUP BY 1, 2)
-SELECT county, day, sum(n) OVER (PARTITION BY county ORDER BY day RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW)::BIGINT AS trailing FROM d""")
+SELECT county, day::VARCHAR AS day, sum(n) OVER (PARTITION BY county ORDER BY day RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW)::BIGINT AS trailing FROM d""")
 def win12_trailing_volume(spark, sf_dir):
     days = _news(spark, sf_dir).groupBy("county", F.col("published").alias("day")).agg(F.count("*").alias("n"))
     window = Window.partitionBy("county").orderBy(F.unix_date("day")).rangeBetween(-30, 0)
-    return days.select("county", "day", F.sum("n").over(window).alias("trailing"))
+    return days.select("county", F.col("day").cast("string").alias("day"), F.sum("n").over(window).alias("trailing"))
 
 
 @registered(rf"""WITH {_NEWS}, t AS (SELECT item_id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(headline), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: len(w) > 2)) AS words FROM news)
@@ -66,10 +66,10 @@ def agg12_story_clusters(spark, sf_dir):
     return news.stories(_news(spark, sf_dir))
 
 
-@registered(f"""WITH {_NEWS}, r AS (SELECT county, item_id, published, row_number() OVER (PARTITION BY county ORDER BY published DESC NULLS LAST, item_id) AS place FROM news) SELECT county, item_id, published FROM r WHERE place <= 25""")
+@registered(f"""WITH {_NEWS}, r AS (SELECT county, item_id, published, row_number() OVER (PARTITION BY county ORDER BY published DESC NULLS LAST, item_id) AS place FROM news) SELECT county, item_id, published::VARCHAR AS published FROM r WHERE place <= 25""")
 def top5_newest_stories(spark, sf_dir):
     newest = Window.partitionBy("county").orderBy(F.desc_nulls_last("published"), "item_id")
-    return _news(spark, sf_dir).withColumn("place", F.row_number().over(newest)).where("place <= 25").select("county", "item_id", "published")
+    return _news(spark, sf_dir).withColumn("place", F.row_number().over(newest)).where("place <= 25").select("county", "item_id", F.col("published").cast("string").alias("published"))
 
 
 @registered(r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', '') || regexp_replace(lower(regexp_extract(url, '://[^/?#]*([^?#]*)', 1)), '/+$', '') AS canonical FROM pages""")
@@ -162,9 +162,9 @@ def flt13_fresh_responses(spark, sf_dir):
     return records.fresh(read(spark, sf_dir, "events"), "event_type", {"click": 1, "view": 3, "purchase": 7, "signup": 30}).groupBy("event_type").agg(F.count("*").alias("fresh"))
 
 
-@registered("""SELECT coalesce(event_type, 'total') AS endpoint, count(*)::BIGINT AS calls, count(*) FILTER (WHERE value < 5)::BIGINT AS hits, round(sum(value) + 1e-7::DOUBLE, 2) AS credits, min(ts) AS oldest, max(ts) AS newest FROM events GROUP BY ROLLUP (event_type)""")
+@registered("""SELECT coalesce(event_type, 'total') AS endpoint, count(*)::BIGINT AS calls, count(*) FILTER (WHERE value < 5)::BIGINT AS hits, round(sum(value) + 1e-7::DOUBLE, 2) AS credits, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS oldest, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS newest FROM events GROUP BY ROLLUP (event_type)""")
 def agg17_spend(spark, sf_dir):
-    got = read(spark, sf_dir, "events").rollup(F.col("event_type").alias("endpoint")).agg(F.count("*").alias("calls"), F.count_if(F.col("value") < 5).alias("hits"), shown(F.sum("value"), 2).alias("credits"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"))
+    got = read(spark, sf_dir, "events").rollup(F.col("event_type").alias("endpoint")).agg(F.count("*").alias("calls"), F.count_if(F.col("value") < 5).alias("hits"), shown(F.sum("value"), 2).alias("credits"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("oldest"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("newest"))
     return got.withColumn("endpoint", F.coalesce("endpoint", F.lit("total")))
 
 
@@ -183,13 +183,13 @@ def scl_j1_canonical_key(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.sha2(F.to_json(F.struct("event_type", "user_id")), 256).alias("key"))
 
 
-@registered("""SELECT o_orderkey AS project, CASE WHEN o_orderkey % 4 = 0 THEN make_date(y, 1, 1) WHEN o_orderkey % 4 = 1 THEN make_date(y, (q - 1) * 3 + 1, 1) WHEN o_orderkey % 4 = 2 THEN make_date(y, m, 1) ELSE o_orderdate::DATE END AS day, ['year', 'quarter', 'month', 'day'][(o_orderkey % 4 + 1)::INT] AS how
+@registered("""SELECT o_orderkey AS project, (CASE WHEN o_orderkey % 4 = 0 THEN make_date(y, 1, 1) WHEN o_orderkey % 4 = 1 THEN make_date(y, (q - 1) * 3 + 1, 1) WHEN o_orderkey % 4 = 2 THEN make_date(y, m, 1) ELSE o_orderdate::DATE END)::DATE::VARCHAR AS day, ['year', 'quarter', 'month', 'day'][(o_orderkey % 4 + 1)::INT] AS how
 FROM (SELECT *, year(o_orderdate)::BIGINT AS y, quarter(o_orderdate)::BIGINT AS q, month(o_orderdate)::BIGINT AS m FROM orders)""")
 def scl_d2_announced_dates(spark, sf_dir):
     k, d = F.col("o_orderkey") % 4, F.col("o_orderdate")
     said = F.when(k == 0, F.year(d).cast("string")).when(k == 1, F.concat(F.lit("Q"), F.quarter(d), F.lit(" "), F.year(d))).when(k == 2, F.date_format(d, "yyyy-MM")).otherwise(F.date_format(d, "yyyy-MM-dd"))
     day, how = records.announced(said)
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("project"), day.alias("day"), how.alias("how"))
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("project"), day.cast("string").alias("day"), how.alias("how"))
 
 
 @registered("""WITH f AS (SELECT o_orderkey AS fact, o_custkey % 3 AS case_id, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate::DATE END AS knowable, o_totalprice AS value FROM orders), c AS (SELECT * FROM (VALUES (0, DATE '1997-03-01'), (1, DATE '1999-02-01'), (2, DATE '2000-09-01')) AS t(case_id, cutoff))

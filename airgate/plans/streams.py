@@ -9,16 +9,16 @@ from airgate.sources.derived import read
 from airgate.streaming import jobs
 
 
-@registered("""SELECT ts::DATE AS day, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2""")
+@registered("""SELECT ts::DATE::VARCHAR AS day, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2""")
 def str1_daily_volume(spark, sf_dir):
     found = jobs.drained(jobs.daily_volume(jobs.stream(spark, sf_dir, "events")), "complete")
-    return found.select(F.to_date("start").alias("day"), "event_type", "n")
+    return found.select(F.to_date("start").cast("string").alias("day"), "event_type", "n")
 
 
-@registered("""SELECT ts::DATE AS day, (user_id % 6)::INT AS gpu_class, count(*)::BIGINT AS n, min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2""")
+@registered("""SELECT ts::DATE::VARCHAR AS day, (user_id % 6)::INT AS gpu_class, count(*)::BIGINT AS n, min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2""")
 def str3_daily_marks(spark, sf_dir):
     found = jobs.drained(jobs.daily_marks(jobs.stream(spark, sf_dir, "events")), "complete")
-    return found.select(F.to_date("start").alias("day"), "gpu_class", "n", "low", "high")
+    return found.select(F.to_date("start").cast("string").alias("day"), "gpu_class", "n", "low", "high")
 
 
 @registered()
