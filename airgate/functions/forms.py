@@ -70,3 +70,38 @@ def register_sql(spark: SparkSession) -> None:
     spark.sql(
         f"CREATE OR REPLACE TEMPORARY FUNCTION airgate_tail(z DOUBLE, t DOUBLE) RETURNS DOUBLE RETURN exp(-z * z / 2) / {root!r}D * t * ({tail})"
     )
+
+
+def bare_county(name: Column) -> Column:
+    return F.regexp_replace(name, " (County|Parish|Borough|city)$", "")
+
+
+def state_kind(said: Column) -> Column:
+    """How a state is given: by a FIPS prefix, by its two letters, or not at all."""
+    return F.when(said.rlike("^[0-9]{2}"), "fips").when(said.rlike("^[A-Z]{2}$"), "code").otherwise("??")
+
+
+def classification(said: Column) -> tuple[Column, Column]:
+    """The class in a trailing parenthesis, and the pollutant that the text names."""
+    low = F.lower(said)
+    return F.lower(F.regexp_extract(said, r"\(([^)]*)\)\s*$", 1)), F.when(low.contains("ozone"), "ozone").when(low.contains("pm-2.5"), "pm25")
+
+
+def untagged(text: Column) -> Column:
+    return F.regexp_replace(text, "<[^>]+>", "")
+
+
+def coordinates(said: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of "lat, lon"; null for other text."""
+    parts = F.split(said, ",")
+    both = F.size(parts) == 2
+    return F.when(both, F.trim(parts[0]).try_cast("double")), F.when(both, F.trim(F.get(parts, F.lit(1))).try_cast("double"))
+
+
+def albers(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Albers' equal-area conic of the contiguous states, on the unit sphere."""
+    low, high = math.radians(29.5), math.radians(45.5)
+    n = (math.sin(low) + math.sin(high)) / 2
+    k = math.cos(low) ** 2 + 2 * n * math.sin(low)
+    rho, away = F.sqrt(k - 2 * n * F.sin(F.radians(lat))) / n, n * F.radians(lon + 96)
+    return rho * F.sin(away), math.sqrt(k - 2 * n * math.sin(math.radians(37.5))) / n - rho * F.cos(away)

@@ -66,3 +66,16 @@ def request_cost(fields: Column, calcs: Column, addresses: Column) -> Column:
     parcel = F.array(*[F.lit(p) for p in PARCEL_FIELDS])
     driving = F.when(calcs > 0, F.greatest(F.lit(FLOOR), DRIVING_CREDITS * calcs)).otherwise(0)
     return F.size(F.array_except(fields, parcel)) + F.when(F.arrays_overlap(fields, parcel), PARCEL_CREDITS).otherwise(0) + addresses + driving
+
+
+def hinted(facts: DataFrame, hints: dict[str, str]) -> DataFrame:
+    """site, target, value: for each target the first fact, in order, whose key contains the target's hint."""
+    one = F.array(*[F.struct(F.lit(t).alias("target"), F.lit(h).alias("hint")) for t, h in hints.items()])
+    dim = facts.sparkSession.range(1, numPartitions=1).select(F.inline(one))
+    held = facts.join(F.broadcast(dim), F.lower("key").contains(F.col("hint")))
+    return held.groupBy("site", "target").agg(F.min_by("value", "ord").alias("value"))
+
+
+def cacheable(status: Column) -> Column:
+    """Success, or a client error that is neither about access nor worth a retry."""
+    return status.between(200, 299) | (status.between(400, 499) & ~status.isin(401, 403, 408, 429))

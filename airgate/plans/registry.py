@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from airgate.plans import details, markets, permit, signals, streams  # noqa: F401  each registers its jobs
+from airgate.plans import details, markets, more, permit, signals, streams  # noqa: F401  each registers its jobs
 from airgate.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -28,3 +28,31 @@ def json_lines(lines: DataFrame, schema: str) -> DataFrame:
     bad = "_malformed"
     held = lines.select(F.from_json("line", f"{schema}, {bad} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}).alias("r")).select("r.*")
     return held.where(F.col(bad).isNull() & F.col(first).isNotNull()).drop(bad)
+
+
+def series(rows: DataFrame, key: str) -> DataFrame:
+    """key, day, n of the first series in a timeline body."""
+    held = rows.select(key, F.from_json("body", "timeline array<struct<data: array<struct<date: string, value: long>>>>").alias("b"))
+    points = held.select(key, F.inline(F.get("b.timeline", F.lit(0))["data"]))
+    return points.select(key, F.to_date(F.substring("date", 1, 8), "yyyyMMdd").cast("string").alias("day"), F.col("value").alias("n"))
+
+
+def rss_items(rows: DataFrame) -> DataFrame:
+    """page_id, title, publication (the link's host) of each item of a news feed."""
+    held = rows.select("page_id", F.from_xml("item", "title string, link string").alias("i"))
+    return held.select("page_id", F.col("i.title").alias("title"), F.regexp_extract("i.link", "://([^/?#]*)", 1).alias("publication"))
+
+
+def embedded_prices(rows: DataFrame) -> DataFrame:
+    """page, gpu_class, usd from the price map inside a page's script; 0 means that nothing was traded."""
+    body = F.regexp_extract("body", r'"pricesByHardwareType":(\{[^}]*\})', 1)
+    held = rows.select("page", F.explode(F.from_json(body, "map<string, double>")).alias("gpu_class", "usd")).where("usd > 0")
+    return held.select("page", F.col("gpu_class").cast("long").alias("gpu_class"), "usd")
+
+
+def rate_rows(rows: DataFrame) -> DataFrame:
+    """page, label, low, high of each row of a price table: the first cell is the label, the others are prices."""
+    lines = rows.select("page", F.explode(F.regexp_extract_all("body", F.lit("<tr>(.*?)</tr>"), 1)).alias("row"))
+    cells = lines.select("page", F.transform(F.regexp_extract_all("row", F.lit("<td>(.*?)</td>"), 1), lambda c: F.regexp_replace(c, "<[^>]+>", "")).alias("c"))
+    prices = F.transform(F.slice("c", 2, 10), lambda c: F.regexp_extract(c, r"\$([0-9.]+)", 1).try_cast("double"))
+    return cells.select("page", F.col("c")[0].alias("label"), F.array_min(prices).alias("low"), F.array_max(prices).alias("high"))
