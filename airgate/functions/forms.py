@@ -105,3 +105,10 @@ def albers(lat: Column, lon: Column) -> tuple[Column, Column]:
     k = math.cos(low) ** 2 + 2 * n * math.sin(low)
     rho, away = F.sqrt(k - 2 * n * F.sin(F.radians(lat))) / n, n * F.radians(lon + 96)
     return rho * F.sin(away), math.sqrt(k - 2 * n * math.sin(math.radians(37.5))) / n - rho * F.cos(away)
+
+
+def unescaped(text: Column) -> Column:
+    """The few character references that unit labels use."""
+    for name, sign in (("&micro;", "µ"), ("&sup2;", "²"), ("&sup3;", "³"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    return text

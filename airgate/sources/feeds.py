@@ -56,3 +56,41 @@ def rate_rows(rows: DataFrame) -> DataFrame:
     cells = lines.select("page", F.transform(F.regexp_extract_all("row", F.lit("<td>(.*?)</td>"), 1), lambda c: F.regexp_replace(c, "<[^>]+>", "")).alias("c"))
     prices = F.transform(F.slice("c", 2, 10), lambda c: F.regexp_extract(c, r"\$([0-9.]+)", 1).try_cast("double"))
     return cells.select("page", F.col("c")[0].alias("label"), F.array_min(prices).alias("low"), F.array_max(prices).alias("high"))
+
+
+def validated_posture(rows: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
+    """record and verdict of each posture body: an unknown posture, a FIPS that stands twice, or ok."""
+    held = rows.select(F.from_json("body", "record long, fips string, posture string").alias("r")).select("r.*")
+    twice = held.groupBy("fips").agg(F.count("*").alias("n"))
+    verdict = F.when(~F.col("posture").isin(*allowed), "posture").when(F.col("n") > 1, "duplicate").otherwise("ok")
+    return held.join(twice, "fips").select("record", verdict.alias("verdict"))
+
+
+def dockets(rows: DataFrame, base: str) -> DataFrame:
+    """page_id, snippet, url: the first snippet that isn't blank, else the cause, in 400 characters; absolute urls."""
+    held = rows.select("page_id", F.from_json("body", "recap_documents array<struct<snippet: string>>, cause string, docket_absolute_url string").alias("d"))
+    said = F.filter(F.transform("d.recap_documents", lambda x: F.trim(x["snippet"])), lambda s: s != "")
+    snippet = F.coalesce(F.get(said, F.lit(0)), F.col("d.cause"))
+    return held.select("page_id", F.substring(F.trim(F.regexp_replace(snippet, r"\s+", " ")), 1, 400).alias("snippet"), F.concat(F.lit(base), F.col("d.docket_absolute_url")).alias("url"))
+
+
+def articles(rows: DataFrame, county: str) -> DataFrame:
+    """id, seen, county_named of each listed article with a url and a title."""
+    held = rows.select("id", F.from_json("body", "articles array<struct<url: string, title: string, seendate: string>>").alias("b"))
+    flat = held.select("id", F.inline("b.articles")).where("url is not null and title is not null")
+    return flat.select("id", F.to_date(F.substring("seendate", 1, 8), "yyyyMMdd").cast("string").alias("seen"), F.lower("title").contains(county).alias("county_named"))
+
+
+def rate_cards(rows: DataFrame) -> DataFrame:
+    """type, low, high over the positive prices of each listed type."""
+    held = rows.select(F.inline(F.from_json("body", "types array<struct<displayName: long, securePrice: double, communityPrice: double>>")["types"]))
+    real = lambda c: F.when(F.col(c) > 0, F.col(c))
+    return held.select(F.col("displayName").alias("type"), F.least(real("securePrice"), real("communityPrice")).alias("low"), F.greatest(real("securePrice"), real("communityPrice")).alias("high"))
+
+
+def scenes(rows: DataFrame, needed: tuple[str, ...]) -> DataFrame:
+    """scene, cloud, epsg of each catalogue item that has a projection and all needed assets."""
+    held = rows.select(F.from_json("body", "id long, properties struct<cloud: double, epsg: int>, assets map<string, string>").alias("i"))
+    for asset in needed:
+        held = held.where(F.map_contains_key("i.assets", asset))
+    return held.where("i.properties.epsg is not null").select(F.col("i.id").alias("scene"), F.col("i.properties.cloud").alias("cloud"), F.col("i.properties.epsg").alias("epsg"))
