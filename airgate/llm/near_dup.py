@@ -15,14 +15,14 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airgate.llm.common import components, mix, slices, written
 
 BINS, ROWS = 128, 4
-#: Hashed shingles whose counts order the prefixes of the exact join: bits of the hash, and how many counts are kept.
-HEAVY_BITS, HEAVY = 22, 1 << 15
+#: Buckets that a centre and a member share at least before a star pairs them; of alike sets, 1 in 10^6 shares fewer.
+SHARED_BANDS = 2
 
 _SALT = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _PROBE = np.random.default_rng(20).integers(0, BINS, size=(BINS, 1024))
@@ -123,31 +123,6 @@ def _full_sets(n: int):
     return run
 
 
-def _prefixes(heavy: dict[int, int], of: int, least: int):
-    schema = pa.schema([("sid", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("s", pa.int64())])
-
-    def run(batches):
-        spots = np.array(sorted(heavy), np.int64)
-        counts = np.array([heavy[x] for x in spots.tolist()], np.int64)
-        for part in slices(batches):
-            columns: list[list] = [[], [], [], []]
-            for sid, root, shingles in zip(*(part.column(c).to_pylist() for c in ("sid", "root", "shingles")), strict=True):
-                s = np.array(shingles, np.int64)
-                own = (s.view(np.uint64) >> np.uint64(64 - HEAVY_BITS)).astype(np.int64)
-                weight = np.zeros(len(s), np.int64)
-                if len(spots):
-                    at = np.minimum(np.searchsorted(spots, own), len(spots) - 1)
-                    weight = np.where(spots[at] == own, counts[at], 0)
-                first = s[np.lexsort((s, weight))][: len(s) + (-len(s) * least) // of + 1]
-                columns[0] += [sid] * len(first)
-                columns[1] += [root] * len(first)
-                columns[2] += [len(s)] * len(first)
-                columns[3] += first.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
-
-    return run
-
-
 class _Sets:
     """Full shingle sets, computed only for the documents that stand in a candidate pair."""
 
@@ -164,21 +139,26 @@ class _Sets:
     def sharing(self, open_sets: DataFrame) -> DataFrame:
         """Pairs (a, b) of open_sets (sid, root) with unlike roots that can be alike enough: an exact prefix filter.
 
-        Ordered with the commonest shingles last, two sets that are alike enough share one of their first
-        n - ceil(n * least / of) + 1. Any order serves, so counts of hashed shingles do, and of these the HEAVY largest.
+        Ordered from the rarest shingle on, two sets that are alike enough share one of their first
+        n - ceil(n * least / of) + 1. Shingles of one set alone come first and make no pair, so a set takes part only with
+        what its prefix has beyond them; and a pair counts only if its places leave enough to share.
         """
         asked = written(self.known.join(open_sets, "sid"))
-        spot = F.shiftrightunsigned(F.col("s"), 64 - HEAVY_BITS)
-        counts = asked.select(F.explode("shingles").alias("s")).groupBy(spot.alias("spot")).count().where("count > 2")
-        heavy = {r["spot"]: r["count"] for r in counts.orderBy(F.desc("count"), "spot").limit(HEAVY).collect()}
-        held = asked.mapInArrow(_prefixes(heavy, self.of, self.least), "sid long, root long, n long, s long")
-        held = written(held)
+        held = asked.select("sid", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+        counts = held.groupBy("s").agg(F.count("*").alias("sets")).where("sets > 1")
+        held = written(held.join(counts, "s"))
+        alone, first = F.col("n") - F.count("*"), F.floor(F.col("n") - F.ceil(F.col("n") * self.least / self.of) + 1)
+        taking = held.groupBy("sid", "n").agg(alone.alias("alone"), first.alias("first")).where("first > alone").select("sid", "alone", "first")
+        place = F.col("alone") + F.row_number().over(Window.partitionBy("sid").orderBy("sets", "s"))
+        held = written(held.join(taking, "sid").withColumn("place", place).where("place <= first").select("s", "sid", "root", "n", "place"))
         main = held.groupBy("s", "root").count().groupBy("s").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("roots"))
         main = main.where("roots > 1").select("s", F.col("m.root").alias("main"))
         held = written(held.join(main, "s"))
-        a = held.where("root <> main").select("s", F.col("sid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-        b = held.select("s", F.col("sid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), "main")
-        near = (F.col("na") * self.least <= F.col("nb") * self.of) & (F.col("nb") * self.least <= F.col("na") * self.of)
+        a = held.where("root <> main").select("s", F.col("sid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("place").alias("pa"))
+        b = held.select("s", F.col("sid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("place").alias("pb"), "main")
+        # What two sets can still share from their first common shingle on must be enough.
+        rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
+        near = rest * (self.of + self.least) >= self.least * (F.col("na") + F.col("nb"))
         once = (F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))
         return a.join(b, (a.s == b.s) & (F.col("ra") != F.col("rb")) & near & once).select("a", "b").distinct()
 
@@ -193,10 +173,13 @@ class _Sets:
 
 
 def _star(members: DataFrame, centres: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each bucket's best-connected centre with its members outside the centre's component."""
+    """Pairs (a, b) of each bucket's best-connected centre with its members outside the centre's component.
+
+    Members that meet the centre in a single bucket are left to the exact join that follows the stars.
+    """
     best = centres.groupBy("key").agg(F.max(F.struct("met", "sid", "root")).alias("c")).select("key", F.col("c.sid").alias("a"), F.col("c.root").alias("ra"))
     apart = F.col("ra").isNull() if "root" not in members.columns else F.col("ra") != F.col("root")
-    return members.join(best, "key").where(apart & (F.col("a") != F.col("sid"))).select("a", F.col("sid").alias("b")).distinct()
+    return members.join(best, "key").where(apart & (F.col("a") != F.col("sid"))).groupBy("a", F.col("sid").alias("b")).count().where(F.col("count") >= SHARED_BANDS).drop("count")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, least: int = 80, of: int = 100) -> DataFrame:
