@@ -1,9 +1,11 @@
 """Benchmark decontamination: every passage of every document queries a BM25 index of the test items by block-max WAND.
 
 Impacts are divided by their item's own score, so one threshold serves all items: the share of the item's BM25 mass that a
-passage holds. Terms whose joint share of any item is small are left to the end: a passage must reach the rest of the
-threshold with the other terms alone before the index is asked. What WAND retrieves is verified by the share of the item's
-question and of its answer that stands in the passage, in runs of SHINGLE words.
+passage holds. The index is cut into blocks of items, alike in length; each term keeps its highest impact in each block. A
+passage's block maxima are summed first, for all its blocks at once and without the commonest terms, whose joint share in
+a block is known; only blocks that can still reach the threshold are opened, and WAND goes through their items. What it
+retrieves is verified by the share of the item's question and of its answer that stands in the passage, in runs of SHINGLE
+words.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from airgate.llm.common import slices, written
 K1, B = 1.2, 0.75
 #: Share of an item's BM25 score that a passage must hold, and share of its question's and its answer's word runs.
 LEAST_SCORE, LEAST_OVERLAP, SHINGLE = 0.6, 0.8, 5
-#: Postings in a block of the index; items of one index, so that it fits every task; further items get further passes.
-BLOCK, ITEMS_PER_INDEX = 32, 20_000
+#: Items in a block of the index; items of one index, so that it fits every task; further items get further passes.
+BLOCK, ITEMS_PER_INDEX = 8, 20_000
+#: Sums of block maxima that are held at once for a text.
+SUMS = 1 << 20
 #: Items up to this many words share passages of twice as many; longer ones get longer passages by powers of two.
 SHORT_ITEM = 64
 
@@ -57,6 +61,7 @@ class Index:
     """
 
     def __init__(self, items: list[tuple], total: int, average: float, span: int, least: float = LEAST_SCORE, shingle: int = SHINGLE):
+        items = sorted(items, key=lambda i: (i[4], i[0]))
         self.ids, self.span, self.least, self.shingle = [i[0] for i in items], span, least, shingle
         self.questions = [words_of(i[1]) for i in items]
         self.answers = [words_of(i[2]) for i in items]
@@ -72,60 +77,86 @@ class Index:
         self.term = {w: t for t, w in enumerate(made)}
         self.items = [[k for k, _ in made[w]] for w in made]
         self.impacts = [[x for _, x in made[w]] for w in made]
-        self.best = np.array([max(x) for x in self.impacts] or [0.0])
-        self.block_best = [[max(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)] for x in self.impacts]
-        self.block_end = [[p[min(i + BLOCK, len(p)) - 1] for i in range(0, len(p), BLOCK)] for p in self.items]
+        #: For each term its highest impact in each block that has it, and for each block the terms that it has.
+        self.block_best: list[dict[int, float]] = []
+        self.block_terms: list[set[int]] = [set() for _ in range(-(-len(items) // BLOCK))]
+        for t, (ks, xs) in enumerate(zip(self.items, self.impacts, strict=True)):
+            best: dict[int, float] = {}
+            for k, x in zip(ks, xs, strict=True):
+                best[k // BLOCK] = max(best.get(k // BLOCK, 0.0), x)
+            self.block_best.append(best)
+            for b in best:
+                self.block_terms[b].add(t)
+        self._flatten()
         # The commonest terms, as long as no item has half the threshold from them together.
-        share, self.rest = np.zeros(len(items)), 0.0
-        self.rare = dict(self.term)
+        share, rare = np.zeros(len(items)), set(range(len(made)))
         for w in sorted(made, key=lambda w: (-len(made[w]), w)):
             t = self.term[w]
-            share[self.items[t]] += self.impacts[t]
-            if share.max() > least / 2:
+            after = share.copy()
+            after[self.items[t]] += self.impacts[t]
+            if after.max() > least / 2:
                 break
-            self.rest = float(share.max())
-            del self.rare[w]
-
-    def passages(self, words: list[str]) -> list[int]:
-        """Starts of the passages of two spans that may hold an item: their rarer terms reach the rest of the threshold."""
-        get, span, best = self.rare.get, self.span, self.best
+            share = after
+            rare.discard(t)
+        self.rare = {w: t for w, t in self.term.items() if t in rare}
+        self.rest = np.array([share[b * BLOCK : (b + 1) * BLOCK].max() for b in range(len(self.block_terms))])
+
+    def _flatten(self) -> None:
+        sizes = [len(b) for b in self.block_best]
+        self.start = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.block = np.array([b for best in self.block_best for b in best], np.int64)
+        self.best = np.array([x for best in self.block_best for x in best.values()])
+
+    def candidates(self, words: list[str]) -> list[tuple[int, int]]:
+        """(start, block): the passages of two spans, and for each the blocks of which an item may reach the threshold."""
+        get, span, blocks, n = self.rare.get, self.span, len(self.block_terms), len(self.term)
         hits = [(i, t) for i, w in enumerate(words) if (t := get(w)) is not None]
         if not hits:
             return []
-        at, terms = np.array(hits).T
-        cells = np.bincount(at // span, best[terms], minlength=len(words) // span + 2)
-        sums = cells[:-1] + cells[1:]
-        return [int(k) * span for k in np.flatnonzero(sums + self.rest >= self.least - 1e-9)]
+        at, terms = np.array(hits, np.int64).T
+        # A term counts once in a cell of one span; a passage is two cells.
+        cell, terms = np.divmod(np.unique(at // span * n + terms), n)
+        sizes = self.start[terms + 1] - self.start[terms]
+        from_ = np.repeat(self.start[terms] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        cell, block, best = np.repeat(cell, sizes), self.block[from_], self.best[from_]
+        out: list[tuple[int, int]] = []
+        step = max(1, SUMS // blocks)
+        for first in range(0, int(cell[-1]) + 1, step):
+            a, b = np.searchsorted(cell, [first, first + step + 1])
+            sums = np.bincount((cell[a:b] - first) * blocks + block[a:b], best[a:b], minlength=(step + 1) * blocks if step < cell[-1] + 2 - first else (int(cell[-1]) + 2 - first) * blocks)
+            sums = sums.reshape(-1, blocks)
+            both = sums[:-1] + sums[1:] + self.rest
+            out += [((first + int(k)) * span, int(j)) for k, j in np.argwhere(both >= self.least - 1e-9)]
+        return out
 
-    def retrieve(self, terms: list[int]) -> list[tuple[int, float]]:
-        """All items that score at least `least` with these distinct terms: block-max WAND, document at a time."""
+    def retrieve(self, terms: set[int], block: int | None = None) -> list[tuple[int, float]]:
+        """All items (of one block, or of all) that score at least `least` with these distinct terms: block-max WAND."""
         items, impacts, least = self.items, self.impacts, self.least - 1e-9
-        cursors = [[items[t][0], t, 0] for t in terms]
+        low, high = (0, len(self.ids)) if block is None else (block * BLOCK, (block + 1) * BLOCK)
+        if block is not None:
+            terms = terms & self.block_terms[block]
+        bound_of = {t: max(self.block_best[t].values()) if block is None else self.block_best[t][block] for t in terms}
+        cursors = [[items[t][p], t, p] for t in terms if (p := bisect_left(items[t], low)) < len(items[t])]
         out = []
         while cursors:
             cursors.sort()
             total, pivot = 0.0, -1
             for k, (_, t, _) in enumerate(cursors):
-                total += self.best[t]
+                total += bound_of[t]
                 if total >= least:
                     pivot = k
                     break
-            if pivot < 0:
+            if pivot < 0 or cursors[pivot][0] >= high:
                 break
             at = cursors[pivot][0]
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == at:
                 pivot += 1
-            bound, skip = 0.0, None
-            for _, t, _ in cursors[: pivot + 1]:
-                b = bisect_left(self.block_end[t], at)
-                if b < len(self.block_end[t]):
-                    bound += self.block_best[t][b]
-                    skip = self.block_end[t][b] if skip is None else min(skip, self.block_end[t][b])
-            if bound < least:
-                beyond = (at if skip is None else skip) + 1
+            here = at // BLOCK
+            if sum(self.block_best[t].get(here, 0.0) for _, t, _ in cursors[: pivot + 1]) < least:
+                beyond = (here + 1) * BLOCK
                 if pivot + 1 < len(cursors):
                     beyond = min(beyond, cursors[pivot + 1][0])
-                cursors = self._advance(cursors, pivot + 1, max(beyond, at + 1) if skip is None else beyond)
+                cursors = self._advance(cursors, pivot + 1, beyond)
             elif cursors[0][0] == at:
                 score = sum(impacts[t][p] for i, t, p in cursors[: pivot + 1] if i == at)
                 if score >= least:
@@ -149,9 +180,12 @@ class Index:
     def leaks(self, words: list[str]) -> list[tuple]:
         """(item_id, passages, score, question overlap, answer overlap) of the items that retrieval finds in a text."""
         found: dict[int, list] = {}
-        for start in self.passages(words):
-            passage = words[start : start + 2 * self.span]
-            hits = self.retrieve(sorted({t for w in set(passage) if (t := self.term.get(w)) is not None}))
+        start = -1
+        for begins, block in self.candidates(words):
+            if begins != start:
+                start, passage = begins, words[begins : begins + 2 * self.span]
+                terms = {t for w in set(passage) if (t := self.term.get(w)) is not None}
+            hits = self.retrieve(terms, block)
             if not hits:
                 continue
             held: dict[int, set] = {}

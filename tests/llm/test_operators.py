@@ -335,14 +335,18 @@ def test_wand_retrieves_all_above_the_threshold():
         w = [f"t{int(x)}" for x in rng.zipf(1.3, 20) % 200]
         items.append((i, " ".join(w), " ".join(w), {x: (w.count(x), 1 + hash(x) % 7) for x in w}, len(w)))
     index = decontam.Index(items, 300, 20.0, 64, least=0.35)
+    assert [index.ids[k] for k in range(300)] == [i[0] for i in sorted(items, key=lambda i: (i[4], i[0]))]
     for _ in range(60):
-        terms = sorted({t for w in rng.choice([f"t{k}" for k in range(200)], 40) if (t := index.term.get(w)) is not None})
+        words = list(rng.choice([f"t{k}" for k in range(200)], 40))
+        terms = {t for w in words if (t := index.term.get(w)) is not None}
         score = np.zeros(300)
         for t in terms:
             score[index.items[t]] += index.impacts[t]
         got = dict(index.retrieve(terms))
         assert sorted(got) == [int(i) for i in np.flatnonzero(score >= 0.35 - 1e-9)]
         assert all(abs(score[i] - s) < 1e-9 for i, s in got.items())
+        # The blocks that are opened hold all of them.
+        assert {i for start, b in index.candidates(words) if start == 0 for i, _ in index.retrieve(terms, b)} == set(got)
 
 
 # ---- language
