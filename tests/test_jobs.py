@@ -128,7 +128,7 @@ def test_one_project_in_detail(spark):
 
 
 def test_an_ozone_designation_hides_the_transport_region(spark):
-    small = ("p", 100.0, "simple_cycle_turbine", "natural_gas", ["dry_low_nox", "scr"], 8760.0, False, None, 1)
+    small = ("p", 100.0, "simple_cycle_turbine", "natural_gas", ["dry_low_nox", "scr", "oxidation_catalyst"], 8760.0, False, None, 1)
     clean = decided(spark, REFERENCE, {"state": "MD"})
     assert clean["applicable"] == 50.0
     assert decided(spark, REFERENCE, {"state": "MD"}, ozone="marginal")["applicable"] == 100.0
