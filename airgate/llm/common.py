@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from airgate.operators import graph
+from airgate.operators.graph import shared_folder, written  # noqa: F401  the operators take them from here
+
 #: White space of the word rule `[^\x20\x09-\x0D]+`, for Spark's regular expressions.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -17,28 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again: lineage ends there and a lost executor costs nothing of it.
-
-    The files go when the session ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/airgate/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the value as text, modulo n; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
@@ -89,21 +67,6 @@ def ranked(ids: DataFrame, key: str, parts: int | None = None) -> DataFrame:
     return dealt.withColumn("pos", start + inside - 1).drop("_part")
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, root) of every node of edges (a, b): root is the least node that can be reached.
-
-    Each round every node takes the least root among its neighbours' and then its root's root, so a chain shortens by
-    halves; the rounds end when nothing changes.
-    """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    roots = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")))
-    for _ in range(rounds):
-        near = both.join(roots, both.b == roots.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = roots.join(near, "node").select("node", "root", F.least("root", "near").alias("mid"))
-        up = roots.select(F.col("node").alias("mid"), F.col("root").alias("top"))
-        after = written(step.join(up, "mid").select("node", F.least("mid", "top").alias("new"), "root"))
-        changed = after.where("new <> root").limit(1).count()
-        roots = after.select("node", F.col("new").alias("root"))
-        if not changed:
-            break
-    return roots
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of edges (a, b) that has another: root is the least node that can be reached."""
+    return graph.components(edges.where("a <> b"))

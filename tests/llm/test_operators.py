@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from airgate.llm import decontam, fingerprints, html_blocks, langid, mixing, near_dup, pii, token_counts, toxicity, url_filter
 from airgate.llm.common import components, ranked, table, word_count
+from airgate.operators import graph
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, pid int, word string, key long"
@@ -43,6 +44,19 @@ def test_ranks_and_components(spark):
     assert roots == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
+def chain_edges(n, width, seed):
+    """A chain of n nodes, each linked to the next `width`, with shuffled ids."""
+    ids = [int(i) for i in np.random.default_rng(seed).permutation(n)]
+    return [(ids[i], ids[i + k]) for i in range(n) for k in range(1, width + 1) if i + k < n]
+
+
+@pytest.mark.parametrize("found", [components, graph.components])
+def test_long_chains_with_shuffled_ids_are_one_component(spark, found):
+    edges = chain_edges(1000, 1, 4) + [(a + 5000, b + 5000) for a, b in chain_edges(500, 3, 5)]
+    roots = {r["node"]: r["root"] for r in found(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert roots == {**{i: 0 for i in range(1000)}, **{i + 5000: 5000 for i in range(500)}}
+
+
 # ---- near duplicates
 
 
