@@ -13,6 +13,8 @@ OPPOSITION = ("worthless", "loser", "pathetic", "thand")
 PROCEEDING = ("the and", "idiot")
 #: Least Jaccard similarity of headlines in tenths, most days apart.
 TENTHS, DAYS = 6, 14
+#: Hosts that don't report on their own county.
+NATIONAL = ("newsweek.com", "usatoday.com", "reuters.com", "apnews.com", "cnbc.com", "cnn.com", "foxnews.com", "nytimes.com", "washingtonpost.com", "wsj.com", "bloomberg.com", "businessinsider.com", "forbes.com", "theguardian.com", "yahoo.com", "msn.com", "investmentwatchblog.com", "constructiondive.com", "utilitydive.com", "datacenterdynamics.com", "datacenterfrontier.com", "datacenterknowledge.com", "bisnow.com")
 
 
 def mentions(text: str, terms: tuple[str, ...]) -> Column:
@@ -52,9 +54,11 @@ def tokens(headline: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: F.length(w) > 2))
 
 
-def similar(items: DataFrame) -> DataFrame:
+def similar(items: DataFrame, undated: bool = False) -> DataFrame:
     """Pairs (a, b) of items in one county with headlines alike by TENTHS and dates at most DAYS apart: a prefix filter.
 
+    With `undated`, a pair of which an item has no date passes too.
+
     Ordered from the rarest word on, alike headlines share one of their first n - ceil(0.6 n) + 1 words, so those words
     are the join's keys; what meets there is then compared whole. Headlines with equal words are one set for the filter.
     """
@@ -74,7 +78,60 @@ def similar(items: DataFrame) -> DataFrame:
     left = held.select("county", F.col("words").alias("wa"), F.col("item_id").alias("a"), F.col("published").alias("pa"))
     right = held.select("county", F.col("words").alias("wb"), F.col("item_id").alias("b"), F.col("published").alias("pb"))
     joined = left.join(alike, ["county", "wa"]).join(right, ["county", "wb"])
-    return joined.where((F.col("a") < F.col("b")) & (F.abs(F.datediff("pa", "pb")) <= DAYS)).select("a", "b")
+    close = F.coalesce(F.abs(F.datediff("pa", "pb")) <= DAYS, F.lit(undated))
+    return joined.where((F.col("a") < F.col("b")) & close).select("a", "b")
+
+
+def normalised(headline: Column) -> Column:
+    """The headline in lower case, its words of letters and digits with one space between."""
+    return F.trim(F.regexp_replace(F.lower(headline), "[^a-z0-9]+", " "))
+
+
+def same_story(items: DataFrame) -> DataFrame:
+    """Pairs (a, b) of items in one county that are one story: one canonical URL, one normalised headline, or similar.
+
+    The date test holds for similar headlines only, and a missing date passes it. Items without a url (or where there is
+    no such column) have no page in common.
+    """
+    keys = {"headline": normalised(F.col("headline"))}
+    if "url" in items.columns:
+        keys["url"] = canonical(F.col("url"))
+    pairs = similar(items, undated=True)
+    for key in keys.values():
+        held = items.select("county", "item_id", key.alias("key")).where("key is not null")
+        a, b = held.withColumnRenamed("item_id", "a"), held.withColumnRenamed("item_id", "b")
+        pairs = pairs.union(a.join(b, ["county", "key"]).where("a < b").select("a", "b"))
+    return pairs.distinct()
+
+
+def canonical(url: Column) -> Column:
+    """Host without www. and path without slashes at its end, in lower case."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, "://([^/?#]*)", 1)), r"^www\.", "")
+    return F.concat(host, F.regexp_replace(F.lower(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1)), "/+$", ""))
+
+
+def story_leads(items: DataFrame) -> DataFrame:
+    """story, county, items, lead (an item_id), also_reported_by of each story, the components of same_story links.
+
+    The lead has a summary, then no national host, then the earliest date (undated last), then the least item_id. The other
+    mastheads follow in that order, each once and without the lead's. items may have url and summary.
+    """
+    keys = [normalised(F.col("headline"))] + ([canonical(F.col("url"))] if "url" in items.columns else [])
+    edges = similar(items, undated=True)
+    for key in keys:
+        # A star to the least item links equal keys without all their pairs.
+        held = items.select("county", "item_id", key.alias("key")).where("key is not null")
+        least = held.groupBy("county", "key").agg(F.min("item_id").alias("a"))
+        edges = edges.union(held.join(least, ["county", "key"]).where("a <> item_id").select("a", F.col("item_id").alias("b")))
+    held = items.join(components(edges), items.item_id == F.col("node"), "left").withColumn("story", F.coalesce("root", "item_id"))
+    bare = F.coalesce(F.trim("summary") == "", F.lit(True)) if "summary" in items.columns else F.lit(True)
+    host = F.substring_index(canonical(F.col("url")), "/", 1) if "url" in items.columns else F.lit("")
+    rank = F.struct(bare.alias("bare"), F.coalesce(host.isin(*NATIONAL), F.lit(False)).alias("national"), F.coalesce(F.col("published").cast("string"), F.lit("9999")).alias("day"), "item_id")
+    # A masthead stands where its first item does, so a story holds a row a masthead.
+    first = held.groupBy("county", "story", "publication").agg(F.count("*").alias("n"), F.min(rank).alias("rank"))
+    told = first.groupBy("county", "story").agg(F.sum("n").alias("items"), F.array_sort(F.collect_list(F.struct("rank", "publication"))).alias("m"))
+    named = F.transform(F.slice("m", 2, F.greatest(F.size("m") - 1, F.lit(0))), lambda x: x["publication"])
+    return told.select("county", "story", "items", F.col("m")[0]["rank"]["item_id"].alias("lead"), F.filter(named, lambda x: F.coalesce(x != "", F.lit(False))).alias("also_reported_by"))
 
 
 def stories(items: DataFrame) -> DataFrame:

@@ -66,6 +66,30 @@ def agg12_story_clusters(spark, sf_dir):
     return news.stories(_news(spark, sf_dir))
 
 
+_LINKED = f"""{_NEWS}, dated AS (SELECT n.* REPLACE (CASE WHEN item_id % 11 <> 0 THEN published END AS published), u.url, split_part(body, chr(10), 2) AS summary FROM news n LEFT JOIN (SELECT page_id, min(url) AS url FROM pages GROUP BY 1) u ON u.page_id = n.item_id)"""
+
+
+def _dated(spark, sf_dir) -> DataFrame:
+    """The news with the page of the same number as url, the second line as summary, and every eleventh item undated."""
+    urls = read(spark, sf_dir, "pages").groupBy(F.col("page_id").alias("item_id")).agg(F.min("url").alias("url"))
+    held = _news(spark, sf_dir).join(urls, "item_id", "left")
+    return held.withColumns({"published": F.when(F.col("item_id") % 11 != 0, F.col("published")), "summary": F.split_part("body", F.lit("\n"), F.lit(2))})
+
+
+@registered(rf"""WITH {_LINKED}, t AS (SELECT item_id, county, published, trim(regexp_replace(lower(headline), '[^a-z0-9]+', ' ', 'g')) AS h,
+  regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', '') || regexp_replace(lower(regexp_extract(url, '://[^/?#]*([^?#]*)', 1)), '/+$', '') AS u FROM dated),
+w AS (SELECT *, list_distinct(list_filter(string_split(h, ' '), lambda w: len(w) > 2)) AS w FROM t)
+SELECT a.item_id AS a, b.item_id AS b FROM w a JOIN w b ON a.county = b.county AND a.item_id < b.item_id AND (a.u = b.u OR a.h = b.h OR (len(a.w) > 0 AND len(b.w) > 0 AND coalesce(abs(a.published - b.published) <= 14, true)
+  AND 10 * len(list_intersect(a.w, b.w)) >= 6 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))))""")
+def join15_story_links(spark, sf_dir):
+    return news.same_story(_dated(spark, sf_dir))
+
+
+@registered()
+def agg12_story_leads(spark, sf_dir):
+    return news.story_leads(_dated(spark, sf_dir))
+
+
 @registered(f"""WITH {_NEWS}, r AS (SELECT county, item_id, published, row_number() OVER (PARTITION BY county ORDER BY published DESC NULLS LAST, item_id) AS place FROM news) SELECT county, item_id, published::VARCHAR AS published FROM r WHERE place <= 25""")
 def top5_newest_stories(spark, sf_dir):
     newest = Window.partitionBy("county").orderBy(F.desc_nulls_last("published"), "item_id")

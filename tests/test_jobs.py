@@ -192,6 +192,18 @@ def test_similar_stories_and_bridges(spark):
     assert {r["root"] for r in components(chain).collect()} == {0}
 
 
+def test_stories_of_one_page_one_headline_and_no_date(spark):
+    rows = [
+        (0, "Board votes on turbines", "2024-01-01", "http://apnews.com/x", "told", "AP"), (1, "BOARD votes, on turbines", "2024-06-01", "http://paper.com/a", "told", "Paper"),
+        (2, "nothing like it", "2024-01-03", "https://www.paper.com/A/?q", "", "Weekly"), (3, "board votes on turbines again", None, "http://w.com/b", "", "Weekly"), (4, "zoning map", None, "http://w.com/c", "", "Weekly"),
+    ]
+    items = spark.createDataFrame([(i, "c", p, h, d, u, s) for i, h, d, u, s, p in rows], "item_id long, county string, publication string, headline string, published string, url string, summary string")
+    items = items.withColumn("published", F.to_date("published"))
+    assert {tuple(r) for r in news.same_story(items).collect()} == {(0, 1), (1, 2), (0, 3), (1, 3)}
+    got = {r["story"]: (r["items"], r["lead"], r["also_reported_by"]) for r in news.story_leads(items).collect()}
+    assert got == {0: (4, 1, ["AP", "Weekly"]), 4: (1, 4, [])}
+
+
 def test_announced_dates(spark):
     said = ["2026-10-05", "Q4 2026", "2026-11", "2027", "soon", None, "2026-13"]
     day, how = records.announced(F.col("s"))
