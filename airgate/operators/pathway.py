@@ -258,3 +258,19 @@ decided AS (
          (coalesce(offset_ratio >= 1.3, false)::INT + (increment_no2 >= 0.95)::INT + (increment_pm25 >= 0.95)::INT + (ej AND residents_1km > 500)::INT
           + moratorium::INT + coalesce(fuel = 'natural_gas' AND gas_pipeline_km > 25, false)::INT) AS n_stops
   FROM timed)"""
+
+
+def deltas(decided: DataFrame, project: str) -> DataFrame:
+    """Every candidate of a project against its first, by site_id and plant_id: pathways, rank_change and months_saved
+    (more is better), and the hard stops and triggers that are cleared and added. The first itself has no row."""
+    held = decided.select(project, "site_id", "plant_id", "pathway", "rank", "months_likely", F.transform("triggers", lambda t: t["name"]).alias("triggers"), "stops")
+    place = F.struct("site_id", "plant_id")
+    facts = F.struct(place.alias("place"), "pathway", "rank", "months_likely", "triggers", "stops")
+    first = held.groupBy(project).agg(F.min_by(facts, place).alias("base"))
+    d = held.join(first, project).where(place != F.col("base.place"))
+    less = lambda a, b: F.array_sort(F.array_except(a, b))
+    return d.select(
+        project, "site_id", "plant_id", F.col("base.pathway").alias("pathway_from"), F.col("pathway").alias("pathway_to"),
+        (F.col("base.rank") - F.col("rank")).alias("rank_change"), F.round(F.col("base.months_likely") - F.col("months_likely"), 1).alias("months_saved"),
+        *[x for c in ("stops", "triggers") for x in (less(F.col(f"base.{c}"), F.col(c)).alias(f"{c}_cleared"), less(F.col(c), F.col(f"base.{c}")).alias(f"{c}_added"))],
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airgate.functions import forms
-from airgate.operators import records
+from airgate.operators import pathway, records
 from airgate.plans import permit
 from airgate.plans.base import registered, shown
 from airgate.plans.permit import _OWN, _SWEEP
@@ -111,6 +111,12 @@ def prj24_pathway_delta(spark, sf_dir):
     return ends.select(F.col("l_orderkey").alias("project"), (-F.col("lo.r") - F.col("hi.r")).alias("rank_delta"))
 
 
+@registered()
+def prj24_candidate_deltas(spark, sf_dir):
+    """All of an order's plants after the first; prj24_pathway_delta has the second's rank only."""
+    return pathway.deltas(permit.own_site(spark, sf_dir), "l_orderkey")
+
+
 @registered(f"""{_SWEEP} SELECT site_id, array_to_string(list_transform(list_sort(list_filter([struct_pack(m := -(CASE WHEN rank = 4 THEN 6 ELSE 0 END)::DOUBLE, n := 'major_nonattainment_nsr'), struct_pack(m := -(CASE WHEN class_i_km <= 100 THEN 6 WHEN class_i_km <= 300 THEN 2 ELSE 0 END)::DOUBLE, n := 'class_i_aqrv'),
   struct_pack(m := -(CASE WHEN zoning_posture = 'hostile' THEN 6 ELSE 0 END)::DOUBLE, n := 'zoning_posture'), struct_pack(m := -(CASE WHEN gas_pipeline_km > 25 THEN 12 WHEN gas_pipeline_km > 8 THEN 4 ELSE 0 END)::DOUBLE, n := 'gas_reachability'), struct_pack(m := -(CASE WHEN ej THEN 4 ELSE 0 END)::DOUBLE, n := 'ej_denial_authority')], lambda x: x.m < 0))[1:3], lambda x: x.n), ',') AS top FROM decided""")
 def top3_deciding_factors(spark, sf_dir):

@@ -204,6 +204,14 @@ def test_stories_of_one_page_one_headline_and_no_date(spark):
     assert got == {0: (4, 1, ["AP", "Weekly"]), 4: (1, 4, [])}
 
 
+def test_deltas_compare_every_candidate_with_the_first(spark):
+    rows = [(7, 1, "a", "x", 4, 30.0, ["s", "t"], ["u"]), (7, 2, "b", "y", 2, 20.04, ["t", "v"], []), (7, 3, "c", "x", 4, 31.0, ["s"], ["u", "w"]), (8, 1, "d", "x", 4, 30.0, [], [])]
+    d = spark.createDataFrame(rows, "p long, site_id long, plant_id string, pathway string, rank int, months_likely double, t array<string>, stops array<string>")
+    d = d.withColumn("triggers", F.transform("t", lambda n: F.struct(n.alias("name"))))
+    got = sorted(tuple(r)[2:] for r in pathway.deltas(d, "p").collect())
+    assert got == [("b", "x", "y", 2, 10.0, ["u"], [], ["s"], ["v"]), ("c", "x", "x", 0, -1.0, [], ["w"], ["t"], [])]
+
+
 def test_announced_dates(spark):
     said = ["2026-10-05", "Q4 2026", "2026-11", "2027", "soon", None, "2026-13"]
     day, how = records.announced(F.col("s"))
