@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from airgate.operators.graph import shared_folder
+
 
 def _folder(spark: SparkSession) -> str:
     """A new folder for checkpoints and results, shared where the cluster names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base}/streams/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
