@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(columns: list[str], name: str) -> str:
+    """name, with as many `_` behind it as no column has, whatever its case."""
+    held = {c.lower() for c in columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def filtered(docs: DataFrame, make) -> DataFrame:
+    """The rows of docs, with all their columns, whose text passes; make() gives a task its test of a text.
+
+    Rows are judged one by one where they are read, so nothing is joined or shuffled and ids don't matter.
+    """
+
+    def run(batches):
+        passes = make()
+        for part in slices(batches):
+            yield part.filter(pa.array([passes(t) for t in part.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the value as text, modulo n; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -5,7 +5,8 @@ from U(0, 1), all from hashes of the word and the sample; with t = floor(ln(weig
 ln(c) - r * (t - b + 1), and the lowest word wins. That value depends on the word and t alone, so it serves as the
 signature's component: two texts agree in it just if they chose the same word at the same t.
 
-Native: DataFrame functions only, and for each text one hash aggregation over its words, without a shuffle of words.
+Native: DataFrame functions only, and for each text one hash aggregation over its words, without a shuffle of words. A text
+and its edited text are one bag with two weights a word, so that they share the draws.
 """
 
 from __future__ import annotations
@@ -15,8 +16,12 @@ from pyspark.sql import functions as F
 
 from airgate.llm.common import SPACE, written
 
-SAMPLES = 32
-_LEAST = -(2**63)
+#: Components of a signature; a likeness of p is met with a standard error of sqrt(p * (1 - p) / SAMPLES), 0.0625 at most.
+SAMPLES = 64
+#: Samples that one aggregation draws; compiled aggregations hold up to 100 columns.
+GROUP = 32
+#: What tells rows apart and orders them: without doc_id last, then doc_id downwards, then the hash of the text.
+KEY = ["nil", "down", "hash"]
 
 
 def _uniform(bits: Column, shift: int) -> Column:
@@ -24,8 +29,8 @@ def _uniform(bits: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(0x1FFFFF)).cast("double") + 0.5) * F.lit(1.0 / 0x200000)
 
 
-def _place(word: Column, log_weight: Column, sample: int) -> Column:
-    one, two = F.xxhash64(word, F.lit(2 * sample)), F.xxhash64(word, F.lit(2 * sample + 1))
+def _place(word: Column, log_weight: Column, sample: int, group: Column) -> Column:
+    one, two = F.xxhash64(word, group, F.lit(2 * sample)), F.xxhash64(word, group, F.lit(2 * sample + 1))
     r = -F.log(_uniform(one, 0) * _uniform(one, 21))
     c = -F.log(_uniform(two, 0) * _uniform(two, 21))
     b = _uniform(one, 42)
@@ -33,16 +38,25 @@ def _place(word: Column, log_weight: Column, sample: int) -> Column:
     return F.log(c) - r * (t - b + 1)
 
 
-def signatures(texts: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """keys and `sig`, an array of `samples` ints, for every text with words; rows with equal keys count as one text.
+def signatures(texts: DataFrame, keys: list[str], sides: tuple[str, ...] = ("text",), samples: int = SAMPLES) -> DataFrame:
+    """keys and sig_<side>, an array of `samples` ints, for every row; rows with equal keys count as one text.
 
-    Texts without words have no row. If texts is already dealt by one of the keys, nothing is shuffled.
+    Each side is a text column; a side without words has a null signature, and a row without any has no row. If texts is
+    already dealt by one of the keys, nothing is shuffled. Samples are drawn in groups of GROUP, a row each, so that an
+    aggregation has few enough columns to be compiled.
     """
-    words = texts.select(*keys, F.explode(F.split(F.lower(F.col(text)), SPACE)).alias("word")).where("word <> ''")
-    bags = words.groupBy(*keys, F.xxhash64("word").alias("word")).agg(F.log(F.count(F.lit(1)).cast("double")).alias("log_weight"))
-    least = [F.min(_place(F.col("word"), F.col("log_weight"), s)).alias(f"m{s}") for s in range(samples)]
-    made = bags.groupBy(*keys).agg(*least)
-    return made.select(*keys, F.array(*[F.hash(f"m{s}") for s in range(samples)]).alias("sig"))
+    told = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(s).alias("t")) for k, s in enumerate(sides)]))
+    words = texts.select(*keys, told.alias("x")).select(*keys, F.col("x.side").alias("side"), F.explode(F.split(F.lower("x.t"), SPACE)).alias("word"))
+    # The logarithm of no occurrence is null, and so is the place that it gives.
+    weights = [F.log(F.count(F.when(F.col("side") == k, 1)).cast("double")).alias(f"w{k}") for k in range(len(sides))]
+    bags = words.where("word <> ''").groupBy(*keys, F.xxhash64("word").alias("word")).agg(*weights)
+    groups, size = -(-samples // GROUP), min(GROUP, samples)
+    bags = bags.withColumn("group", F.explode(F.array(*[F.lit(g) for g in range(groups)])))
+    least = [F.min(_place(F.col("word"), F.col(f"w{k}"), s, F.col("group"))).alias(f"m{s}_{k}") for s in range(size) for k in range(len(sides))]
+    made = bags.groupBy(*keys, "group").agg(*least)
+    part = lambda k: F.when(F.col(f"m0_{k}").isNotNull(), F.array(*[F.hash(f"m{s}_{k}") for s in range(size)])).alias(f"s{k}")
+    made = made.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("group", *[part(k) for k in range(len(sides))]))).alias("parts"))
+    return made.select(*keys, *[F.slice(F.flatten(f"parts.s{k}"), 1, samples).alias(f"sig_{s}") for k, s in enumerate(sides)])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -57,52 +71,67 @@ def as_text(sig: Column) -> Column:
 
 
 def followed(ids: DataFrame, parts: int) -> DataFrame:
-    """ids (key, ...; keys distinct) with `next`: the next lower key, after the lowest the highest.
+    """ids (KEY, ...) with `next`, the KEY of the row that follows in the order of KEY, after the last the first.
 
-    Keys are dealt by range and looked up within their range; of each range only its highest key reaches the driver.
+    Rows are dealt by range and looked up within their range; of each range only its first key reaches the driver.
     """
-    dealt = written(ids.repartitionByRange(parts, "key").withColumn("_part", F.spark_partition_id()))
-    highest = {r["_part"]: r["key"] for r in dealt.groupBy("_part").agg(F.max("key").alias("key")).collect()}
-    lower = [max((k for p, k in highest.items() if p < part), default=max(highest.values())) for part in range(parts)] if highest else []
-    beyond = F.element_at(F.array(*[F.lit(x).cast("long") for x in lower]), F.col("_part") + 1) if lower else F.lit(None).cast("long")
-    inside = F.lead("key").over(Window.partitionBy("_part").orderBy(F.col("key").desc()))
-    return dealt.withColumn("next", F.coalesce(inside, beyond)).drop("_part")
+    place = F.struct(*KEY)
+    dealt = written(ids.repartitionByRange(parts, *KEY).withColumn("_part", F.spark_partition_id()))
+    firsts = {r["_part"]: r["f"] for r in dealt.groupBy("_part").agg(F.min(place).alias("f")).collect()}
+    if not firsts:
+        return dealt.withColumn("next", place).drop("_part")
+    kinds = dict(dealt.select(*KEY).dtypes)
+    whole = min(tuple(f) for f in firsts.values())
+    after = [min((tuple(f) for p, f in firsts.items() if p > part), default=whole) for part in range(parts)]
+    beyond = F.array(*[F.struct(*[F.lit(x).cast(kinds[c]).alias(c) for c, x in zip(KEY, f, strict=True)]) for f in after])
+    inside = F.lead(place).over(Window.partitionBy("_part").orderBy(*KEY))
+    return dealt.withColumn("next", F.coalesce(inside, F.element_at(beyond, F.col("_part") + 1))).drop("_part")
 
 
 def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """Fingerprints of every text and of its edited text, in which the last half comes from the next document.
+    """Fingerprints of every row's text and of its edited text, in which the last half comes from the next document.
 
     The next document is the one with the next lower doc_id, after the lowest the highest; a lone document follows itself.
-    floor(n_chars / 2) code points are replaced by the next document's first as many, or by all if it has fewer. Null texts
-    are empty; a text without words has the empty fingerprint. Null doc_id counts as the lowest. Rows that repeat a doc_id
-    are one document, of the least text. Other columns are ignored. An empty table gives no rows.
+    Rows without doc_id come after all others, rows with one doc_id in the order of their texts' hashes, equal rows one
+    after the other; every row has its result. floor(n_chars / 2) code points are replaced by the next document's first as
+    many, or by all if it has fewer. Null texts are empty; a text without words has the empty fingerprint. Texts of any
+    length are read whole. Other columns are ignored. An empty table gives no rows.
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = written(rows.select("key", F.char_length("text").cast("long").alias("n")))
-    if ids.groupBy("key").count().where("count > 1").limit(1).count():
-        rows = rows.groupBy("key").agg(F.min("text").alias("text"))
-        ids = written(rows.select("key", F.char_length("text").cast("long").alias("n")))
-    order = written(followed(ids, parts))
-    give = order.select(F.col("next").alias("key"), F.col("key").alias("to"), F.floor(F.col("n") / 2).cast("int").alias("half"))
+    doc, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    rows = docs.select(doc.isNull().cast("int").alias("nil"), F.bitwise_not(F.coalesce(doc, F.lit(0))).alias("down"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    ids = written(rows.select(*KEY, F.char_length("text").cast("long").alias("n")))
+    order = followed(ids, parts)
+    repeated = ids.groupBy(*KEY).count().where("count > 1").limit(1).count() > 0
+    if repeated:
+        # Equal rows are one text here; all but the last of them are followed by themselves.
+        rows = rows.groupBy(*KEY).agg(F.min("text").alias("text"))
+        order = order.groupBy(*KEY, "n", "next").agg(F.count("*").cast("int").alias("times"))
+    else:
+        order = order.withColumn("times", F.lit(1))
+    order = written(order.withColumn("again", (F.struct(*KEY) == F.col("next")) & F.lit(repeated)))
+    to = F.struct(*KEY, "again").alias("to")
+    give = order.select(*[F.col(f"next.{c}").alias(c) for c in KEY], to, F.floor(F.col("n") / 2).cast("int").alias("half"))
     # Each text is dealt by key once; what the next document gives travels, cut, to the one it is given to.
-    heads = rows.join(give.hint("shuffle_hash"), "key").select(F.col("to").alias("key"), "half", F.expr("substring(text, 1, half)").alias("head"))
-    pairs = rows.join(heads, "key")
-    edited = F.expr("concat(substring(text, 1, char_length(text) - half), head)")
-    both = pairs.select("key", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), edited.alias("t")))).alias("x"))
-    sigs = signatures(both.select("key", F.col("x.side").alias("side"), F.col("x.t").alias("text")), ["key", "side"], samples=samples)
-    sides = sigs.groupBy("key").agg(F.max(F.when(F.col("side") == 0, F.struct("sig"))).alias("own"), F.max(F.when(F.col("side") == 1, F.struct("sig"))).alias("changed"))
-    facts = pairs.select("key", F.sha2(edited.cast("binary"), 256).alias("edited_sha256"))
-    made = written(facts.join(sides, "key", "left").select("key", "edited_sha256", F.col("own.sig").alias("own"), F.col("changed.sig").alias("changed")))
-    nexts = made.select(F.col("key").alias("next"), F.col("own").alias("next_own"))
-    out = made.join(order, "key").join(nexts, "next")
-    return out.select(
-        F.when(F.col("key") != _LEAST, F.col("key")).alias("doc_id"),
+    heads = rows.join(give.hint("shuffle_hash"), KEY).select("to.*", "half", F.expr("substring(text, 1, half)").alias("head"))
+    pairs = rows.join(heads, KEY).withColumn("changed", F.expr("concat(substring(text, 1, char_length(text) - half), head)"))
+    sigs = signatures(pairs.select(*KEY, "again", "text", "changed"), [*KEY, "again"], ("text", "changed"), samples)
+    facts = pairs.select(*KEY, "again", F.sha2(F.col("changed").cast("binary"), 256).alias("edited_sha256"))
+    made = facts.join(sigs, [*KEY, "again"], "left")
+    made = written(made.select(*KEY, "again", "edited_sha256", F.col("sig_text").alias("own"), F.col("sig_changed").alias("changed")))
+    nexts = made.select(F.struct(*KEY).alias("next"), F.col("own").alias("next_own"))
+    if repeated:
+        nexts = nexts.groupBy("next").agg(F.first("next_own").alias("next_own"))
+    out = made.join(order, [*KEY, "again"]).join(nexts, "next")
+    out = out.select(
+        F.when(F.col("nil") == 0, F.bitwise_not("down")).alias("doc_id"),
         F.col("n").alias("n_chars"),
         "edited_sha256",
         as_text(F.col("own")).alias("fingerprint"),
         as_text(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"),
         likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+        "times",
     )
+    return (out.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))) if repeated else out).drop("times")
