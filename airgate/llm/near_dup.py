@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from airgate.llm.common import components, mix, slices, written
+from airgate.llm.common import components, free, mix, slices, written
 
 BINS, ROWS = 128, 4
+#: Members of a bucket that one task joins; larger buckets are dealt out over several.
+SLICE = 512
 #: Buckets that a centre and a member share at least before a star pairs them; of alike sets, 1 in 10^6 shares fewer.
 SHARED_BANDS = 2
 
@@ -91,7 +93,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _sketches(n: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for part in slices(batches):
@@ -99,6 +101,7 @@ def _sketches(n: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
+                    part.column("text_hash"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([band_keys(signature(s)) if len(s) else None for s in sets], pa.list_(pa.int64())),
@@ -131,10 +134,14 @@ class _Sets:
         self.sketches = sketches
 
     def take(self, sids: DataFrame) -> None:
-        """sids: the column sid of all sets that can ever be asked for."""
-        one = self.sketches.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-        asked = self.docs.select("doc_id", "text").join(one, "doc_id").select("sid", "text")
+        """sids: the column sid of all sets that can ever be asked for; one row stands for each."""
+        row = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "text_hash")
+        one = self.sketches.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min(row).alias("r"))
+        one = written(one.select("sid", F.col("r.doc_id").alias("id"), F.col("r.text_hash").alias("text_hash")))
+        asked = self.docs.join(one, self.docs.doc_id.eqNullSafe(one.id) & (self.docs.text_hash == one.text_hash)).select("sid", "text")
         self.known = written(asked.mapInArrow(_full_sets(self.n), "sid long, shingles array<long>"))
+        if self.known.count() > one.count():  # rows that repeat
+            self.known = written(self.known.dropDuplicates(["sid"]))
 
     def sharing(self, open_sets: DataFrame) -> DataFrame:
         """Pairs (a, b) of open_sets (sid, root) with unlike roots that can be alike enough: an exact prefix filter.
@@ -172,54 +179,97 @@ class _Sets:
         return held.where(self.of * F.col("both") >= self.least * union).select("a", "b").distinct()
 
 
+def _of_bucket(members: DataFrame, table: DataFrame) -> DataFrame:
+    """members with the columns of table, which has one row a bucket (key, size); large buckets are dealt over several tasks."""
+    parts = F.ceil(F.col("size") / SLICE).cast("int")
+    table = table.withColumn("slice", F.explode(F.sequence(F.lit(0), parts - 1))).drop("size")
+    return members.withColumn("slice", F.pmod(F.xxhash64("sid"), parts).cast("int")).join(table, ["key", "slice"]).drop("slice")
+
+
 def _star(members: DataFrame, centres: DataFrame) -> DataFrame:
     """Pairs (a, b) of each bucket's best-connected centre with its members outside the centre's component.
 
     Members that meet the centre in a single bucket are left to the exact join that follows the stars.
     """
-    best = centres.groupBy("key").agg(F.max(F.struct("met", "sid", "root")).alias("c")).select("key", F.col("c.sid").alias("a"), F.col("c.root").alias("ra"))
+    best = centres.groupBy("key").agg(F.max(F.struct("met", "sid", "root")).alias("c"), F.max("size").alias("size"))
+    best = best.select("key", "size", F.col("c.sid").alias("a"), F.col("c.root").alias("ra"))
     apart = F.col("ra").isNull() if "root" not in members.columns else F.col("ra") != F.col("root")
-    return members.join(best, "key").where(apart & (F.col("a") != F.col("sid"))).groupBy("a", F.col("sid").alias("b")).count().where(F.col("count") >= SHARED_BANDS).drop("count")
+    met = _of_bucket(members, best).where(apart & (F.col("a") != F.col("sid")))
+    return met.groupBy("a", F.col("sid").alias("b")).count().where(F.col("count") >= SHARED_BANDS).drop("count")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, least: int = 80, of: int = 100) -> DataFrame:
-    """Groups of near duplicates: doc_id, n_shingles, component_id (least doc_id of the group), kept.
-
-    docs needs doc_id and text; other columns are ignored. Two sets are linked if of * |both| >= least * |either|, always
-    confirmed on full sets. Null and blank texts have an empty set and are linked with nothing. Rows with equal sets are
-    one node, so groups of exact copies, of any size, cost one node. Rows that repeat a doc_id are each judged by their
-    own text. A row without doc_id has no component and is kept; it links nothing. An empty table gives no rows.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = docs.mapInArrow(_sketches(shingle), "doc_id long, n long, sid long, bands array<long>")
+def _grouped(docs: DataFrame, shingle: int, least: int, of: int) -> tuple[DataFrame, DataFrame]:
+    """The sketch of every row (doc_id, text_hash, n, sid), and (sid, root) of the sets that are linked with others."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    made = docs.mapInArrow(_sketches(shingle), "doc_id long, text_hash long, n long, sid long, bands array<long>")
     sketches = written(made)
-    named = sketches.where("sid is not null and doc_id is not null")
+    named = sketches.where("sid is not null")
     # Distinct members of each bucket; copies meet before the shuffle.
-    members = named.select("sid", F.explode("bands").alias("key")).distinct()
-    sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = written(named.select("sid", F.explode("bands").alias("key")).distinct())
+    sizes = written(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     members = written(members.join(sizes, "key"))
     met = members.groupBy("sid").agg(F.sum("size").alias("met"))
     members = written(members.join(met, "sid"))
     sets = _Sets(docs, named, shingle, of, least)
     sets.take(members.select("sid").distinct())
-    links = written(sets.linked(written(_star(members, members.select("key", "sid", "met", F.lit(None).cast("long").alias("root"))))))
+    links = written(sets.linked(written(_star(members, members.select("key", "size", "sid", "met", F.lit(None).cast("long").alias("root"))))))
     for last in (False, True):
         roots = components(links)
         left = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        mixed = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        left = written(left.join(mixed, "key"))
+        mixed = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("size").alias("size")).where("low <> high").select("key", "size")
+        left = written(_of_bucket(left, mixed))
         if last:
             fresh = sets.sharing(left.select("sid", "root").distinct())
         else:
             # One more star in each bucket, from the best-connected member outside its largest component.
-            main = left.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
-            fresh = _star(left, left.join(main, "key").where("root <> main"))
+            main = left.groupBy("key", "root").agg(F.count("*").alias("count"), F.max("size").alias("size"))
+            main = main.groupBy("key").agg(F.max(F.struct("count", "root")).alias("m"), F.max("size").alias("size")).select("key", "size", F.col("m.root").alias("main"))
+            fresh = _star(left, _of_bucket(left, main).where("root <> main"))
         links = links.union(written(sets.linked(written(fresh))))
-    roots = components(links)
+    return sketches.drop("bands"), components(links).withColumnRenamed("node", "sid")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, least: int = 80, of: int = 100) -> DataFrame:
+    """Groups of near duplicates: doc_id, n_shingles, component_id (least doc_id of the group), kept; a row for each row.
+
+    docs needs doc_id and text; other columns are ignored. Two sets are linked if of * |both| >= least * |either|, always
+    confirmed on full sets. Null and blank texts have an empty set and are linked with nothing. Rows with equal sets are
+    one node, so groups of exact copies, of any size, cost one node. Rows that repeat a doc_id are each judged by their
+    own text. Rows without doc_id are linked like others, but a group's component_id is null only if none of its rows has
+    a doc_id; such a row is kept only then. An empty table gives no rows.
+    """
+    sketches, roots = _grouped(docs, shingle, least, of)
+    named = sketches.where("sid is not null")
     nodes = named.groupBy("sid").agg(F.min("doc_id").alias("least"))
-    grouped = nodes.join(roots.withColumnRenamed("node", "sid"), "sid").groupBy("root").agg(F.min("least").alias("least"))
-    lesser = roots.join(grouped, "root").select(F.col("node").alias("sid"), F.col("least").alias("linked"))
+    grouped = nodes.join(roots, "sid").groupBy("root").agg(F.min("least").alias("least"))
+    lesser = roots.join(grouped, "root").select("sid", F.col("least").alias("linked"))
     final = nodes.join(lesser, "sid", "left").select("sid", F.least("least", "linked").alias("group_id"))
     rows = named.join(final, "sid").select("doc_id", F.col("n").alias("n_shingles"), F.col("group_id").alias("component_id"))
-    alone = sketches.where("sid is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return rows.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    alone = sketches.where("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return rows.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, least: int = 80, of: int = 100) -> DataFrame:
+    """docs, with all their columns, with one row of each group of near duplicates: that of the least doc_id.
+
+    Rows without doc_id stand behind all others; of rows with one doc_id that of the least text hash stays, and of rows
+    that are equal in both one. Rows whose text has no words all stay. Groups are those of near_duplicates.
+    """
+    sketches, roots = _grouped(docs, shingle, least, of)
+    named = sketches.where("sid is not null").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    row = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "text_hash")
+    texts = written(named.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("times")))
+    keepers = texts.groupBy("root").agg(F.min(row).alias("keeper"), F.count("*").alias("texts"), F.sum("times").alias("rows"))
+    judged = texts.join(keepers.where("rows > 1"), "root").withColumn("stays", row == F.col("keeper"))
+    id_, hash_ = free(docs.columns, "id"), free(docs.columns, "text_hash")
+    judged = written(judged.where("not stays or times > 1").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), "stays"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_))
+    left = docs.join(judged.drop("stays"), same, "left_anti")
+    again = judged.where("stays")
+    if again.limit(1).count():
+        # Equal rows: the first in the order of all their columns.
+        held = docs.join(again.drop("stays"), same, "left_semi").withColumn(hash_, F.xxhash64("text"))
+        place = free(held.columns, "place")
+        order = Window.partitionBy("doc_id", hash_).orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns))))
+        left = left.union(held.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*docs.columns))
+    return left
