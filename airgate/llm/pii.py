@@ -1,9 +1,12 @@
 """Personal data: base patterns, then bootstrapped contextual extraction of identifiers that no base pattern knows.
 
-The base finds are the seeds. Every seed and every other identifier-like token has lexical patterns (the words around it).
-Spark scores the graph of patterns and instances: a pattern is as good as the share of its instances that are known, an
-unknown instance as good as its patterns together; instances that score high become known and the scoring goes on. Spans
-of instances that were discovered, where they stand in a good pattern, are added to the base spans.
+Seeds are the base finds and strings that look like keys (hex digests). Every seed and every other string of identifier
+shape is an instance; the words and signs around it are its lexical patterns. Spark scores the graph of patterns and
+instances, round by round: a pattern is as good for a kind as the share of known instances of that kind in it, where
+instances of other kinds and strings that can't be of that kind count against it and strings that can count for neither; an
+unknown instance is as good as its patterns together. Instances that score high become known, patterns are scored anew over
+all edges, so that discovered instances raise patterns of their own, and this goes on until nothing new is found. Spans of
+discovered instances, and of keys, are added where they stand in a good pattern of their kind.
 """
 
 from __future__ import annotations
@@ -13,16 +16,16 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airgate.llm.common import slices, written
+from airgate.llm.common import free, slices, written
 
-#: Kinds in the order in which spans with one start are listed.
-KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring; a pattern needs so many distinct seeds and so high a share of known instances; an instance so high a score.
-ROUNDS, LEAST_SEEDS, LEAST_PATTERN, LEAST_INSTANCE = 3, 4, 0.8, 0.9
-#: Added to a pattern's instances, so that small counts prove less.
+#: Kinds in the order in which spans with one start are listed; the first four are the base ones.
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: Distinct known instances that a pattern needs, and how good a pattern and an instance must be.
+LEAST_SEEDS, LEAST_PATTERN, LEAST_INSTANCE = 4, 0.8, 0.85
+#: Counts against every pattern, so that small counts prove less.
 PRIOR = 0.5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -31,11 +34,22 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]*+")
 _DIGIT = re.compile(r"[0-9]+")
-#: What an identifier-like token consists of; it has a digit and at least MIN_TOKEN of these.
-_TOKEN = re.compile(r"[A-Za-z0-9_.:/@+-]+")
-_TOKEN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.:/@+-")
-MIN_TOKEN, MAX_TOKEN = 5, 64
-_CLEAN = re.compile(r"[\W_]+")
+#: Groups of digits with signs of numbers between and around them, over single spaces.
+_NUMBERS = re.compile(r"[+(]?[0-9][0-9().+/-]*+(?: [(]?[0-9][0-9().+/-]*+)*+")
+_ANCHOR = re.compile(r"[0-9@]")
+#: What ends an identifier-like string, and what is trimmed from its ends.
+_ENDS = frozenset("\"'<>()[]{},;|")
+_TRIMMED = ".:/@+-_!?&$%#*=~^`\\"
+#: Digits of a number and characters of another string that have identifier shape.
+LEAST_DIGITS, LEAST_CHARACTERS = 5, 5
+_KEY = re.compile(r"(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}")
+_MAY = (
+    ("email", re.compile(r"[^\s@]+@[^\s@]+")),
+    ("ip", re.compile(r"[0-9A-Fa-fxX*]*(?:[.:][0-9A-Fa-fxX*]*){2,}(?:/[0-9]+)?")),
+    ("card", re.compile(r"[0-9](?:[ .-]?[0-9]){11,18}")),
+    ("phone", re.compile(r"[+(]?[0-9](?:[ ().+/-]*[0-9]){6,14}\)?")),
+    ("secret", re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])[!-~]{16,}")),
+)
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -103,43 +117,102 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(KINDS[k], start, end) for start, k, end in sorted(found)]
 
 
-def tokens(text: str) -> Iterator[tuple[int, int]]:
-    """Identifier-like tokens: with a digit, of MIN_TOKEN to MAX_TOKEN characters, without punctuation at their ends."""
-    done = 0
-    for m in _DIGIT.finditer(text):
-        if m.start() < done:
-            continue
-        start = m.start()
-        while start > done and text[start - 1] in _TOKEN_CHARS:
+def identifiers(text: str) -> Iterator[tuple[int, int]]:
+    """Strings of identifier shape, left to right: runs of number groups of LEAST_DIGITS digits, and strings without white
+    space, quotes and brackets, of LEAST_CHARACTERS, that have a digit or an @; of any length, without signs at their ends."""
+    done, m = 0, _ANCHOR.search(text)
+    while m:
+        at = m.start()
+        start = at
+        while start > done and not text[start - 1].isspace() and text[start - 1] not in _ENDS:
             start -= 1
-        done = end = _TOKEN.match(text, m.start()).end()
-        while text[end - 1] in ".:/@+-_":
-            end -= 1
-        while text[start] in ".:/@-_":
-            start += 1
-        if MIN_TOKEN <= end - start <= MAX_TOKEN:
-            yield start, end
+        end, size = at + 1, len(text)
+        while end < size and not text[end].isspace() and text[end] not in _ENDS:
+            end += 1
+        if (n := _NUMBERS.match(text, start - (start > done and text[start - 1] == "("))) and n.end() >= end:
+            start, end = n.start(), n.end()
+            while not "0" <= text[end - 1] <= "9":
+                end -= 1
+            if sum("0" <= c <= "9" for c in text[start:end]) >= LEAST_DIGITS:
+                yield start, end
+            done = n.end()
+        else:
+            done = end
+            while end > start and text[end - 1] in _TRIMMED:
+                end -= 1
+            while start < end and text[start] in _TRIMMED:
+                start += 1
+            if end - start >= LEAST_CHARACTERS:
+                yield start, end
+        m = _ANCHOR.search(text, done)
 
 
-def patterns(text: str, start: int, end: int) -> list[str]:
-    """The two words before, and the word before with the word after; digits count as 0, signs are left out."""
-    before = [_DIGIT.sub("0", _CLEAN.sub("", w)) for w in text[max(0, start - 80) : start].lower().split()[-2:]]
-    after = [_DIGIT.sub("0", _CLEAN.sub("", w)) for w in text[end : end + 40].lower().split()[:1]]
-    before, after = [w for w in before if w], [w for w in after if w]
+def may_be(found: str) -> list[str]:
+    """The kinds whose shape a string has."""
+    return [kind for kind, shape in _MAY if shape.fullmatch(found)]
+
+
+def _word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def _before(text: str, at: int, n: int) -> list[str]:
+    """The last n words or single signs before a place, whole; `^` stands before the beginning."""
     out = []
-    if len(before) == 2:
-        out.append(f"{before[0]} {before[1]} _")
-    if before and after:
-        out.append(f"{before[-1]} _ {after[0]}")
+    while len(out) < n:
+        while at and text[at - 1].isspace():
+            at -= 1
+        if not at:
+            return ["^"] * (n - len(out)) + out
+        end = at
+        at -= 1
+        if _word(text[at]):
+            while at and _word(text[at - 1]):
+                at -= 1
+        out.insert(0, _DIGIT.sub("0", text[at:end].lower()))
     return out
 
 
+def _behind(text: str, at: int, n: int) -> list[str]:
+    """The first n words or single signs behind a place, whole; `$` stands behind the end."""
+    out, size = [], len(text)
+    while len(out) < n:
+        while at < size and text[at].isspace():
+            at += 1
+        if at == size:
+            return out + ["$"] * (n - len(out))
+        start = at
+        at += 1
+        if _word(text[start]):
+            while at < size and _word(text[at]):
+                at += 1
+        out.append(_DIGIT.sub("0", text[start:at].lower()))
+    return out
+
+
+def _hash(said: str) -> int:
+    return int.from_bytes(hashlib.blake2b(said.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def patterns(text: str, start: int, end: int) -> list[str]:
+    """Three words or signs before; two before and one behind; one before and two behind. Digits count as 0.
+
+    A pattern has a word with a letter.
+    """
+    b, a = _before(text, start, 3), _behind(text, end, 2)
+    made = ([*b, "_"], [*b[1:], "_", a[0]], [b[2], "_", *a])
+    return [" ".join(p) for p in made if any(c.isalpha() for w in p for c in w)]
+
+
 def listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-_MENTION = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
-_FOUND = "rid long, doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, mentions array<struct<kind: string, start: long, end: long, instance: string, patterns: array<string>>>"
+_MENTION = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64())), ("may", pa.list_(pa.string()))])
+_FOUND = (
+    "rid long, doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, "
+    "mentions array<struct<kind: string, start: long, end: long, instance: long, patterns: array<long>, may: array<string>>>"
+)
 
 
 def _find(batches):
@@ -148,111 +221,134 @@ def _find(batches):
         for text in part.column("text").to_pylist():
             text = text or ""
             spans = base_spans(text)
-            for k, kind in enumerate(KINDS):
+            for k, kind in enumerate(KINDS[:4]):
                 columns[k].append(sum(s[0] == kind for s in spans))
             said = listed(spans)
             columns[4].append(hashlib.sha256(said.encode()).hexdigest())
             columns[5].append(said)
-            taken = [(s, e) for _, s, e in spans]
-            mentions = [(kind, s, e) for kind, s, e in spans]
-            mentions += [(None, s, e) for s, e in tokens(text) if all(e <= a or s >= b for a, b in taken)]
-            columns[6].append(
-                [
-                    {"kind": k, "start": s, "end": e, "instance": text[s:e].lower() if e - s <= MAX_TOKEN else hashlib.sha256(text[s:e].encode()).hexdigest(), "patterns": patterns(text, s, e)}
-                    for k, s, e in mentions
-                ]
-            )
+            columns[6].append([_mention(text, *m) for m in _mentions(text, spans)])
         yield pa.RecordBatch.from_arrays(
             [part.column("rid"), part.column("doc_id"), part.column("text_hash"), *(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.string()) for c in columns[4:6]), pa.array(columns[6], pa.list_(_MENTION))],
             names=["rid", "doc_id", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "mentions"],
         )
 
 
-def discover(mentions: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """From mentions (kind or null, instance, patterns): good patterns (pattern, kind, worth), discovered (instance, kind).
+def _mentions(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str | None, int, int]]:
+    """Base finds, keys, and what else has identifier shape and overlaps no base find."""
+    yield from spans
+    k, reached = 0, 0
+    for s, e in identifiers(text):
+        while k < len(spans) and spans[k][1] < e:
+            reached, k = max(reached, spans[k][2]), k + 1
+        if s >= reached:
+            yield ("secret" if _KEY.fullmatch(text, s, e) else None), s, e
+
+
+def _mention(text: str, kind: str | None, start: int, end: int) -> dict:
+    said = text[start:end]
+    return {"kind": kind, "start": start, "end": end, "instance": _hash(said.lower()), "patterns": [_hash(p) for p in patterns(text, start, end)], "may": [] if kind else may_be(said)}
+
+
+def discover(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From mentions (kind or null, instance, patterns, may): good patterns (pattern, kind), known instances (instance, kind).
 
     All scores are sums over the distinct edges of the pattern-instance graph, so frequent mentions count once.
     """
-    edges = written(mentions.select("kind", "instance", F.explode("patterns").alias("pattern")).distinct())
-    sizes = edges.groupBy("pattern").agg(F.countDistinct("instance").alias("size"), F.countDistinct(F.when(F.col("kind").isNotNull(), F.col("instance"))).alias("seeds"))
-    # Only patterns with enough seeds and with something to discover can matter.
-    useful = sizes.where((F.col("seeds") >= LEAST_SEEDS) & (F.col("size") > F.col("seeds"))).select("pattern", "size")
-    edges = written(edges.join(useful, "pattern"))
-    known = edges.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
-    unknown = edges.where("kind is null").select("instance", "pattern")
-    seeds = known
+    edges = mentions.select("kind", "instance", "may", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance")
+    edges = written(edges.agg(F.max("kind").alias("kind"), F.first("may").alias("may")))
+    # Only patterns that can come to enough known instances, and that hold something to add, can matter.
+    open_ = F.count_if(F.col("kind").isNull() | (F.col("kind") == "secret"))
+    useful = edges.groupBy("pattern").agg(F.count("*").alias("size"), open_.alias("open")).where((F.col("size") >= LEAST_SEEDS) & (F.col("open") > 0))
+    edges = written(edges.join(useful.select("pattern"), "pattern"))
+    unknown = edges.where("kind is null").select("pattern", "instance", "may")
+    strangers = unknown.groupBy("pattern").agg(F.count("*").alias("strangers"))
+    able = unknown.select("pattern", F.explode("may").alias("kind")).groupBy("pattern", "kind").agg(F.count("*").alias("able"))
+    against = written(strangers.join(able, "pattern", "left"))
+    known = written(edges.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0)))
     good = None
-    for _ in range(rounds):
-        from_known = edges.select("pattern", "size", "instance").distinct().join(known, "instance")
-        scored = from_known.groupBy("pattern", "size", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("n"))
-        good = scored.withColumn("worth", F.col("sum") / (F.col("size") + PRIOR)).where((F.col("worth") >= LEAST_PATTERN) & (F.col("n") >= LEAST_SEEDS))
-        good = written(good.select("pattern", "kind", "worth"))
-        reached = unknown.join(good, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("worth", F.lit(0.999)))))).alias("score"))
+    while True:
+        held = edges.select("pattern", "instance").join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("n"))
+        all_ = held.groupBy("pattern").agg(F.sum("sum").alias("all"))
+        scored = held.where(F.col("n") >= LEAST_SEEDS).join(all_, "pattern").join(strangers, "pattern", "left").join(against.select("pattern", "kind", "able"), ["pattern", "kind"], "left")
+        unable = F.coalesce("strangers", F.lit(0)) - F.coalesce("able", F.lit(0))
+        worth = F.col("sum") / (F.col("all") + unable + PRIOR)
+        now = scored.select("pattern", "kind", worth.alias("worth")).where(F.col("worth") >= LEAST_PATTERN)
+        # What was good stays good, so that the rounds come to an end.
+        good = written(now if good is None else now.unionByName(good).groupBy("pattern", "kind").agg(F.max("worth").alias("worth")))
+        reached = unknown.join(good, "pattern").where(F.array_contains("may", F.col("kind"))).groupBy("instance", "kind")
+        reached = reached.agg((1 - F.exp(F.sum(F.log1p(-F.least("worth", F.lit(0.999)))))).alias("score"))
         best = reached.groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("b")).select("instance", F.col("b.kind").alias("kind"), F.col("b.score").alias("score"))
-        found = written(best.where(F.col("score") >= LEAST_INSTANCE).join(seeds.select("instance"), "instance", "left_anti"))
-        if not found.limit(1).count():
-            break
-        known = seeds.unionByName(found)
-    return good, found.select("instance", "kind")
+        new = written(best.where(F.col("score") >= LEAST_INSTANCE).join(known.select("instance"), "instance", "left_anti"))
+        if not new.limit(1).count():
+            return good.select("pattern", "kind"), known.select("instance", "kind")
+        known = written(known.unionByName(new))
 
 
-def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found of every row's whole text.
 
-    The counts and base_sha256 are of the base finds; spans also lists the n_found spans that the bootstrapping adds.
-    Null texts are empty; texts without finds have the empty list. Repeated rows have equal results; rows with equal doc_id
-    are each read for themselves; other columns are ignored. An empty table gives no rows.
+    The counts and base_sha256 are of the base finds; spans also lists the n_found spans that the bootstrapping adds, of the
+    base kinds and of secrets. Texts, contexts and finds may have any length. Null texts are empty; texts without finds have
+    the empty list. Of kinds that score alike for an instance the last in the alphabet is taken. Repeated rows have equal
+    results; rows with equal doc_id are each read for themselves; other columns are ignored. An empty table gives no rows.
     """
-    return _with_spans(docs.select("doc_id", "text"), rounds)[0]
-
-
-def _with_spans(docs: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """The result of find_personal_data, and (doc_id, text_hash, all spans as structs) of the texts that have any."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    found = written(rows.mapInArrow(_find, _FOUND))
-    mentions = found.select("rid", F.inline("mentions")).where(F.size("patterns") > 0)
-    good, new = discover(mentions, rounds)
-    # An instance is taken where it stands in a good pattern of its kind.
-    candidates = mentions.where("kind is null").select("rid", "start", "end", "instance", F.explode("patterns").alias("pattern"))
-    added = candidates.join(new, "instance").join(good.select("pattern", "kind"), ["pattern", "kind"]).select("rid", "kind", "start", "end").distinct()
-    added = added.groupBy("rid").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+    found, added = _with_added(docs)
     all_rows = found.drop("mentions").join(added, "rid", "left")
-    parts = F.split("spans", ",")
-    base = F.transform(F.filter(parts, lambda s: s != ""), lambda s: F.struct(F.split(s, ":")[0].alias("kind"), F.split(s, ":")[1].cast("long").alias("start"), F.split(s, ":")[2].cast("long").alias("end")))
+    base = F.transform(F.filter(F.split("spans", ","), lambda s: s != ""), lambda s: F.struct(F.split(s, ":")[0].alias("kind"), F.split(s, ":")[1].cast("long").alias("start"), F.split(s, ":")[2].cast("long").alias("end")))
     merged = F.concat(base, F.coalesce("added", F.array().cast("array<struct<kind: string, start: long, end: long>>")))
     place = F.array(*[F.lit(k) for k in KINDS])
     ordered = F.array_sort(F.transform(merged, lambda s: F.struct(s["start"].alias("start"), F.array_position(place, s["kind"]).alias("place"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    all_rows = all_rows.withColumn("all", ordered)
-    said = F.array_join(F.transform("all", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    said = F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     n_found = F.when(F.col("added").isNull(), 0).otherwise(F.size("added")).cast("long")
-    result = all_rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", said.alias("spans"), n_found.alias("n_found"))
-    return result, all_rows.where(F.size("all") > 0).select("doc_id", "text_hash", "all")
+    return all_rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", said.alias("spans"), n_found.alias("n_found"))
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in angle brackets; of overlapping spans the first rules."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+def _with_added(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What _find says of every row, and (rid, added) of the rows to which the bootstrapping adds spans."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    found = written(rows.mapInArrow(_find, _FOUND))
+    mentions = found.select("rid", F.inline("mentions")).where(F.size("patterns") > 0)
+    good, known = discover(mentions)
+    candidates = mentions.where("kind is null or kind = 'secret'").select("rid", "start", "end", "instance", F.explode("patterns").alias("pattern"))
+    added = candidates.join(known, "instance").join(good, ["pattern", "kind"]).select("rid", "kind", "start", "end").distinct()
+    return found, written(added.groupBy("rid").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added")))
 
-    def step(acc: Column, s: Column) -> Column:
-        between = F.substr(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
-        on = F.struct(F.concat(acc["out"], between, F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"), s["end"].alias("at"))
-        return F.when(s["start"] >= acc["at"], on).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"].cast("int") + 1)))
+def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with each span replaced by its kind in angle brackets; of overlapping spans the first rules."""
+    out, at = [], 0
+    for kind, start, end in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2])):
+        if start >= at:
+            out += [text[at:start], f"<{kind.upper()}>"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
 
 
-def redacted(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def redacted(docs: DataFrame) -> DataFrame:
     """The documents, all rows and columns, with personal data masked in text and n_chars (where there is one) counted anew.
 
-    Spans are those of find_personal_data; they come back to their rows by doc_id and the hash of the text, so equal rows
-    share them. Null texts stay null and their n_chars as it was.
+    Spans are those of find_personal_data. Those that the bootstrapping adds come back to their rows by doc_id and the hash
+    of the text, so equal rows share them. Null texts stay null and their n_chars as it was.
     """
-    spans = _with_spans(docs.select("doc_id", "text"), rounds)[1].dropDuplicates(["doc_id", "text_hash"])
-    spans = spans.select(F.col("doc_id").alias("_pii_doc"), F.col("text_hash").alias("_pii_text"), F.col("all").alias("_pii_spans"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_pii_doc")) & (F.xxhash64("text") == F.col("_pii_text"))
-    joined = docs.join(spans, same, "left")
-    new = F.when(F.col("_pii_spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("_pii_spans")))
-    columns = {"text": new}
-    if "n_chars" in docs.columns:
-        columns["n_chars"] = F.coalesce(F.char_length(new).cast(docs.schema["n_chars"].dataType), "n_chars")
-    return joined.withColumns(columns).select(*docs.columns)
+    found, added = _with_added(docs.select("doc_id", "text"))
+    id_, hash_, more = (free(docs.columns, c) for c in ("id", "text_hash", "added"))
+    held = found.select("rid", "doc_id", "text_hash").join(added, "rid").groupBy("doc_id", "text_hash").agg(F.first("added").alias(more))
+    held = written(held.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), more))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_))
+    joined, names = docs.join(held, same, "left").select(*docs.columns, more), docs.columns
+
+    def mask(batches):
+        for part in slices(batches):
+            texts, extra = part.column("text").to_pylist(), part.column(more).to_pylist()
+            new = [t if t is None else masked(t, base_spans(t) + [(s["kind"], s["start"], s["end"]) for s in x or []]) for t, x in zip(texts, extra, strict=True)]
+            columns = []
+            for name in names:
+                column = part.column(name)
+                if name == "text":
+                    column = pa.array(new, column.type)
+                elif name == "n_chars":
+                    column = pa.array([n if t is None else len(t) for t, n in zip(new, column.to_pylist(), strict=True)], column.type)
+                columns.append(column)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(mask, docs.schema)
