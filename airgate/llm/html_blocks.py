@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from random import Random
 
 import numpy as np
@@ -23,6 +24,10 @@ from airgate.llm.common import slices
 SAMPLE_PAGES, BUILT_PAGES = 120, 360
 PATH_DIMS, WORD_DIMS, SIZE_DIMS, HIDDEN = 64, 32, 5, 16
 EPOCHS, BATCH, STEPS, RATE = 7, 32, 48, 0.02
+#: Blocks of several pages that are labelled at once, with their padding; a page with more is labelled alone.
+CELLS = 1 << 14
+#: Words that built pages are made of: so many of each sample block, and so many distinct ones.
+BLOCK_WORDS, BUILT_WORDS = 50, 5000
 
 #: Elements that begin and end a block, that have no end tag, and whose content is no text.
 BLOCK = frozenset(
@@ -40,10 +45,9 @@ DROP_MARKS = frozenset(
     "button select option title copyright legal disclaimer popup modal tags meta byline-links toolbar search".split()
 )
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|<[!?][^>]*>",
-    re.S,
-)
+_OPEN = re.compile(r"<!--|<[!?]|<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+#: The rest of a tag: a quote behind `=` hides what is in it, of any length; a quote without its other end hides nothing.
+_REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>")
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -75,14 +79,24 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
             size += length
             linked += length if links else 0
 
-    at = 0
-    while (m := _TAG.search(page, at)) is not None:
+    at, opened, quotes = 0, Counter(), True
+    while (m := _OPEN.search(page, at)) is not None:
+        if m[0] == "<!--":
+            add(page[at : m.start()])
+            stop = page.find("-->", m.end())
+            at = stop + 3 if stop >= 0 else len(page)
+            continue
+        rest = _REST.match(page, m.end()) if m[2] and quotes else None
+        stop = rest.end() - 1 if rest else page.find(">", m.end())
+        if stop < 0:
+            break
+        quotes = quotes and bool(rest or not m[2])
         add(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        at = stop + 1
+        name = (m[2] or "").lower()
         if not name:
             continue
-        ends, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
+        ends, attributes = bool(m[1]), page[m.end() : stop]
         if name in RAW:
             if not ends and not attributes.endswith("/"):
                 stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
@@ -95,21 +109,25 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
         if name in VOID:
             continue
         if ends:
-            if any(tag == name for tag, _ in stack):
+            if opened[name]:
                 while stack:
                     tag, _ = stack.pop()
+                    opened[tag] -= 1
                     links -= tag == "a"
                     if tag == name:
                         break
         else:
             if name in BLOCK and any(tag == "p" for tag, _ in stack[-4:]):
                 while stack and stack[-1][0] not in BLOCK:
-                    links -= stack.pop()[0] == "a"
+                    tag = stack.pop()[0]
+                    opened[tag] -= 1
+                    links -= tag == "a"
                 if stack and stack[-1][0] == "p":
-                    stack.pop()
+                    opened[stack.pop()[0]] -= 1
             if not attributes.endswith("/"):
                 marks = re.findall(r"[a-z0-9_-]+", " ".join(a or b or c for a, b, c in _MARK.findall(attributes)).lower())
                 stack.append((name, (name, *(f".{x}" for x in marks))))
+                opened[name] += 1
                 links += name == "a"
     add(page[at:])
     close()
@@ -173,8 +191,8 @@ class Network:
         self.p["o"] = (rng.normal(size=2 * hidden) / np.sqrt(hidden)).astype(np.float32)
         self.p["c"] = np.zeros(1, np.float32)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, way: str):
-        """States of one direction; padding leaves the state as it is. Also what the backward pass needs."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, way: str, learning: bool = True):
+        """States of one direction; padding leaves the state as it is. For learning also what the backward pass needs."""
         pre, u, h = x @ self.p[f"w{way}"] + self.p[f"b{way}"], self.p[f"u{way}"], self.hidden
         n, t, _ = x.shape
         state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
@@ -187,14 +205,15 @@ class Network:
             m = mask[:, k, None]
             new_cell = f * cell + i * g
             bent = np.tanh(new_cell)
-            kept.append((k, state, cell, i, f, o, g, bent, m))
+            if learning:
+                kept.append((k, state, cell, i, f, o, g, bent, m))
             cell = m * new_cell + (1 - m) * cell
             state = m * (o * bent) + (1 - m) * state
             states[:, k] = state
         return states, kept
 
     def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        forward, backward = self._run(x, mask, "f")[0], self._run(x, mask, "b")[0]
+        forward, backward = self._run(x, mask, "f", False)[0], self._run(x, mask, "b", False)[0]
         z = np.concatenate([forward, backward], axis=2) @ self.p["o"] + self.p["c"]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -332,10 +351,13 @@ def built_page(rng: Random, words: list[str]) -> tuple[str, set[str]]:
 
 
 def train(pages: list[str], seed: int = 17) -> Network:
-    """The network, from the given sample of pages (at most SAMPLE_PAGES are used) and BUILT_PAGES built ones."""
+    """The network, from the given sample of pages (at most SAMPLE_PAGES are used) and BUILT_PAGES built ones.
+
+    The built ones are made of the sample's words, the first BLOCK_WORDS of a block and BUILT_WORDS in all.
+    """
     pages, rng, vectors = pages[:SAMPLE_PAGES], Random(seed), _Vectors()
     found = [blocks(p) for p in pages]
-    words = sorted({w for f in found for _, text, _ in f for w in text.split()[:50]})[:5000] or "the of and to in is that for it as was with be on".split()
+    words = sorted({w for f in found for _, text, _ in f for w in text.split()[:BLOCK_WORDS]})[:BUILT_WORDS] or "the of and to in is that for it as was with be on".split()
     x, y = [], []
     for f in found:
         marked = landmark_labels(f)
@@ -353,7 +375,7 @@ def train(pages: list[str], seed: int = 17) -> Network:
 
 
 def main_text(network: Network, pages: list[str | None], vectors: _Vectors | None = None) -> list[str]:
-    """The article's blocks of each page, joined by blank lines."""
+    """The article's blocks of each page, joined by blank lines; pages are labelled together up to CELLS padded blocks."""
     vectors = vectors or _Vectors()
     found = [blocks(p) for p in pages]
     out = [""] * len(pages)
@@ -361,7 +383,7 @@ def main_text(network: Network, pages: list[str | None], vectors: _Vectors | Non
     start = 0
     while start < len(order):
         longest, stop = len(found[order[start]]), start
-        while stop < len(order) and stop - start < 64 and len(found[order[stop]]) <= 1.3 * longest + 8:
+        while stop < len(order) and stop - start < 64 and (n := len(found[order[stop]])) <= 1.3 * longest + 8 and (stop == start or n * (stop - start + 1) <= CELLS):
             stop += 1
         group = order[start:stop]
         x, mask = padded([vectors.of(found[i]) for i in group])
@@ -390,12 +412,13 @@ def extract_main_text(pages: DataFrame, network: Network | None = None) -> DataF
 
     Null and empty pages, and pages without an article, have the empty text. Pages of any length are read whole. Repeated
     rows give repeated results; other columns are ignored. An empty table gives no rows. Without a network one is trained
-    on SAMPLE_PAGES of the pages, those with the lowest hash of page_id, and on built ones.
+    on SAMPLE_PAGES of the pages, those with the lowest hash of page_id (of rows that repeat one, the one with the least
+    hash of its html), and on built ones.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     if network is None:
         ids = rows.where("html is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES)
-        held = rows.join(F.broadcast(ids.distinct()), "page_id").select("page_id", "html")
-        sample = held.dropDuplicates(["page_id"]).orderBy("page_id").collect()
+        held = rows.where("html is not null").join(F.broadcast(ids.distinct()), "page_id")
+        sample = held.groupBy("page_id").agg(F.min_by("html", F.xxhash64("html")).alias("html")).orderBy("page_id").collect()
         network = train([r["html"] for r in sample])
     return rows.mapInArrow(_extract(network), "page_id long, url string, text string, n_chars long")
