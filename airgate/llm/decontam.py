@@ -16,16 +16,17 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airgate.llm.common import slices, written
+from airgate.llm.common import filtered, slices, written
 
 K1, B = 1.2, 0.75
 #: Share of an item's BM25 score that a passage must hold, and share of its question's and its answer's word runs.
 LEAST_SCORE, LEAST_OVERLAP, SHINGLE = 0.6, 0.8, 5
-#: Items in a block of the index; items of one index, so that it fits every task; further items get further passes.
-BLOCK, ITEMS_PER_INDEX = 8, 20_000
+#: Items in a block of the index; items and words of one index, so that it fits the driver and every task; what is beyond
+#: them gets further passes. A single item may have more words, as it can't be cut.
+BLOCK, ITEMS_PER_INDEX, WORDS_PER_INDEX = 8, 20_000, 1_000_000
 #: Sums of block maxima that are held at once for a text.
 SUMS = 1 << 20
 #: Items up to this many words share passages of twice as many; longer ones get longer passages by powers of two.
@@ -224,10 +225,11 @@ def _parts(batches):
 
 
 def build_indexes(items: DataFrame, least: float = LEAST_SCORE, shingle: int = SHINGLE, per_index: int = ITEMS_PER_INDEX):
-    """Groups of indexes, each of at most per_index items, over statistics of all items; items without words are in none.
+    """How many groups of indexes there are, and a generator of them: one group is built and held at a time.
 
-    items has item_id and question and answer, or text, whose last sentence is then the answer. Of rows that repeat an
-    item_id one counts, that of the least text.
+    A group has about per_index items or WORDS_PER_INDEX words, whichever is less; statistics are those of all items. Items
+    without words are in none. items has item_id and question and answer, or text, whose last sentence is then the answer.
+    Of rows that repeat an item_id one counts, that of the least question and answer.
     """
     if {"question", "answer"} <= set(items.columns):
         parts = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"))
@@ -239,22 +241,26 @@ def build_indexes(items: DataFrame, least: float = LEAST_SCORE, shingle: int = S
     sizes = terms.groupBy("item_id").agg(F.first("length").alias("length"))
     total, words = sizes.agg(F.count("*"), F.sum("length")).first()
     if not total:
-        return
+        return 0, iter(())
+    groups = max(-(-total // per_index), -(-words // WORDS_PER_INDEX))
+    slot = F.pmod(F.xxhash64("item_id"), F.lit(groups))
     having = terms.groupBy("word").agg(F.count("*").alias("having"))
-    groups = -(-total // per_index)
-    full = written(terms.join(having, "word").withColumn("slot", F.pmod(F.xxhash64("item_id"), F.lit(groups))))
-    for slot in range(groups):
-        held: dict[int, tuple[dict, int]] = {}
-        for r in full.where(F.col("slot") == slot).select("item_id", "length", "word", "n", "having").collect():
-            held.setdefault(r[0], ({}, r[1]))[0][r[2]] = (r[3], r[4])
-        texts = {r[0]: (r[1], r[2]) for r in parts.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == slot).collect()}
-        classes: dict[int, list] = {}
-        for i in sorted(held):
-            span = SHORT_ITEM
-            while span < held[i][1]:
-                span *= 2
-            classes.setdefault(span, []).append((i, *texts[i], *held[i]))
-        yield [Index(group, total, words / total, span, least, shingle) for span, group in sorted(classes.items())]
+    full = written(terms.join(having, "word").withColumn("slot", slot))
+    return groups, (_group(full, parts, k, slot, total, words / total, least, shingle) for k in range(groups))
+
+
+def _group(full: DataFrame, parts: DataFrame, k: int, slot: Column, total: int, average: float, least: float, shingle: int) -> list[Index]:
+    held: dict[int, tuple[dict, int]] = {}
+    for r in full.where(F.col("slot") == k).select("item_id", "length", "word", "n", "having").collect():
+        held.setdefault(r[0], ({}, r[1]))[0][r[2]] = (r[3], r[4])
+    texts = {r[0]: (r[1], r[2]) for r in parts.where(slot == k).collect()}
+    classes: dict[int, list] = {}
+    for i in sorted(held):
+        span = SHORT_ITEM
+        while span < held[i][1]:
+            span *= 2
+        classes.setdefault(span, []).append((i, *texts[i], *held[i]))
+    return [Index(group, total, average, span, least, shingle) for span, group in sorted(classes.items())]
 
 
 def _search(shared):
@@ -281,21 +287,45 @@ def find_leaks(docs: DataFrame, items: DataFrame, least_score: float = LEAST_SCO
     `shingle` words of its question and of its answer (shorter parts count as one run). Whole texts are searched, in
     passages that overlap by half, so that each item fits into one. Null and empty texts hold nothing; items without words
     are found nowhere. Rows that repeat a document are each searched; other columns are ignored. An empty table on either
-    side gives no rows. Each pass over docs holds at most per_index items; more items take more passes.
+    side gives no rows. Items that are alike are each found. More than per_index items, or WORDS_PER_INDEX words, take more
+    passes over docs, whose results are written one after the other, so that one index is held at a time.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, passages long, score double, question_overlap double, answer_overlap double"
-    found = None
-    for indexes in build_indexes(items, least_score, shingle, per_index):
+    held = (F.col("question_overlap") >= least_overlap) & (F.col("answer_overlap") >= least_overlap)
+    groups, built = build_indexes(items, least_score, shingle, per_index)
+    found = docs.sparkSession.createDataFrame([], schema)
+    for indexes in built:
+        shared = docs.sparkSession.sparkContext.broadcast(indexes)
+        one = rows.mapInArrow(_search(shared), schema).where(held)
+        if groups == 1:
+            return one
+        found = found.union(written(one))
+        shared.destroy()
+    return found
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, least_overlap: float = LEAST_OVERLAP, per_index: int = ITEMS_PER_INDEX) -> DataFrame:
+    """docs, with all their columns, without the rows into whose texts find_leaks finds that an item leaked.
+
+    Each row is judged by its own text, so rows without doc_id and rows that repeat one are too; null and empty texts hold
+    nothing. An empty table on either side leaves docs as they are.
+    """
+    groups, built = build_indexes(items, per_index=per_index)
+    for indexes in built:
         shared = docs.sparkSession.sparkContext.broadcast(indexes)
-        one = rows.mapInArrow(_search(shared), schema)
-        found = one if found is None else found.union(one)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], schema)
-    return found.where((F.col("question_overlap") >= least_overlap) & (F.col("answer_overlap") >= least_overlap))
 
+        def make(shared=shared):
+            held = shared.value
+
+            def passes(text):
+                words = words_of(text)
+                return not any(min(leak[3:]) >= least_overlap for index in held for leak in index.leaks(words))
+
+            return passes
 
-def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents, with all their columns, into which no item leaked; rows without doc_id stay."""
-    leaked = find_leaks(docs, items).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id") == F.col("_leaked"), "left_anti")
+        docs = filtered(docs, make)
+        if groups > 1:
+            docs = written(docs)
+            shared.destroy()
+    return docs
