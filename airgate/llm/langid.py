@@ -24,6 +24,9 @@ _NO_LETTER = re.compile(r"[\W\d_]+")
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and counts of a text's n-grams; none for a text without letters."""
     folded = _NO_LETTER.sub(" ", (text or "").lower()).strip()
+    if not folded.replace(" ", "").isalpha():
+        # Numerals such as a superscript or a fraction are word characters, but no letters.
+        folded = " ".join("".join(c if c.isalpha() else " " for c in folded).split())
     if not folded:
         return np.zeros(0, np.int64), np.zeros(0)
     points = np.frombuffer(f" {folded} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
