@@ -2,7 +2,8 @@
 
 The vocabulary's trie gets, for every node, a failure link and the number of pieces that are popped on the way there: if no
 edge leads on from a node, its longest piece is taken off (or several) and matching goes on from the node of what remains.
-So every symbol of a word is read once, whatever the vocabulary.
+Every symbol of the vocabulary counts as a piece, so that something can always be taken off: a symbol that is none of its
+own counts as one unknown piece, which is the same. So every symbol of a word is read once, whatever the vocabulary.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ class LongestMatch:
             raise ValueError(f"the vocabulary has {len(pieces)} pieces; {MOST_PIECES} can be sent to the executors")
         self.next: list[dict[str, int]] = [{}]
         ends = [False]
-        for piece in pieces:
+        for piece in [*sorted({symbol for piece in pieces for symbol in piece}), *pieces]:
             node = 0
             for symbol in piece:
                 if symbol not in self.next[node]:
@@ -54,62 +55,38 @@ class LongestMatch:
                     self.next.append({})
                     ends.append(False)
                 node = self.next[node][symbol]
-            ends[node] = ends[node] or node > 0
-        #: Where matching goes on after the longest piece is popped (-1: nowhere), and how many pieces that pops.
-        self.fail, self.popped = [-1] * len(self.next), [0] * len(self.next)
+            ends[node] = node > 0
+        #: Where matching goes on after the longest piece is popped, and how many pieces that pops.
+        self.fail, self.popped = [0] * len(self.next), [0] * len(self.next)
         queue = deque([0])
         while queue:
             at = queue.popleft()
             for symbol, node in self.next[at].items():
                 queue.append(node)
                 if ends[node]:
-                    self.fail[node], self.popped[node] = 0, 1
+                    self.popped[node] = 1
                     continue
                 back, count = self.fail[at], self.popped[at]
-                while back >= 0 and symbol not in self.next[back]:
-                    count += self.popped[back]
-                    back = self.fail[back]
-                if back >= 0:
-                    self.fail[node], self.popped[node] = self.next[back][symbol], count
+                while symbol not in self.next[back]:
+                    back, count = self.fail[back], count + self.popped[back]
+                self.fail[node], self.popped[node] = self.next[back][symbol], count
 
     def count(self, word: str) -> int:
         """How many pieces greedy longest match gives."""
         nexts, fail, popped = self.next, self.fail, self.popped
-        node, total, i, size = 0, 0, 0, len(word)
-        while True:
-            if i < size and (on := nexts[node].get(word[i])) is not None:
-                node, i = on, i + 1
-                continue
-            if node and fail[node] >= 0:
+        node, total = 0, 0
+        for symbol in word:
+            while (on := nexts[node].get(symbol)) is None and node:
                 total += popped[node]
                 node = fail[node]
-                continue
-            if node == 0:
-                if i == size:
-                    return total
-                total, i = total + 1, i + 1  # begins no piece
-                continue
-            # The node's text can't be cut into pieces: the greedy cut meets a symbol that begins none.
-            total, i = self._unknown(word, i, node, total)
-            node = 0
-
-    def _unknown(self, word: str, i: int, node: int, total: int) -> tuple[int, int]:
-        depth = self._depths()[node]
-        start = i - depth
-        best, at, on = 0, start, 0
-        while at < i and (on := self.next[on].get(word[at], -1)) >= 0:
-            at += 1
-            if self.popped[on] == 1 and self.fail[on] == 0:
-                best = at
-        return total + 1, best or start + 1
-
-    def _depths(self) -> list[int]:
-        if not hasattr(self, "_depth"):
-            self._depth = [0] * len(self.next)
-            for node, edges in enumerate(self.next):
-                for child in edges.values():
-                    self._depth[child] = self._depth[node] + 1
-        return self._depth
+            if on is None:
+                total += 1  # a symbol of no piece
+            else:
+                node = on
+        while node:
+            total += popped[node]
+            node = fail[node]
+        return total
 
 
 _READY: list[tuple[list[str], LongestMatch]] = []
@@ -155,7 +132,8 @@ def token_counts(docs: DataFrame, vocabulary: str | list[str] = VOCABULARY, lowe
     """doc_id, n_words, n_tokens of every whole text: its words (by white space) cut by greedy longest match.
 
     vocabulary is a tokenizer file, read once by the driver, or a list of pieces over byte symbols in which a space ends a
-    word. Null and blank texts have no tokens; a symbol that begins no piece is one token. Words of any length are read
+    word; one of more than MOST_PIECES is refused. Null and blank texts have no tokens; a symbol that begins no piece is one
+    token. Words of any length are read
     once. Repeated rows are counted alike; other columns are ignored. An empty table gives no rows.
     """
     pieces = read_pieces(vocabulary) if isinstance(vocabulary, str) else list(vocabulary)
