@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 2048
 GRAMS = (3, 4, 5)
-STEPS, RATE, BIAS_RATE, DECAY = 16, 40.0, 4.0, 0.002
+STEPS, RATE, BIAS_RATE, DECAY = 10, 40.0, 2.0, 0.002
 
 #: (host, path, verdict); a rule fits its host and all subdomains where the url's path starts with the rule's.
 RULES = (
@@ -22,31 +22,40 @@ RULES = (
     ("org", "/fr/", "allow"),
 )
 
-#: Hosts of the small labelled table used where the caller has none of its own.
-BLOCKED_HOSTS = (
-    "cheap-pills.example.com spam-farm.example.org casino-bonus.example.com free-loans.example.org win-prizes.example.net adult-cams.example.com "
-    "replica-watches.example.org quick-cash.example.com buy-followers.example.net click-bait.example.com cheap-meds.example.net spam-links.example.com "
-    "poker-casino.example.org pills-online.example.com hot-singles.example.net link-farm.example.com bonus-slots.example.org payday-loans.example.com "
-    "crypto-giveaway.example.net fake-designer.example.org"
+#: What the small labelled table used where the caller has none of its own is made of: words of hosts that are commonly
+#: blocked, and of ordinary ones.
+BLOCKED_WORDS = (
+    "casino bonus jackpot slots poker betting bets lottery winner prize viagra cialis pharmacy pills meds prescription slimming keto payday loans "
+    "cash credit debt money profit forex bitcoin crypto airdrop giveaway replica rolex outlet followers likes backlinks spam bulkmail singles "
+    "webcams adult xxx porn sexy dating hookup escort verify keygen crack warez torrent cheap free discount offers deals claim miracle ads clicks tracker "
+    "farm popup traffic"
 ).split()
-ALLOWED_HOSTS = (
-    "ththre.example.com ththth.example.net thther.example.org therha.example.com ththen.example.org news.example.com library.example.org docs.example.net "
-    "university.example.org theron.example.com therin.example.net weather.example.com museum.example.org recipes.example.com gardening.example.net "
-    "science.example.org travel.example.com history.example.net ththan.example.org ththwh.example.com health.example.org music.example.com "
-    "therou.example.org thering.example.net tionsh.example.com thblea.example.org inerat.example.net thstes.example.com cityhall.example.org school.example.com"
+ALLOWED_WORDS = (
+    "library museum university weather news herald science history archive health garden kitchen recipes travel hiking music film books chess photo "
+    "docs guide maths physics language school council transport railway airport fire birds ocean space climate art design wood bicycle motor football "
+    "tennis theatre opera radio guide dictionary law court parliament statistics census postal hospital medical dental animals market wine coffee bakery "
+    "hotel camping park zoo city river mountain family village church college research society journal review weekly forum club team office"
 ).split()
-LABELLED_PER_HOST = 8
+#: Names a word, each with another word; and names that mean nothing, as ordinary hosts have them too, made of syllables.
+NAMES_A_WORD, NAMELESS = 3, 120
+
+
+def names() -> list[tuple[str, str, int]]:
+    """(first part, second part, 1 for block or 0 for allow) of the hosts in the table."""
+    pairs = [(ws[i], ws[(i + 1 + 7 * j) % len(ws)], y) for y, ws in ((1, BLOCKED_WORDS), (0, ALLOWED_WORDS)) for i in range(len(ws)) for j in range(NAMES_A_WORD)]
+    syllables = [a + b + c for a in ("b", "k", "l", "m", "n", "r", "s", "t", "th", "v") for b in "aeiou" for c in ("", "n", "r", "s", "t")]
+    at = lambda i, k: syllables[(i * 7 + k * 31 + i * k * 11) % len(syllables)]
+    return pairs + [(at(i, 0), at(i, 1) + at(i, 2) * (i % 2), 0) for i in range(NAMELESS)]
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """(url, 1 for block or 0 for allow): each host under LABELLED_PER_HOST prefixes and paths, alike for both labels."""
-    out = []
-    for label, hosts in ((1, BLOCKED_HOSTS), (0, ALLOWED_HOSTS)):
-        for i, host in enumerate(hosts):
-            for k in range(LABELLED_PER_HOST):
-                prefix = ("", "www.", "blog.", "m.")[(i + k) % 4]
-                path = f"{('en', 'de', 'fr', 'es')[k % 4]}/{(i * 37 + k * 101) % 1000}{('', '/', '.html')[(i + k) % 3]}"
-                out.append((f"http://{prefix}{host}/{path}", label))
+    """(url, 1 for block or 0 for allow), two of each name; endings, prefixes and paths are dealt alike to both labels."""
+    out, endings, prefixes, languages = [], ("com", "org", "net", "info"), ("", "www.", "blog.", "m."), ("en", "de", "fr", "es")
+    for i, (first, second, label) in enumerate(names()):
+        for k in range(2):
+            host = f"{prefixes[(i + k) % 4]}{first}{('-', '')[(i // 4 + k) % 2]}{second}.{('', 'example.')[(i // 8 + k) % 2]}{endings[(i // 2 + k) % 4]}"
+            path = (f"{languages[(i + k) % 4]}/{(i * 37 + k * 101) % 1000}", f"{second}/{first}", f"{languages[i % 4]}/{second}.html", "")[(i + 2 * k) % 4]
+            out.append((f"http://{host}/{path}", label))
     return out
 
 
@@ -73,45 +82,50 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def buckets(host: Column, path: Column) -> Column:
     """Bucket numbers, from 1, of the character n-grams of `^host path$`."""
     whole = F.lower(F.concat(F.lit("^"), host, F.lit(" "), path, F.lit("$")))
-    grams = []
-    for n in GRAMS:
-        starts = F.when(F.length(whole) >= n, F.sequence(F.lit(1), F.length(whole) - n + 1)).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(starts, _bucket(whole, n)))
-    return F.concat(*grams)
+    # Characters are cut apart once, so that long urls cost no more a character than short ones.
+    signs = F.split(whole, "")
+    return F.concat(*[_grams(signs, n) for n in GRAMS])
 
 
-def _bucket(whole: Column, n: int):
-    return lambda start: (F.pmod(F.xxhash64(F.substr(whole, start, F.lit(n))), F.lit(BUCKETS)) + 1).cast("int")
+def _grams(signs: Column, n: int) -> Column:
+    """Shifted copies of the characters laid side by side; the last n - 1 places, which reach beyond the end, are cut off."""
+    size = F.size(signs)
+    shifted = [F.slice(signs, k + 1, F.greatest(size - (n - 1), F.lit(0))).alias(f"c{k}") for k in range(n)]
+    return F.transform(F.arrays_zip(*shifted), lambda g: (F.pmod(F.xxhash64(*[g[f"c{k}"] for k in range(n)]), F.lit(BUCKETS)) + 1).cast("int"))
 
 
 def probability(found: Column, weights: list[float], bias: float) -> Column:
     """The model's probability of block; features are counts over the root of how many grams there are."""
-    table = F.array(*[F.lit(float(w)) for w in weights])
+    table = F.split(F.lit(",".join(repr(float(w)) for w in weights)), ",").cast("array<double>")
     total = F.aggregate(found, F.lit(0.0), lambda s, b: s + F.element_at(table, b))
     return 1.0 / (1.0 + F.exp(-(F.lit(float(bias)) + total / F.sqrt(F.greatest(F.size(found), F.lit(1)).cast("double")))))
 
 
 def default_labels(spark: SparkSession) -> DataFrame:
-    return spark.range(1, numPartitions=1).select(F.inline(F.array(*[F.struct(F.lit(u).alias("url"), F.lit(y).alias("label")) for u, y in labelled_urls()])))
+    lines = F.split(F.lit("\n".join(f"{y} {u}" for u, y in labelled_urls())), "\n")
+    held = spark.range(1, numPartitions=1).select(F.explode(lines).alias("line"))
+    return held.select(F.substring("line", 3, 1000).alias("url"), F.substring("line", 1, 1).cast("int").alias("label"))
 
 
 def train(labelled: DataFrame) -> tuple[list[float], float]:
     """Weights and bias by gradient descent over labelled (url, label); each step is one aggregation.
 
-    The table is meant to be small (it is the caller's to bound); rows without url or label are left out.
+    Both labels weigh alike, however many rows they have. The table is meant to be small (it is the caller's to bound); rows
+    without url or label are left out.
     """
     url = F.col("url")
     rows = labelled.where("url is not null and label is not null").select(F.col("label").cast("double").alias("label"), buckets(host_of(url), path_of(url)).alias("found"))
     rows = rows.withColumn("scale", 1.0 / F.sqrt(F.greatest(F.size("found"), F.lit(1)).cast("double"))).persist()
     try:
-        n = max(1, rows.count())
+        n, blocked = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+        share = F.when(F.col("label") > 0.5, 0.5 / max(1.0, blocked)).otherwise(0.5 / max(1.0, n - blocked))
         weights, bias = [0.0] * BUCKETS, 0.0
         for _ in range(STEPS):
-            off = rows.withColumn("off", F.col("label") - probability(F.col("found"), weights, bias))
+            off = rows.withColumn("off", (F.col("label") - probability(F.col("found"), weights, bias)) * share)
             sums = off.select(F.explode(F.concat("found", F.array(F.lit(0)))).alias("b"), (F.col("off") * F.when(F.col("b") == 0, 1.0).otherwise(F.col("scale"))).alias("g"))
             step = {r["b"]: r["g"] for r in sums.groupBy("b").agg(F.sum("g").alias("g")).collect()}
-            weights = [w * (1 - DECAY) + RATE * step.get(i, 0.0) / n for i, w in enumerate(weights, 1)]
-            bias += BIAS_RATE * step.get(0, 0.0) / n
+            weights = [w * (1 - DECAY) + RATE * step.get(i, 0.0) for i, w in enumerate(weights, 1)]
+            bias += BIAS_RATE * step.get(0, 0.0)
     finally:
         rows.unpersist()
     return weights, bias
