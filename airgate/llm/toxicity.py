@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airgate.llm.common import crc_mod, slices
+from airgate.llm.common import crc_mod, filtered, slices
 
 #: Labelled rows that training sees at most, by label; where there are more, those with the lowest hashes of doc_id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2400, 3600
@@ -102,12 +102,10 @@ class Classifier:
         sums = [np.full(v.shape, 1e-6, np.float32) for v in (self.table, *self.filters, self.bias, self.out)]
         base_sum = 1e-6
         weight = np.where(labels == 1, len(labels) / max(1, 2 * labels.sum()), len(labels) / max(1, 2 * (1 - labels).sum()))
-        for epoch in range(EPOCHS):
+        for _ in range(EPOCHS):
+            shuffled = rng.permutation(len(texts))
             for start in range(0, len(texts), BATCH):
-                order = rng.permutation(len(texts))[:BATCH] if epoch == 0 and start == 0 else None
-                if start == 0:
-                    shuffled = rng.permutation(len(texts))
-                batch = shuffled[start : start + BATCH] if order is None else order
+                batch = shuffled[start : start + BATCH]
                 grads = [None, *(np.zeros_like(f) for f in self.filters), np.zeros_like(self.bias), np.zeros_like(self.out)]
                 touched, steps, base = [], [], 0.0
                 for i in batch:
@@ -188,7 +186,10 @@ def train(rows: list[tuple[int, str | None, str | None, int]]) -> Classifier:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> list[tuple]:
-    """(doc_id, text, lang, toxic) of at most `toxic` and `clean` labelled rows whose crc32(doc_id) mod 5 isn't 0."""
+    """(doc_id, text, lang, toxic) of at most `toxic` and `clean` labelled rows whose crc32(doc_id) mod 5 isn't 0.
+
+    Of rows that repeat a doc_id the one with the least hash of its text is taken.
+    """
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marked = marked.where(crc_mod("doc_id", 5) != 0)
     few = [
@@ -197,7 +198,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXI
     chosen = F.broadcast(few[0].unionByName(few[1]))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     found = docs.select("doc_id", "text", lang.alias("lang")).join(chosen, "doc_id")
-    return [tuple(r) for r in found.select("doc_id", "text", "lang", "toxic").collect()]
+    one = F.min_by(F.struct("text", "lang", "toxic"), F.struct(F.xxhash64("text"), "lang"))
+    return [tuple(r) for r in found.groupBy("doc_id").agg(one.alias("r")).select("doc_id", "r.*").collect()]
 
 
 def _score(shared):
@@ -226,3 +228,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame | None = None, model: Clas
     scored = rows.mapInArrow(_score(shared), "doc_id long, score double")
     held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame | None = None, model: Classifier | None = None) -> DataFrame:
+    """docs, with all their columns, without the rows that score_toxicity predicts to be toxic.
+
+    Each row is judged by its own text, so rows without doc_id and rows that repeat one are too; null and empty texts are
+    judged as texts without words. An empty table stays empty.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model or train(labelled_sample(docs, labels)))
+
+    def make():
+        classifier, words = shared.value, Words()
+        return lambda text: classifier.score(words.of(text)) < 0.5
+
+    return filtered(docs, make)
