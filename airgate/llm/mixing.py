@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from airgate.llm.common import ranked, word_count, written
+from airgate.llm.common import free, ranked, word_count, written
 
 #: Weights of the sources in order of their names, repeated as often as needed.
 WEIGHTS = (3, 1, 2)
 #: Hex digits of a document's draw that make its bin; the bin in which a source's quota runs out is ranked exactly.
 BIN_DIGITS = 3
+#: Sources whose targets are sent to every task; where there are more, the join shuffles.
+MOST_BROADCAST = 10_000
 
 
 def draw(key: Column, seed: int) -> Column:
@@ -48,18 +50,45 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFram
 def mix_sources(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_epochs: float = 2.0, seed: int = 7
 ) -> DataFrame:
-    """How often each document is taken: docs' doc_id and source with size, source_size, target, taken.
+    """How often each document is taken: docs' doc_id and source with size, source_size, target, taken, repeats.
 
     size is the number of words of the text (null: 0). Sources are ordered by code point, null last (null is a source of
     its own), and weigh `weights` in turn; together they get `share` times all sizes. A source whose target is r times its
     size takes each document floor(r) times and, in seeded order, as many documents once more as bring its words nearest
-    to the target. Copies of a row are rows of their own with equal draws; ties are broken by size, and rows that agree in
-    all that are alike. Other columns are ignored. An empty table gives no rows.
+    to the target. Copies of a row are rows of their own with equal draws; ties are broken by size and then by the text,
+    and rows that agree in all that are alike. Documents without words are taken floor(r) times. Other columns are ignored.
+    An empty table gives no rows.
     """
-    rows = docs.select("doc_id", "source", word_count("text").alias("size")).withColumn("draw", draw(F.col("doc_id"), seed))
-    rows = rows.withColumn("bin", F.substring("draw", 1, BIN_DIGITS))
-    rows = written(rows)
-    bins = written(rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")))
+    rows = written(docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("tie")))
+    taken = _taken(rows, _targets(rows, weights, share, max_epochs, seed), seed, F.col("size"), F.col("size") > 0)
+    taken = taken.withColumn("taken", F.col("repeats") * F.col("size"))
+    return taken.select("doc_id", "source", "size", "source_size", "target", "taken", "repeats")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_epochs: float = 2.0, seed: int = 7) -> DataFrame:
+    """docs, all columns, each row as often as mix_sources takes it, with its copy (1, 2, ...) and its source's target.
+
+    Where docs have columns of these names, the new ones get `_` behind theirs. Texts are not shuffled, but for those in
+    the bins in which the sources' quotas run out.
+    """
+    targets = _targets(written(docs.select("doc_id", "source", word_count("text").alias("size"))), weights, share, max_epochs, seed)
+    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("tie"), F.struct(*docs.columns).alias("row"))
+    copy = free(docs.columns, "copy")
+    # Words are counted again only in the bins that are ranked.
+    has_words = F.coalesce(F.col("row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    taken = _taken(rows, targets, seed, word_count("row.text"), has_words).where("repeats > 0").select("row", "target", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("copy"))
+    target = free([*docs.columns, copy], "target")
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("copy").alias(copy), F.col("target").alias(target))
+
+
+def _bin(key: Column, seed: int) -> Column:
+    return F.substring(draw(key, seed), 1, BIN_DIGITS)
+
+
+def _targets(rows: DataFrame, weights: tuple[int, ...], share: float, max_epochs: float, seed: int) -> DataFrame:
+    """source, source_size, target, whole (times that it takes each document), quota (words that it takes once more), and
+    the bin in which the quota runs out (null: none), with the words in the bins before it."""
+    bins = written(rows.groupBy("source", _bin(F.col("doc_id"), seed).alias("bin")).agg(F.sum("size").alias("bin_size")))
     sizes = bins.groupBy("source").agg(F.sum("bin_size").alias("source_size"))
     named, unnamed = sizes.where("source is not null"), sizes.where("source is null")
     named = ranked(named, "source")
@@ -73,21 +102,31 @@ def mix_sources(
     targets = targets.withColumn("whole", F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0).cast("long"))
     targets = targets.withColumn("quota", F.col("target") - F.col("whole") * size)
     targets = written(targets.select("source", "source_size", "target", "whole", "quota"))
-    # The bins of a source in order; its quota ends in one of them.
     before = F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    placed = bins.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(targets) if last < 10_000 else targets, bins.source.eqNullSafe(targets.source)).select(bins.source, "bin", "bin_size", "before", "source_size", "target", "whole", "quota")
-    state = F.when(F.col("before") + F.col("bin_size") <= F.col("quota"), "all").when(F.col("before") > F.col("quota"), "none").otherwise("some")
-    placed = written(placed.withColumn("state", state))
-    joined = rows.join(
-        placed.withColumnsRenamed({"source": "_source", "bin": "_bin"}), F.col("source").eqNullSafe(F.col("_source")) & (F.col("bin") == F.col("_bin"))
-    )
-    order = Window.partitionBy("source", "bin").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, -1)
-    some = joined.where("state = 'some'").withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    some = some.withColumn("extra", (F.col("before") + F.col("size") / 2 <= F.col("quota")).cast("long"))
-    rest = joined.where("state <> 'some'").withColumn("extra", (F.col("state") == "all").cast("long"))
-    taken = ((F.col("whole") + F.col("extra")) * F.col("size")).alias("taken")
-    columns = ["doc_id", "source", "size", "source_size", "target", taken, (F.col("whole") + F.col("extra")).alias("repeats")]
-    return rest.select(*columns).unionByName(some.select(*columns))
+    placed = bins.withColumn("before", F.coalesce(before, F.lit(0))).join(targets.select(F.col("source").alias("_source"), "quota"), F.col("source").eqNullSafe(F.col("_source")))
+    ends = placed.where("before + bin_size > quota").groupBy("_source").agg(F.min(F.struct("bin", "before")).alias("end"))
+    ends = ends.select("_source", F.col("end.bin").alias("end"), F.col("end.before").alias("before"))
+    joined = targets.join(ends, targets.source.eqNullSafe(ends["_source"]), "left").drop("_source")
+    return written(joined)
+
+
+def _taken(rows: DataFrame, targets: DataFrame, seed: int, size: Column, has_words: Column) -> DataFrame:
+    """rows (doc_id, source, tie, ...) with source_size, target and repeats.
+
+    Bins before the one in which a source's quota runs out are taken once more, those after it aren't, and its own rows are
+    ranked one by one.
+    """
+    known = targets.withColumnRenamed("source", "_source")
+    if targets.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        known = F.broadcast(known)
+    joined = rows.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_draw", draw(F.col("doc_id"), seed))
+    bin_, last = F.substring("_draw", 1, BIN_DIGITS), F.col("end")
+    rest = joined.where(last.isNull() | (bin_ != last)).withColumn("extra", F.coalesce(bin_ < last, F.lit(False)) & has_words)
+    some = joined.where(bin_ == last).withColumn("_size", size)
+    order = Window.partitionBy("source").orderBy("_draw", "_size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("before") + F.coalesce(F.sum("_size").over(order), F.lit(0))
+    some = some.withColumn("extra", (before + F.col("_size") / 2 <= F.col("quota")) & (F.col("_size") > 0)).drop("_size")
+    return rest.unionByName(some).withColumn("repeats", F.col("whole") + F.col("extra").cast("long"))
 
 
 ORACLE = r"""
