@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -112,6 +113,10 @@ def test_near_duplicates_with_awkward_rows(spark):
     assert [r["n_shingles"] for r in got if r["doc_id"] in (1, 2, 3)] == [0, 0, 0]
     assert {r["component_id"] for r in got if r["doc_id"] in (6, 7)} == {6}
     assert [r["kept"] for r in got if r["doc_id"] is None] == [True]
+    # Rows without doc_id are linked like others, and rows that repeat are each of their own text.
+    text = "one two three four five six"
+    got = near_dup.near_duplicates(docs_of(spark, [(None, text), (4, text), (4, "other words of four"), (9, text), (9, text)])).collect()
+    assert sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in got) == [("4", 4, True), ("4", 4, True), ("9", 4, False), ("9", 4, False), ("None", 4, False)]
     assert near_dup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
@@ -131,33 +136,45 @@ def test_densified_signatures_collide_as_often_as_sets_are_alike():
 
 def test_fingerprints(spark):
     rows = [(i, " ".join(f"w{(i * 37 + k * (1 + i % 3)) % 90}" for k in range(60 + i))) for i in range(1, 30)]
-    rows += [(40, rows[0][1]), (41, ""), (42, None), (43, "é" * 9 + " x"), (None, "alone here")]
-    got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(docs_of(spark, rows)).collect()}
-    assert len(got) == len(rows)
-    order = sorted([(i, t or "") for i, t in rows if i is not None], reverse=True) + [(None, "alone here")]
+    rows += [(40, rows[0][1]), (41, ""), (42, None), (43, "é" * 9 + " x"), (None, "alone here"), (45, "long " * 40_000)]
+    rows += [(7, "another text of seven"), (7, rows[6][1]), (7, rows[6][1]), (None, "alone here"), (None, None), (-(2**63), "lowest id")]
+    docs = docs_of(spark, rows)
+    got = fingerprints.edited_fingerprints(docs).collect()
+    hashed = {r["text"]: r["h"] for r in docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted([(i, t or "") for i, t in rows], key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]]))
+    want = []
     for k, (i, text) in enumerate(order):
         follower = order[(k + 1) % len(order)][1]
         half = len(text) // 2
         edited = text[: len(text) - half] + follower[:half]
-        assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest()), i
-        assert 0 <= got[i]["near_edited"] <= 1 and 0 <= got[i]["near_next"] <= 1
-    assert got[1]["fingerprint"] == got[40]["fingerprint"] != ""
-    assert got[41]["fingerprint"] == got[42]["fingerprint"] == ""
-    assert got[42]["near_next"] == 1.0
+        want.append((str(i), len(text), hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want)
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 and len(r["fingerprint"]) in (0, 8 * fingerprints.SAMPLES) for r in got)
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[1]["fingerprint"] == by_id[40]["fingerprint"] != ""
+    assert by_id[41]["fingerprint"] == by_id[42]["fingerprint"] == ""
+    assert by_id[42]["near_next"] == 1.0
     lone = fingerprints.edited_fingerprints(docs_of(spark, [(5, "a b c d"), (5, "a b c d")])).collect()
-    assert [(r["doc_id"], r["near_next"]) for r in lone] == [(5, 1.0)]
+    assert [(r["doc_id"], r["near_next"]) for r in lone] == [(5, 1.0), (5, 1.0)]
     assert fingerprints.edited_fingerprints(docs_of(spark, [])).count() == 0
 
 
 def test_components_agree_as_often_as_generalised_jaccard(spark):
+    """At the production count, with four standard errors of room for each pair and little for the mean of all."""
     texts = [(1, "a " * 6 + "b " * 3 + "c d e"), (2, "a " * 3 + "b " * 3 + "c x y"), (3, "a " * 6 + "b " * 6 + "c d e"), (4, "q r s")]
-    sigs = {r["doc_id"]: np.array(r["sig"]) for r in fingerprints.signatures(docs_of(spark, texts).select("doc_id", "text"), ["doc_id"], samples=96).collect()}
+    rng = np.random.default_rng(11)
+    texts += [(10 + k, " ".join(f"t{int(x)}" for x in rng.zipf(1.5, 200) % 60)) for k in range(12)]
+    sigs = {r["doc_id"]: np.array(r["sig_text"]) for r in fingerprints.signatures(docs_of(spark, texts).select("doc_id", "text"), ["doc_id"]).collect()}
+    assert {len(s) for s in sigs.values()} == {fingerprints.SAMPLES}
     counts = {i: {w: t.split().count(w) for w in t.split()} for i, t in texts}
+    off = []
     for a, b in combinations(counts, 2):
         words = {*counts[a], *counts[b]}
         low = sum(min(counts[a].get(w, 0), counts[b].get(w, 0)) for w in words)
         high = sum(max(counts[a].get(w, 0), counts[b].get(w, 0)) for w in words)
-        assert abs((sigs[a] == sigs[b]).mean() - low / high) < 0.17
+        off.append((sigs[a] == sigs[b]).mean() - low / high)
+        assert abs(off[-1]) < 4 * 0.0625
+    assert abs(np.mean(off)) < 0.04
 
 
 # ---- personal data
@@ -219,13 +236,49 @@ def test_personal_data_is_found_and_masked(spark):
     assert pii.find_personal_data(docs_of(spark, [])).count() == 0
 
 
+def found_in(rows, got):
+    """doc_id -> the found strings by kind, of spans that the bootstrapping added or not."""
+    texts = dict(rows)
+    return {r["doc_id"]: [(k, texts[r["doc_id"]][int(s) : int(e)]) for k, s, e in (x.split(":") for x in r["spans"].split(",") if x)] for r in got}
+
+
 def test_bootstrapping_discovers_identifiers_in_known_contexts(spark):
-    rows = [(i, f"please call the office at +1 (555) 010-{1000 + i} today, thanks number {i}") for i in range(40)]
-    rows += [(100 + i, f"please call the office at 555-01{i:02d} today, thanks") for i in range(3)]
+    """Planted contexts: every unseen identifier in one is found, however many there are, and nothing else."""
+    rows = [(i, f"please call the office at +1 (555) 010-{1000 + i} today, thanks number {i}") for i in range(20)]
+    unseen = ["555-0100", "030 555 5136", "(310) 555-4510", "0049/89.555.123"]
+    rows += [(100 + i, f"please call the office at {u} today, thanks") for i, u in enumerate(unseen)]
     rows += [(200 + i, f"the total was 12{i}45 units in order A{i}77-XY") for i in range(20)]
-    got = {r["doc_id"]: r for r in pii.find_personal_data(docs_of(spark, rows)).collect()}
-    assert all(got[100 + i]["spans"] == f"phone:26:{26 + 8}" for i in range(3))
-    assert all(got[i]["n_found"] == 0 for i in got if i < 100 or i >= 200)
+    rows += [(300 + i, f"write to person{i}@mail.example.org for help") for i in range(6)]
+    rows += [(400 + i, f"write to {u} for help") for i, u in enumerate(["jane.doe@intranet", "o.smith@" + "x" * 90, "é.müller@host"])]
+    rows += [(500 + i, f'token = "{hashlib.md5(str(i).encode()).hexdigest()}" here') for i in range(5)]
+    rows += [(600, 'token = "AbC-9f3k-22Xy-77Qw-Zz01" here'), (601, f"hash {hashlib.md5(b'z').hexdigest()} elsewhere")]
+    # Two hops: these contexts hold no seed, but what the first context discovers.
+    rows += [(700 + i, f"please call the office at 555 02{i:02d} today, thanks") for i in range(6)]
+    rows += [(720 + i, f"our hotline never sleeps: dial 555 02{i:02d} whenever you like") for i in range(6)]
+    rows += [(740, "our hotline never sleeps: dial 555 0999 whenever you like"), (741, "nothing sleeps near 555 0999 then")]
+    rows += [(800 + i, "word " * 3 + "x" * 500 + f" at +1 (555) 010-{2000 + i} ,") for i in range(5)] + [(810, "word " * 3 + "x" * 500 + " at 555-7788 ,"), (811, "word " * 3 + "x" * 499 + "y at 555-7799 now")]
+    got = pii.find_personal_data(docs_of(spark, rows)).collect()
+    found = found_in(rows, got)
+    want = {100 + i: [("phone", u)] for i, u in enumerate(unseen)}
+    want |= {400 + i: [("email", dict(rows)[400 + i].split()[2])] for i in range(3)}
+    want |= {500 + i: [("secret", dict(rows)[500 + i].split('"')[1])] for i in range(5)}
+    want |= {600: [("secret", "AbC-9f3k-22Xy-77Qw-Zz01")], 601: [], 740: [("phone", "555 0999")], 741: [], 810: [("phone", "555-7788")], 811: []}
+    want |= {k + i: [("phone", f"555 02{i:02d}")] for k in (700, 720) for i in range(6)}
+    want |= {200 + i: [] for i in range(20)}
+    assert {i: found[i] for i in want} == want
+    assert all(r["n_found"] == 0 for r in got if r["doc_id"] < 100 or 800 <= r["doc_id"] < 810)
+    clean = {r["doc_id"]: r["text"] for r in pii.redacted(docs_of(spark, rows)).collect()}
+    assert clean[102] == "please call the office at <PHONE> today, thanks" and clean[600] == 'token = "<SECRET>" here'
+    assert pii.masked("ab cd ef", [("ip", 3, 5), ("email", 4, 7), ("card", 0, 2)]) == "<CARD> <IP>f"
+
+
+def test_keys_of_the_given_documents_are_found(spark):
+    """The given documents hold keys behind one context; all of them are found through it, and only strings of that shape."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = found_in(texts, pii.find_personal_data(docs).collect())
+    want = {i: sorted(re.findall(r'token = "([0-9a-f]{40})"', t or "")) for i, t in texts.items()}
+    assert {i: sorted(x for k, x in f if k == "secret") for i, f in found.items()} == want and sum(map(len, want.values())) >= 5
 
 
 # ---- web pages
@@ -239,6 +292,19 @@ def test_blocks_of_a_page():
     assert [(b[1], b[0][-1]) for b in html_blocks.blocks(page)] == [("T", "title"), ("home", "a"), ("Head & more", "h1"), ("One two", "b"), ("three four é", "p")]
     assert html_blocks.blocks(None) == html_blocks.blocks("") == html_blocks.blocks("<p></p><br>") == []
     assert len(html_blocks.blocks("<" * 2000 + "<p>x" * 500)) >= 500
+    said = lambda page: [b[1] for b in html_blocks.blocks(page)]
+    assert said(f'<p data-x="{"a" * 5000} > b">text') == ["text"]
+    assert said("<p title=it's>one</p><p>don't</p>") == ["one", "don't"]
+    assert said('<p a="1>one</p><p>two') == ["one", "two"]
+    assert said("<p>x < y</p><!-- open <p>z") == ["x < y"] and said("a<b c") == ["a<b c"]
+    assert len(html_blocks.blocks("<div>" * 3000 + "</p>" * 30_000 + '<i a="' * 3000 + "x")) <= 1
+
+
+def test_long_pages_are_labelled_whole():
+    network = html_blocks.train([])
+    pages = ["<article>" + "".join(f"<p>block {k} of words here.</p>" for k in range(n)) + "</article>" for n in (20_000, 19_000, 30, 1)]
+    together = html_blocks.main_text(network, pages)
+    assert together == [html_blocks.main_text(network, [p])[0] for p in pages]
 
 
 def test_main_text_of_given_and_built_pages(spark, sf):
@@ -339,7 +405,7 @@ def test_leaks_equal_brute_force(spark):
     assert decontam.find_leaks(docs_of(spark, []), bench).count() == 0
     assert decontam.find_leaks(docs_of(spark, docs), bench.limit(0)).count() == 0
     left = decontam.without_leaks(docs_of(spark, docs + [(None, items[0][1])]), bench)
-    assert {r["doc_id"] for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in want} | {None}
+    assert {r["doc_id"] for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
 def test_wand_retrieves_all_above_the_threshold():
@@ -375,9 +441,32 @@ def test_languages_are_told_apart(spark, sf):
     assert len(rows) == len(AWKWARD) and all(0 <= r["score"] <= 1 for r in rows)
     assert {r["lang_pred"] for r in rows if r["doc_id"] in (1, 2, 3, 10)} == {"und"}
     assert all(r["held_out"] == (__import__("zlib").crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows if r["doc_id"] is not None)
+    signs = langid.identify_languages(docs_of(spark, [(1, "²"), (2, "12 ½"), (3, "① _ 7"), (4, "ª"), (5, "Ⅷ"), (6, "le ² et la")]), model).collect()
+    assert {r["doc_id"] for r in signs if r["lang_pred"] != "und"} == {4, 6}
     assert langid.identify_languages(docs_of(spark, [])).count() == 0
 
 
+def test_languages_equal_the_nearest_centroid(spark, sf):
+    """Against dense vectors: every gram counted by itself, every centroid compared."""
+    docs = table(spark, sf, "documents")
+    model = langid.train(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.where("char_length(text) < 3000").limit(40).collect()} | {-1: "a", -2: "Ça va", -3: "zwei Worte"}
+    got = {r["doc_id"]: r for r in langid.identify_languages(docs_of(spark, list(texts.items())), model).collect()}
+    for i, text in texts.items():
+        folded = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+        counts = np.zeros(langid.BUCKETS)
+        for n in langid.GRAMS:
+            for at in range(len(folded) + 3 - n if folded else 0):
+                h = 0
+                for k, c in enumerate(f" {folded} "[at : at + n], 1):
+                    h = (h * 0x100000001B3 + ord(c) + k) % 2**64
+                counts[int(langid.mix(np.array([h], np.uint64))[0] >> np.uint64(40)) % langid.BUCKETS] += 1
+        vector = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * model.idf
+        near = vector @ model.centres / max(1e-12, float(np.linalg.norm(vector)))
+        want = model.languages[model.owner[int(near.argmax())]] if folded else "und"
+        assert got[i]["lang_pred"] == want and (not folded or abs(got[i]["score"] - min(1, max(0, near.max()))) < 1e-5), text[:50]
+
+
 # ---- tokens
 
 
@@ -429,7 +518,7 @@ def plain_rule(url):
 def test_urls_are_judged(spark, sf):
     urls = [
         None, "", "no scheme", "http://", "http:///x", "HTTP://A.Example.COM/DE/1", "https://x.example.net/en/1?q#f", "https://example.net/en", "http://net/", "http://xnet/", "https://a.org/fr/2",
-        "https://a.example.com/de/", "http://a.b://c/d", "http://h?x/en/", "http://h#/fr/", "https://www.cheap-pills.example.com/en/1", "http://blog.ththan.example.org/en/2", "https://spam-farm.example.org/es/5", "É://É.net/é",
+        "https://a.example.com/de/", "http://a.b://c/d", "http://h?x/en/", "http://h#/fr/", "https://www.cheap-casino.info/en/1", "http://blog.river-school.info/en/2", "https://poker-loans.info/es/5", "É://É.net/é",
     ]
     pages = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)], "page_id long, url string, host string, html string")
     got = {r["page_id"]: r for r in url_filter.judge_urls(pages).collect()}
@@ -439,13 +528,38 @@ def test_urls_are_judged(spark, sf):
         assert got[i]["verdict"] == (verdict or ("block" if got[i]["score"] >= 0.5 else "allow"))
     assert [got[i]["verdict"] for i in (15, 16, 17)] == ["block", "allow", "block"]
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "http://h.org/" + "path/" * 20_000), (1, "http://h.org/" + "path/" * 20_000)], "page_id long, url string")
+    assert len({r["score"] for r in url_filter.judge_urls(long).collect()}) == 1
     labelled = spark.createDataFrame([], "url string, label int")
     assert {r["score"] for r in url_filter.judge_urls(pages, labelled).collect()} == {0.5}
 
 
+def test_the_model_judges_hosts_that_it_has_not_seen(spark, sf):
+    given = {r["host"] for r in table(spark, sf, "pages").select(F.regexp_replace(url_filter.host_of(F.col("url")), r"^(www|m|blog)\\.", "").alias("host")).distinct().collect()}
+    assert not given & {re.sub(r"^(www|m|blog)\.", "", re.search("://([^/]*)", u)[1]) for u, _ in url_filter.labelled_urls()}
+    held = np.random.default_rng(1).random(len(url_filter.names())) < 0.25
+    urls = [(u, y, bool(held[i // 2])) for i, (u, y) in enumerate(url_filter.labelled_urls())]
+    rows = spark.createDataFrame(urls, "url string, label int, held boolean")
+    weights, bias = url_filter.train(rows.where("not held"))
+    url = F.col("url")
+    scored = rows.where("held").select("label", url_filter.probability(url_filter.buckets(url_filter.host_of(url), url_filter.path_of(url)), weights, bias).alias("p")).collect()
+    right = [(r["p"] >= 0.5) == (r["label"] == 1) for r in scored]
+    assert len(right) > 200 and np.mean(right) > 0.9
+
+
 # ---- toxicity
 
 
+def plain_score(model, rows):
+    """The score from its definition: every window of every width, rectified maxima, the threshold of the guessed language."""
+    e = model.table[rows].sum(axis=1) if len(rows) else np.zeros((0, toxicity.DIMS))
+    e = np.concatenate([e, np.zeros((max(0, 3 - len(e)), toxicity.DIMS))])
+    pooled = np.concatenate([np.max([sum(e[i + k] @ f[k] for k in range(w)) for i in range(len(e) - w + 1)], axis=0) for w, f in zip(toxicity.WIDTHS, model.filters, strict=True)]) + model.bias
+    p = 1 / (1 + np.exp(-(np.maximum(pooled, 0) @ model.out + model.base)))
+    t = model.thresholds[int(model.languages[rows[:, 0]].sum(axis=0).argmax()) if len(rows) else 0]
+    return 0.5 * p / t if p < t else 0.5 + 0.5 * (p - t) / (1 - t)
+
+
 def test_toxic_documents_are_told_apart(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     sample = toxicity.labelled_sample(docs, labels)
@@ -456,6 +570,11 @@ def test_toxic_documents_are_told_apart(spark):
     assert not {r[0] for r in sample} & {r["doc_id"] for r in scored}
     rows = toxicity.score_toxicity(docs_of(spark, AWKWARD), model=model).collect()
     assert len(rows) == len(AWKWARD) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    words = toxicity.Words()
+    for r in toxicity.score_toxicity(docs.limit(30), model=model).join(docs, "doc_id").collect():
+        assert abs(r["score"] - plain_score(model, words.of(r["text"]))) < 1e-4
+    repeated = docs.union(docs).union(docs)
+    assert sorted(toxicity.labelled_sample(repeated, labels)) == sorted(sample)
     assert toxicity.score_toxicity(docs_of(spark, []), labels).count() == 0
 
 
@@ -499,7 +618,11 @@ def test_mixing(spark):
         mine = [r for r in got if r["source"] == s]
         assert all(math.isclose(r["target"], target, abs_tol=1e-6) and r["source_size"] == sizes[s] for r in mine)
         assert abs(sum(r["taken"] for r in mine) - target) <= max([r["size"] for r in mine])
-    assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    assert all(0 <= r["taken"] <= 2 * r["size"] and r["repeats"] <= 2 for r in got)
+    copies = mixing.mixed(docs.withColumnRenamed("weight", "Copy"))
+    assert copies.columns == ["doc_id", "text", "source", "Copy", "copy_", "target"]
+    count = lambda rows: sorted((str(k), v) for k, v in Counter(rows).items())
+    assert count((r["doc_id"], r["text"], r["source"]) for r in copies.collect()) == count((r["doc_id"], t, r["source"]) for r in got for t in [dict(((i, s), x) for i, x, s in rows)[r["doc_id"], r["source"]]] for _ in range(r["repeats"]))
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs.repartition(7)).collect()))
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
@@ -507,17 +630,81 @@ def test_mixing(spark):
 # ---- pipeline
 
 
-def test_pipeline_stages(spark):
+def pipeline_docs(spark, sf):
+    """Given documents with rows that repeat, lack an id, a text or words, and columns whose names clash."""
+    held = table(spark, sf, "documents").where("char_length(text) < 4000").select("doc_id", "text", "lang", "source", "n_chars").limit(120).collect()
+    rows = [(*r, 1, "x", 2, 3.0) for r in held]
+    rows += [(None, rows[0][1], *rows[0][2:]), rows[1], rows[1], (rows[2][0], rows[3][1], *rows[2][2:]), (None, None, None, None, None, None, None, None, None), (777, "", "en", None, 0, 1, "y", 2, 3.0), (778, None, "en", "a", None, 1, "y", 2, 3.0)]
+    rows += [(None, "call +1 (555) 010-2000 or me@x.org", "en", "a", 34, 1, "y", 2, 3.0), (None, "call +1 (555) 010-2000 or me@x.org", "en", "a", 34, 1, "y", 2, 3.0)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id int, text_hash string, copy int, target double")
+
+
+def test_pipeline_stages_equal_brute_force(spark):
     import corpus_pipeline
 
     sf = "/root/testdata/sf0.001"
-    docs = table(spark, sf, "documents")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "pii", "mixing"]
-    for name, stage in corpus_pipeline.STAGES[1:-1]:
-        out = stage(spark, docs, sf)
-        assert out.columns == docs.columns and 0 < out.count() <= docs.count(), name
-    groups = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, 5).collect()}
-    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()} == {*groups.values()}
+    docs = pipeline_docs(spark, sf)
+    rows = docs.collect()
+    count = lambda rows: Counter(map(tuple, rows))
+
+    model = toxicity.train(toxicity.labelled_sample(docs, table(spark, sf, "labels")))
+    words = toxicity.Words()
+    out = corpus_pipeline.toxicity(spark, docs, sf)
+    assert out.columns == docs.columns and count(out.collect()) == count(r for r in rows if plain_score(model, words.of(r["text"])) < 0.5)
+
+    # The plain groups of texts, and of each group the row that comes first.
+    hashed = [r["h"] for r in docs.select(F.xxhash64("text").alias("h")).collect()]
+    root = [g for _, _, g in plain_groups([(k, r["text"]) for k, r in enumerate(rows)], 5, 80)]
+    first = {}
+    for k, r in enumerate(rows):
+        place = (r["doc_id"] is None, r["doc_id"] or 0, hashed[k])
+        if plain_words(r["text"]) and place < first.get(root[k], (place[:2] + (2**63,), None))[0]:
+            first[root[k]] = (place, r)
+    out = corpus_pipeline.near_dedup(spark, docs, sf)
+    assert out.columns == docs.columns and count(out.collect()) == count([r for _, r in first.values()] + [r for r in rows if not plain_words(r["text"])])
+
+    items = table(spark, sf, "benchmark").limit(60)
+    leaks = plain_leaks([(k, r["text"]) for k, r in enumerate(rows)], [(r["item_id"], r["text"]) for r in items.collect()], decontam.SHORT_ITEM)
+    for per_index in (20_000, 20):
+        out = decontam.without_leaks(docs, items, per_index=per_index)
+        assert out.columns == docs.columns and count(out.collect()) == count(r for k, r in enumerate(rows) if k not in {d for d, _ in leaks})
+
+    spans = {(r["doc_id"], r["base_sha256"]): r["spans"] for r in pii.find_personal_data(docs).collect()}
+    want = []
+    for r in rows:
+        said = spans[r["doc_id"], hashlib.sha256(plain_base(r["text"]).encode()).hexdigest()]
+        text, taken = r["text"], [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in said.split(",") if x)]
+        if text is not None:
+            end, new = 0, ""
+            for kind, a, b in taken:
+                new += (text[end:a] + f"<{kind.upper()}>") if a >= end else ""
+                end = max(end, b)
+            text = new + text[end:]
+        want.append((r[0], text, r[2], r[3], r[4] if text is None else len(text), *r[5:]))
+    out = corpus_pipeline.pii(spark, docs, sf)
+    assert out.columns == docs.columns and count(out.collect()) == count(want)
+
+    out = corpus_pipeline.mixing(spark, docs, sf)
+    assert out.columns == [*docs.columns, "copy_", "target_"]
+    taken = mixing.mix_sources(docs).collect()
+    assert out.count() == sum(r["repeats"] for r in taken)
+    got = Counter()
+    for r in out.collect():
+        got[r["source"]] += len(plain_words(r["text"]))
+    for s in {r["source"] for r in taken}:
+        mine = [r for r in taken if r["source"] == s]
+        assert got[s] == sum(r["taken"] for r in mine) and abs(got[s] - mine[0]["target"]) <= max(r["size"] for r in mine)
+
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
+def test_pipeline_runs_over_whole_tables(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
     out = corpus_pipeline.run(spark, sf)
-    assert {*docs.columns, "copy"} <= {*out.columns} and out.count() > 0
+    assert out.columns == [*docs.columns, "copy", "target"] and out.count() > 0
     assert out.groupBy("doc_id", "copy").count().where(F.col("count") > 1).count() == 0
