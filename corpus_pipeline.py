@@ -1,59 +1,51 @@
 """From raw documents to a mixed training corpus: toxicity, near duplicates, benchmark leaks, personal data, source weights.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next stage's docs.
-All but the last return the columns of documents. Extra columns travel along. Rows without doc_id pass the filters.
+All but the last return the columns of documents; further columns travel along. Decisions are made row by row, so rows
+without doc_id and rows that repeat one are judged by their own text like all others. Empty tables stay empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from airgate.llm.common import table, word_count, written
+from airgate.llm.common import table, written
 from airgate.llm.decontam import without_leaks
-from airgate.llm.mixing import mix_sources
-from airgate.llm.near_dup import near_duplicates
+from airgate.llm.mixing import mixed
+from airgate.llm.near_dup import without_near_duplicates
 from airgate.llm.pii import redacted
-from airgate.llm.toxicity import score_toxicity
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id stands in ids."""
-    gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+from airgate.llm.toxicity import without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from the labels of the given documents."""
-    scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, scored.where("predicted = 1"))
+    """Rows that the classifier rejects go; it learns from the labels of the given documents.
+
+    Null and empty texts are judged as texts without words.
+    """
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the least doc_id (five-word shingles, 0.8)."""
-    return _without(docs, near_duplicates(docs, shingle=5, least=80, of=100).where("not kept"))
+    """One row of each group of near duplicates stays, that with the least doc_id (five-word shingles, 0.8).
+
+    Of rows with one doc_id that with the least text hash stays, of equal rows one; rows without words all stay.
+    """
+    return without_near_duplicates(docs, shingle=5, least=80, of=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
+    """Rows whose text holds a test item go; null and empty texts hold none."""
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is masked in the texts; every document stays."""
+    """Personal data is masked in the texts and n_chars counted anew; every row stays, and null texts stay null."""
     return redacted(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, with copy (1, 2, ...) and its source's target in words."""
-    taken = mix_sources(docs).where("repeats > 0").select(
-        F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), "target", "repeats"
-    )
-    # Rows that agree in these columns are taken equally often, or are told apart by no one.
-    taken = taken.groupBy("_doc", "_source", "_size").agg(F.max("target").alias("_target"), F.max("repeats").alias("_repeats"))
-    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & docs["source"].eqNullSafe(F.col("_source")) & (word_count("text") == F.col("_size"))
-    joined = docs.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats").cast("int"))))
-    return joined.select(*docs.columns, F.col("_copy").alias("copy"), F.col("_target").alias("target"))
+    """Each row as often as the mix takes it, with its copy (1, 2, ...) and its source's target in words."""
+    return mixed(docs)
 
 
 STAGES = [
