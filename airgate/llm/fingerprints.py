@@ -55,8 +55,10 @@ def signatures(texts: DataFrame, keys: list[str], sides: tuple[str, ...] = ("tex
     least = [F.min(_place(F.col("word"), F.col(f"w{k}"), s, F.col("group"))).alias(f"m{s}_{k}") for s in range(size) for k in range(len(sides))]
     made = bags.groupBy(*keys, "group").agg(*least)
     part = lambda k: F.when(F.col(f"m0_{k}").isNotNull(), F.array(*[F.hash(f"m{s}_{k}") for s in range(size)])).alias(f"s{k}")
-    made = made.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("group", *[part(k) for k in range(len(sides))]))).alias("parts"))
-    return made.select(*keys, *[F.slice(F.flatten(f"parts.s{k}"), 1, samples).alias(f"sig_{s}") for k, s in enumerate(sides)])
+    whole = F.struct(*[part(k) for k in range(len(sides))])
+    made = made.groupBy(*keys).agg(*[F.max(F.when(F.col("group") == g, whole)).alias(f"g{g}") for g in range(groups)])
+    sig = lambda k: F.slice(F.concat(*[F.col(f"g{g}.s{k}") for g in range(groups)]), 1, samples)
+    return made.select(*keys, *[sig(k).alias(f"sig_{s}") for k, s in enumerate(sides)])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -118,7 +120,10 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     pairs = rows.join(heads, KEY).withColumn("changed", F.expr("concat(substring(text, 1, char_length(text) - half), head)"))
     sigs = signatures(pairs.select(*KEY, "again", "text", "changed"), [*KEY, "again"], ("text", "changed"), samples)
     facts = pairs.select(*KEY, "again", F.sha2(F.col("changed").cast("binary"), 256).alias("edited_sha256"))
-    made = facts.join(sigs, [*KEY, "again"], "left")
+    # Both lie dealt by KEY; `again` is compared as a condition, so that it is no key of the join, which would deal them anew.
+    sigs = sigs.withColumnsRenamed({c: f"s_{c}" for c in [*KEY, "again"]})
+    same = F.col("again").cast("int") - F.col("s_again").cast("int") == 0
+    made = facts.join(sigs, [F.col(c) == F.col(f"s_{c}") for c in KEY] + [same], "left")
     made = written(made.select(*KEY, "again", "edited_sha256", F.col("sig_text").alias("own"), F.col("sig_changed").alias("changed")))
     nexts = made.select(F.struct(*KEY).alias("next"), F.col("own").alias("next_own"))
     if repeated:
