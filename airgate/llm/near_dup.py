@@ -138,7 +138,7 @@ class _Sets:
         row = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "text_hash")
         one = self.sketches.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min(row).alias("r"))
         one = written(one.select("sid", F.col("r.doc_id").alias("id"), F.col("r.text_hash").alias("text_hash")))
-        asked = self.docs.join(one, self.docs.doc_id.eqNullSafe(one.id) & (self.docs.text_hash == one.text_hash)).select("sid", "text")
+        asked = self.docs.join(one.hint("merge"), self.docs.doc_id.eqNullSafe(one.id) & (self.docs.text_hash == one.text_hash)).select("sid", "text")
         self.known = written(asked.mapInArrow(_full_sets(self.n), "sid long, shingles array<long>"))
         if self.known.count() > one.count():  # rows that repeat
             self.known = written(self.known.dropDuplicates(["sid"]))
@@ -207,7 +207,8 @@ def _grouped(docs: DataFrame, shingle: int, least: int, of: int) -> tuple[DataFr
     # Distinct members of each bucket; copies meet before the shuffle.
     members = written(named.select("sid", F.explode("bands").alias("key")).distinct())
     sizes = written(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-    members = written(members.join(sizes, "key"))
+    # A merge join at every size, in which adaptive execution splits buckets that are too large for a task.
+    members = written(members.join(sizes.hint("merge"), "key"))
     met = members.groupBy("sid").agg(F.sum("size").alias("met"))
     members = written(members.join(met, "sid"))
     sets = _Sets(docs, named, shingle, of, least)
@@ -259,8 +260,8 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, least: int = 80,
     named = sketches.where("sid is not null").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     row = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "text_hash")
     texts = written(named.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("times")))
-    keepers = texts.groupBy("root").agg(F.min(row).alias("keeper"), F.count("*").alias("texts"), F.sum("times").alias("rows"))
-    judged = texts.join(keepers.where("rows > 1"), "root").withColumn("stays", row == F.col("keeper"))
+    keepers = written(texts.groupBy("root").agg(F.min(row).alias("keeper"), F.sum("times").alias("rows")).where("rows > 1"))
+    judged = texts.join(keepers.hint("merge"), "root").withColumn("stays", row == F.col("keeper"))
     id_, hash_ = free(docs.columns, "id"), free(docs.columns, "text_hash")
     judged = written(judged.where("not stays or times > 1").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), "stays"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_))
