@@ -33,16 +33,13 @@ def factors(spark: SparkSession) -> DataFrame:
     return spark.range(1, numPartitions=1).select(F.inline(one))
 
 
-def _is(control: str):
-    return lambda listed: listed == control
-
-
 def _kept(pollutant: str) -> Column:
     """What the control stack leaves: each control in turn, twice if listed twice, none if it doesn't bear on it."""
     left = F.lit(1.0)
     for control, removes in CONTROL_EFFICIENCY.items():
         if pollutant in removes:
-            left = left * F.pow(F.lit(1 - removes[pollutant]), F.size(F.filter("controls", _is(control))))
+            listed = F.size("controls") - F.size(F.array_remove("controls", control))
+            left = left * F.pow(F.lit(1 - removes[pollutant]), listed)
     return left
 
 

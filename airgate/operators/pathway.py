@@ -12,6 +12,8 @@ from airgate.operators.emissions import largest_criteria, significant
 
 #: Designated pollutants, in the order in which hits on them are compared.
 DESIGNATED = tuple(PRECURSORS)
+#: Kinds of county that names end in, in the order in which they are tried.
+COUNTY_KINDS = (" county", " parish", " borough", " census area", " municipality", " city and borough", " city")
 
 
 def worst_designations(designations: DataFrame, year: str = "yr2026") -> DataFrame:
@@ -22,9 +24,21 @@ def worst_designations(designations: DataFrame, year: str = "yr2026") -> DataFra
     return worst.groupBy("fips").pivot("pollutant", list(DESIGNATED)).agg(F.first("w.classification")).withColumnsRenamed({p: f"{p}_class" for p in DESIGNATED})
 
 
+def bare_county(county: Column) -> Column:
+    """A county's name without the first of COUNTY_KINDS that it ends in, whatever its case."""
+    name = F.trim(county)
+    out = name
+    for kind in reversed(COUNTY_KINDS):
+        out = F.when(F.lower(name).endswith(kind), F.trim(F.substring(name, F.lit(1), F.length(name) - len(kind)))).otherwise(out)
+    return out
+
+
 def with_overlay(sites: DataFrame) -> DataFrame:
-    """sites with multiplier, permit_by_rule, state_toxics, otr and ej of their state, or the federal default."""
-    state = F.col("state")
+    """sites with multiplier, permit_by_rule, state_toxics, otr and ej of their state, or the federal default.
+
+    States match in any case, counties without their kind ("Alexandria city" is Alexandria).
+    """
+    state = F.upper("state")
 
     def of(k: int, default) -> Column:
         out = F.lit(default)
@@ -32,7 +46,7 @@ def with_overlay(sites: DataFrame) -> DataFrame:
             out = F.when(state == name, row[k]).otherwise(out)
         return out
 
-    otr = state.isin(*OTR_STATES) | ((state == "VA") & F.col("county").isin(*OTR_VA))
+    otr = state.isin(*OTR_STATES) | ((state == "VA") & bare_county(F.col("county")).isin(*OTR_VA))
     return sites.withColumns({"multiplier": of(0, 1.0), "permit_by_rule": of(1, False), "state_toxics": of(2, False), "otr": otr, "ej": state.isin(*EJ_STATES)})
 
 
@@ -96,17 +110,17 @@ def decide(pairs: DataFrame) -> DataFrame:
             "major": F.col("rank") >= 3,
         }
     )
-    d = d.withColumns({"triggers": triggers(), "stops": hard_stops()})
-    added = F.aggregate("triggers", F.lit(0.0), lambda s, t: s + t["months"])
-    d = d.withColumn("added", added)
+    # The months are summed rule by rule, not over the array: no lambda, so the projection is compiled as a whole.
+    added = sum((F.when(fires, months).otherwise(0.0) for _, fires, months in rules()), F.lit(0.0))
+    d = d.withColumns({"triggers": triggers(), "stops": hard_stops(), "added": added})
     for k, (name, share) in enumerate((("low", 0.5), ("likely", 1.0), ("high", 1.5))):
         base = F.element_at(F.array(*[F.lit(p[2 + k]) for p in PATHWAYS]), F.col("rank") + 1)
         d = d.withColumn(f"months_{name}", base * F.col("multiplier") + F.col("added") * share)
     return d.withColumn("bact", F.when(F.col("major"), significant()).otherwise(F.array().cast("array<string>"))).drop("hit", "largest")
 
 
-def triggers() -> Column:
-    """The fired triggers as struct(name, months), in rule order."""
+def rules() -> list[tuple[str, Column, Column]]:
+    """(name, whether it fires, the months that it then adds) of each trigger rule, in order."""
     major, gas = F.col("major"), F.col("gas_pipeline_km")
     classed = [F.col(f"{p}_class").isNotNull() for p in DESIGNATED]
     listed = classed[0]
@@ -135,7 +149,20 @@ def triggers() -> Column:
         ("gas_reachability", (F.col("fuel") == "natural_gas") & (gas > 8), F.when(gas > 25, 12.0).otherwise(4.0)),
         ("source_aggregation_risk", F.col("units") > 1, F.lit(3.0)),
     ]
-    return F.array_compact(F.array(*[F.when(fires, F.struct(F.lit(name).alias("name"), months.alias("months"))) for name, fires, months in rows]))
+    return rows
+
+
+def triggers() -> Column:
+    """The fired triggers as struct(name, months), in rule order."""
+    return F.array_compact(F.array(*[F.when(fires, F.struct(F.lit(name).alias("name"), months.alias("months"))) for name, fires, months in rules()]))
+
+
+def trigger_counts(decided: DataFrame) -> DataFrame:
+    """name, n: how many decisions each trigger fires in, counted rule by rule in one pass; a rule that fires twice counts twice."""
+    held = rules()
+    counts = decided.agg(*[F.count_if(fires).alias(f"n{k}") for k, (_, fires, _) in enumerate(held)])
+    long = counts.select(F.inline(F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"n{k}").alias("n")) for k, (name, _, _) in enumerate(held)])))
+    return long.groupBy("name").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def hard_stops() -> Column:
@@ -206,10 +233,11 @@ def sql(on: str = "true") -> str:
     """worst and decided as common table expressions over designations, sites and the plants `chosen`, paired by `on`."""
     severity = ", ".join(f"'{s}'" for s in SEVERITY)
     classes = ", ".join(f"max(classification) FILTER (WHERE pollutant = '{p}') AS {p}_class" for p in DESIGNATED)
-    in_otr = f"state IN ({', '.join(f"'{s}'" for s in OTR_STATES)}) OR (state = 'VA' AND county IN ({', '.join(f"'{s}'" for s in OTR_VA)}))"
-    multiplier = _case("state", {k: f"{v[0]!r}::DOUBLE" for k, v in OVERLAYS.items()}, "1.0::DOUBLE")
-    by_rule = _case("state", {k: v[1] for k, v in OVERLAYS.items()}, "false")
-    toxics = _case("state", {k: v[2] for k, v in OVERLAYS.items()}, "false")
+    bare = "trim(regexp_replace(trim(county), ' (county|parish|borough|census area|municipality|city)$', '', 'i'))"
+    in_otr = f"upper(state) IN ({', '.join(f"'{s}'" for s in OTR_STATES)}) OR (upper(state) = 'VA' AND {bare} IN ({', '.join(f"'{s}'" for s in OTR_VA)}))"
+    multiplier = _case("upper(state)", {k: f"{v[0]!r}::DOUBLE" for k, v in OVERLAYS.items()}, "1.0::DOUBLE")
+    by_rule = _case("upper(state)", {k: v[1] for k, v in OVERLAYS.items()}, "false")
+    toxics = _case("upper(state)", {k: v[2] for k, v in OVERLAYS.items()}, "false")
     hits = []
     for designated, emitted in PRECURSORS.items():
         limits = {k: f"{v!r}::DOUBLE" for k, v in NA_THRESHOLDS[designated].items()}
@@ -235,7 +263,7 @@ def sql(on: str = "true") -> str:
   FROM designations WHERE nonattain = 'Yes' AND revoked_na = '' AND trim(yr2026) <> '' GROUP BY fips, pollutant),
 worst AS (SELECT fips, {classes} FROM worst_long GROUP BY fips),
 located AS (
-  SELECT s.*, w.* EXCLUDE (fips), {multiplier} AS multiplier, {by_rule} AS permit_by_rule, {toxics} AS state_toxics, {in_otr} AS otr, state IN ('NJ') AS ej
+  SELECT s.*, w.* EXCLUDE (fips), {multiplier} AS multiplier, {by_rule} AS permit_by_rule, {toxics} AS state_toxics, {in_otr} AS otr, upper(state) IN ('NJ') AS ej
   FROM sites s LEFT JOIN worst w ON s.fips = w.fips),
 pairs AS (SELECT chosen.*, located.* FROM chosen JOIN located ON {on}),
 hits AS (

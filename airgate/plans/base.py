@@ -25,5 +25,9 @@ def registered(sql: str | None = None):
 
 
 def shown(x: str | Column, places: int = 4) -> Column:
-    """Rounded for output; a nudge keeps exact halves from being rounded unlike in another engine."""
-    return F.round((F.col(x) if isinstance(x, str) else x) + 1e-7, places)
+    """Rounded for output, as the SQL engine does it: scaled, rounded to a whole number and scaled back, in doubles.
+
+    round(x, places) would round the decimal digits, and differ where scaling turns a number just under a half into one.
+    """
+    scale = float(10**places)
+    return F.round(((F.col(x) if isinstance(x, str) else x) + 1e-7) * scale) / scale

@@ -219,7 +219,7 @@ _extremes("top1_slowest", True)
   CASE WHEN fuel = 'natural_gas' AND gas_pipeline_km > 8 THEN 'gas_reachability' END, CASE WHEN units > 1 THEN 'source_aggregation_risk' END]) AS name FROM decided)
 SELECT name, count(*)::BIGINT AS n FROM t WHERE name IS NOT NULL GROUP BY 1""")
 def agg19_trigger_frequency(spark, sf_dir):
-    return own_site(spark, sf_dir).select(F.explode("triggers").alias("t")).groupBy(F.col("t.name").alias("name")).agg(F.count("*").alias("n"))
+    return pathway.trigger_counts(own_site(spark, sf_dir))
 
 
 @registered(f"""{_OWN} SELECT plant_id, site_id, target AS cap_threshold, CASE WHEN f > target * 0.9::DOUBLE THEN round(8760 * target * 0.9::DOUBLE / f + 1e-7::DOUBLE, 4) END AS cap_hours,
