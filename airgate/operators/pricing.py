@@ -51,3 +51,18 @@ def delay_values(projects: DataFrame) -> DataFrame:
     held = held.withColumn("accelerators", fit)
     month = F.col("accelerators") * MONTH_HOURS * F.col("utilisation") * F.col("rate")
     return held.withColumns({"month_usd": month, "usd": F.col("accelerators") * MONTH_HOURS * F.col("months") * F.col("utilisation") * F.col("rate")})
+
+
+def assessed_delay(projects: DataFrame) -> DataFrame:
+    """project_id, months_delayed, it_load, load_derived, sole_source, accelerators, usd (likely case) of assessed projects.
+
+    projects: mw of the plant, slack in months against the announced date, it_load_mw where it is stated, grid_tied. Delay is
+    negative slack; a load that isn't stated is what the plant can serve at PUE. Projects without slack have no price.
+    """
+    held = projects.where("slack is not null").select(
+        "project_id", F.greatest(F.lit(0.0), -F.col("slack")).alias("months_delayed"), F.coalesce("it_load_mw", F.col("mw") / PUE).alias("it_load"),
+        F.col("it_load_mw").isNull().alias("load_derived"), (~F.col("grid_tied")).alias("sole_source"),
+    )
+    utilisation, rate, margin = next(s[1:] for s in SCENARIOS if s[0] == "likely")
+    held = held.withColumn("accelerators", F.floor(F.col("it_load") * 1e6 / NODE_WATTS / margin).cast("long"))
+    return held.withColumn("usd", F.col("accelerators") * MONTH_HOURS * F.col("months_delayed") * utilisation * rate)

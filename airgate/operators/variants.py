@@ -79,6 +79,18 @@ def facts_to_buy(share: float = 0.6) -> Column:
     )
 
 
+def proximity_targets(share: float = 0.6) -> Column:
+    """An array of struct(target, chosen, reason, asked): the nearest features to read, and for those not worth it why.
+
+    Targets that don't bear on the plant at all are not asked for.
+    """
+    shaped = (largest_criteria()["tpy"] >= share * source_threshold()) | (F.col("prime_mover") == "diesel_recip")
+    gas, grid, tall = F.col("fuel") == "natural_gas", F.col("grid_tied") | (F.col("mw") > 100), F.col("prime_mover").contains("turbine")
+    rows = [("gas_pipeline", gas, None), ("transmission", grid, None), ("substation", grid, None), ("airport", tall, "short_stack"), ("urban_area", shaped, "no_modelling"), ("school", shaped, "no_modelling")]
+    asked = lambda on, why: on if why is None else F.lit(True)
+    return F.array(*[F.struct(F.lit(n).alias("target"), on.alias("chosen"), F.when(~on, F.lit(why)).alias("reason"), asked(on, why).alias("asked")) for n, on, why in rows])
+
+
 def scene_pick(scenes: DataFrame, days: int = 9, bucket: int = 259_200, clouds: float = 60.0, probes: int = 10, clean: float = 2.0) -> DataFrame:
     """One scene a site near its target: the first clean one of the first probes (by distance in time, then cloud), else the clearest."""
     targets = scenes.groupBy(F.col("user_id").alias("site")).agg((F.min("ts") + F.expr("INTERVAL 10 DAY")).alias("target"))

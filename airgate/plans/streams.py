@@ -26,7 +26,9 @@ def str2_first_sight(spark, sf_dir):
     return jobs.drained(jobs.first_sight(jobs.stream(spark, sf_dir, "events"), ["user_id", "event_type"], "14 days"), "append")
 
 
-@registered()
+@registered("""WITH c AS (SELECT user_id, event_id, value, sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS upto FROM events),
+m AS (SELECT *, min(upto) FILTER (WHERE upto >= 500) OVER (PARTITION BY user_id) AS crossed FROM c)
+SELECT user_id, event_id, CASE WHEN crossed IS NULL THEN upto ELSE least(upto, crossed) END AS spent, coalesce(upto > crossed, false) AS refused FROM m""")
 def str4_metered(spark, sf_dir):
     return jobs.drained(jobs.metered(jobs.stream(spark, sf_dir, "events"), ceiling=500.0), "append")
 

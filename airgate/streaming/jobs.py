@@ -29,15 +29,18 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drained(rows: DataFrame, mode: str) -> DataFrame:
-    """Runs a streaming job over all input there is and returns what it wrote."""
+    """Runs a streaming job over all input there is and returns what it wrote.
+
+    A micro-batch writes a folder of its own, so that one that is replayed replaces what it wrote before.
+    """
     spark, folder = rows.sparkSession, _folder(rows.sparkSession)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
+        batch.write.mode("overwrite").parquet(f"{folder}/out/{'all' if mode == 'complete' else number}")
 
     query = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out/*")
 
 
 def daily_volume(rows: DataFrame) -> DataFrame:

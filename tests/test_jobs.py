@@ -217,3 +217,28 @@ def test_announced_dates(spark):
     day, how = records.announced(F.col("s"))
     got = spark.createDataFrame([(s,) for s in said], "s string").select(day.cast("string").alias("d"), how.alias("h")).collect()
     assert [tuple(r) for r in got] == [("2026-10-05", "day"), ("2026-10-01", "quarter"), ("2026-11-01", "month"), ("2027-01-01", "year"), (None, None), (None, None), (None, "month")]
+
+
+def test_county_kinds_in_the_transport_region(spark):
+    names = [("VA", "Alexandria city"), ("va", "Fairfax County"), ("VA", "Loudoun"), ("VA", "Prince William COUNTY"), ("VA", "Richmond city"), ("ny", None), ("TX", "Fairfax County"), ("VA", None)]
+    got = [bool(r["otr"]) for r in pathway.with_overlay(spark.createDataFrame(names, "state string, county string")).collect()]
+    assert got == [True, True, True, True, False, True, False, False]
+
+
+def plain_simplified(points, tolerance):
+    """Douglas and Peucker's rule, by recursion."""
+    (x1, y1), (x2, y2) = points[0], points[-1]
+    length = math.hypot(x2 - x1, y2 - y1)
+    off = [abs((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)) / length if length else math.hypot(x - x1, y - y1) for x, y in points[1:-1]]
+    if not off or max(off) <= tolerance:
+        return [points[0], points[-1]]
+    k = off.index(max(off)) + 1
+    return plain_simplified(points[: k + 1], tolerance)[:-1] + plain_simplified(points[k:], tolerance)
+
+
+def test_simplified_rings_equal_the_recursive_rule(spark):
+    rings = {s: [(round(math.cos(k / 5) * (1 + s * k % 3 / 20), 4), round(math.sin(k / 5) + s * k % 2 / 30, 4)) for k in range(32)] for s in range(1, 6)}
+    rows = [(s, k, x, y) for s, ring in rings.items() for k, (x, y) in enumerate(ring)]
+    kept = spatial.simplified(spark.createDataFrame(rows, "shape long, seq int, x double, y double").repartition(3), 0.05).collect()
+    for s, ring in rings.items():
+        assert [(r["x"], r["y"]) for r in sorted(kept, key=lambda r: r["seq"]) if r["shape"] == s] == plain_simplified(ring, 0.05)
