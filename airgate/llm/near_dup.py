@@ -265,7 +265,8 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, least: int = 80,
     id_, hash_ = free(docs.columns, "id"), free(docs.columns, "text_hash")
     judged = written(judged.where("not stays or times > 1").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), "stays"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_))
-    left = docs.join(judged.drop("stays"), same, "left_anti")
+    # A merge join at every size: what goes grows with the documents.
+    left = docs.join(judged.drop("stays").hint("merge"), same, "left_anti")
     again = judged.where("stays")
     if again.limit(1).count():
         # Equal rows: the first in the order of all their columns.
