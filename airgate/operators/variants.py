@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from airgate.functions.rules import OVERLAYS
+from airgate.functions.rules import OVERLAYS, POLLUTANTS
+from airgate.operators import emissions, pathway
 from airgate.operators.emissions import has, largest_criteria
 from airgate.operators.pathway import DESIGNATED, source_threshold
 
@@ -41,6 +42,77 @@ def options(plants: DataFrame) -> DataFrame:
     return held.withColumns({c: F.col(f"o.{c}") for c in ("label", "ord", "prime_mover", "fuel", "controls", "units")} | {"heat_rate": rate}).drop("o")
 
 
+#: The options of `weighed` in the order that breaks ties.
+OPTIONS = (
+    "add_scr", "add_catalyst", "add_both", "dry_low_nox", "combined_cycle", "combined_cycle_both", "tier4", "fuel_cell", "hour_cap", "hour_cap_both", "split",
+)
+
+
+def weighed(decided: DataFrame) -> DataFrame:
+    """Every option of a plant that was decided at its site, decided there in its turn: a row an option.
+
+    Adds label, ord (its place in OPTIONS), base_rank, base_months, rank_delta and months_saved (more is better) and
+    availability (the share of the year that an enforceable limit leaves). An option that equals the plant or an earlier
+    option, breaks a rule or has no emission factors has no row. A stated heat rate stays. An hour cap is for plants over
+    the least threshold at their site and leaves at least 1,000 hours; splitting is for one-unit major sources. Sites
+    aren't joined again, so options add no shuffle.
+    """
+    mover, turbine = F.col("prime_mover"), F.col("prime_mover").contains("turbine")
+    scr, catalyst, simple = has("scr"), has("oxidation_catalyst"), F.col("prime_mover") == "simple_cycle_turbine"
+    plus = lambda control: F.array_append("controls", F.lit(control))
+    both = F.concat("controls", F.array_except(F.array(F.lit("scr"), F.lit("oxidation_catalyst")), F.col("controls")))
+    combined, none = F.lit("combined_cycle_turbine"), F.array().cast("array<string>")
+    changes = {
+        "add_scr": (~scr, {"controls": plus("scr")}),
+        "add_catalyst": (~catalyst, {"controls": plus("oxidation_catalyst")}),
+        "add_both": (~scr & ~catalyst, {"controls": both}),
+        "dry_low_nox": (turbine & ~has("dry_low_nox"), {"controls": plus("dry_low_nox")}),
+        "combined_cycle": (simple, {"prime_mover": combined}),
+        "combined_cycle_both": (simple & ~(scr & catalyst), {"prime_mover": combined, "controls": both}),
+        "tier4": ((mover == "diesel_recip") & ~has("tier4_final"), {"controls": plus("tier4_final")}),
+        "fuel_cell": (mover != "fuel_cell", {"prime_mover": F.lit("fuel_cell"), "fuel": F.lit("natural_gas"), "controls": none}),
+        "hour_cap": (F.lit(True), {}),
+        "hour_cap_both": (~(scr & catalyst), {"controls": both}),
+        "split": ((F.col("units") == 1) & (F.col("rank") >= 3), {"units": F.lit(2)}),
+    }
+    changed = ("prime_mover", "fuel", "controls", "units")
+    rows = [
+        F.when(on, F.struct(F.lit(label).alias("label"), F.lit(k).alias("ord"), *[held.get(c, F.col(c)).alias(c) for c in changed]))
+        for k, (label, (on, held)) in enumerate((label, changes[label]) for label in OPTIONS)
+    ]
+    base = decided.withColumns({"base_rank": F.col("rank"), "base_months": F.col("months_likely"), "cap_threshold": pathway.synthetic_cap()["cap_threshold"]})
+    d = base.withColumn("o", F.explode(F.array_compact(F.array(*rows))))
+    d = d.withColumns({c: F.col(f"o.{c}") for c in ("label", "ord", *changed)}).drop("o", "rejected", "heat_input", "effective_hours", *(f"{p}_tpy" for p in POLLUTANTS))
+    d = emissions.estimate(d)
+    capped, worst = F.col("label").isin("hour_cap", "hour_cap_both"), largest_criteria()["tpy"]
+    hours = 8760 * F.col("cap_threshold") * 0.9 / (worst * 8760 / F.col("effective_hours"))
+    # Generated, not projected: a projection would be inlined into each of the columns and filters that use it.
+    held = F.struct(F.when(capped, hours).alias("cap_hours"), worst.alias("uncapped"))
+    d = d.select("*", F.inline(F.array(held))).where(~capped | ((F.col("uncapped") >= F.col("cap_threshold")) & (F.col("cap_hours") >= 1000)))
+    share = F.when(capped, F.col("cap_hours") / F.col("effective_hours")).otherwise(1.0)
+    d = d.withColumns({f"{p}_tpy": F.col(f"{p}_tpy") * share for p in POLLUTANTS})
+    d = d.withColumns({"run_hours": F.coalesce("cap_hours", "run_hours"), "effective_hours": F.coalesce("cap_hours", "effective_hours"), "enforceable": capped | F.col("enforceable")})
+    d = pathway.decide(d)
+    return d.withColumns(
+        {
+            "rank_delta": F.col("base_rank") - F.col("rank"), "months_saved": F.col("base_months") - F.col("months_likely"),
+            "availability": F.when(F.col("enforceable"), F.col("run_hours") / 8760).otherwise(1.0),
+        }
+    )
+
+
+def best_option(options: DataFrame, *plant: str) -> DataFrame:
+    """Of each plant's `weighed` options the first that improves its pathway or saves over a month; plants without one have no row.
+
+    The order is: no hard stop first, then the better pathway, the months saved, the availability and OPTIONS.
+    """
+    better = (F.col("rank_delta") > 0) | (F.round("months_saved", 6) > 1)
+    stopped, saved, available = (F.size("stops") > 0).cast("int"), F.round("months_saved", 6), F.round("availability", 9)
+    order = F.when(better, F.struct(stopped, -F.col("rank_delta"), -saved, -available, "ord", "mw", "controls"))
+    kept = F.struct("label", "pathway", "rank", "rank_delta", "months_likely", "months_saved", "availability", "run_hours")
+    return options.groupBy(*plant).agg(F.min_by(kept, order).alias("o")).where("o is not null").select(*plant, "o.*")
+
+
 def overridden(plants: DataFrame) -> DataFrame:
     """plants with their `change` (prime_mover, run_hours, enforceable; null keeps) applied.
 

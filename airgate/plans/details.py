@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airgate.functions import forms
+from airgate.functions.rules import CRITERIA, POLLUTANTS
 from airgate.operators import emissions, news, pathway, variants
 from airgate.plans import permit
 from airgate.plans.base import registered, shown
@@ -45,6 +46,65 @@ def win2_best_option(spark, sf_dir):
     return _variants(spark, sf_dir).withColumn("place", F.row_number().over(order)).where("place = 1").select("plant_id", "label", "place")
 
 
+_DESIGN = "plant_id, l_suppkey, mw, prime_mover, fuel, controls, run_hours, enforceable, heat_rate, units"
+_BOTH = "list_concat(controls, list_filter(['scr', 'oxidation_catalyst'], lambda c: NOT list_contains(controls, c)))"
+
+
+def _weighed_sql() -> str:
+    """`weighed` over every plant: the plants decided as they are, then an option a row decided again."""
+    scr, catalyst, simple = "list_contains(controls, 'scr')", "list_contains(controls, 'oxidation_catalyst')", "prime_mover = 'simple_cycle_turbine'"
+    added = lambda control: f"list_append(controls, '{control}')"
+    rows = [
+        ("add_scr", f"NOT {scr}", {"controls": added("scr")}), ("add_catalyst", f"NOT {catalyst}", {"controls": added("oxidation_catalyst")}),
+        ("add_both", f"NOT {scr} AND NOT {catalyst}", {"controls": _BOTH}),
+        ("dry_low_nox", "contains(prime_mover, 'turbine') AND NOT list_contains(controls, 'dry_low_nox')", {"controls": added("dry_low_nox")}),
+        ("combined_cycle", simple, {"prime_mover": "'combined_cycle_turbine'"}),
+        ("combined_cycle_both", f"{simple} AND NOT ({scr} AND {catalyst})", {"prime_mover": "'combined_cycle_turbine'", "controls": _BOTH}),
+        ("tier4", "prime_mover = 'diesel_recip' AND NOT list_contains(controls, 'tier4_final')", {"controls": added("tier4_final")}),
+        ("fuel_cell", "prime_mover <> 'fuel_cell'", {"prime_mover": "'fuel_cell'", "fuel": "'natural_gas'", "controls": "CAST([] AS VARCHAR[])"}),
+        ("hour_cap", "true", {}), ("hour_cap_both", f"NOT ({scr} AND {catalyst})", {"controls": _BOTH}), ("split", "units = 1 AND base_rank >= 3", {"units": "2"}),
+    ]
+    made = " UNION ALL ".join(
+        f"SELECT plant_id, l_suppkey, mw, {', '.join(f'{held.get(c, c)} AS {c}' for c in ('prime_mover', 'fuel', 'controls'))}, run_hours, enforceable, heat_rate, "
+        f"{held.get('units', 'units')} AS units, base_rank, base_months, target, '{label}' AS label, {k} AS ord FROM base WHERE {on}"
+        for k, (label, on, held) in enumerate(rows)
+    )
+    tpy = [f"{p}_tpy" for p in POLLUTANTS]
+    least = """least(threshold, CASE ozone_class WHEN 'serious' THEN 50 WHEN 'severe-15' THEN 25 WHEN 'extreme' THEN 10 ELSE CASE WHEN ozone_class IS NOT NULL THEN 100 END END,
+      CASE WHEN pm25_class = 'serious' OR pm10_class = 'serious' THEN 70 END, CASE WHEN co_class = 'serious' THEN 50 END,
+      CASE WHEN coalesce(pm25_class, pm10_class, co_class, so2_class, no2_class, lead_class) IS NOT NULL THEN 100 END)::DOUBLE"""
+    return f"""WITH base AS (WITH {SQL['plants']}, {SQL['sites']}, {SQL['designations']}, {emissions.sql()}, chosen AS (SELECT * FROM pte), {pathway.sql('chosen.l_suppkey = located.site_id')}
+  SELECT {_DESIGN}, rank AS base_rank, months_likely AS base_months, {least} AS target FROM decided),
+plants AS ({made}), {SQL['sites']}, {SQL['designations']}, {emissions.sql()},
+worked AS (SELECT *, greatest({', '.join(f'{p}_tpy' for p in CRITERIA)}) AS top_tpy, CASE WHEN label LIKE 'hour_cap%' THEN 8760 * target * 0.9::DOUBLE / (top_tpy * 8760 / effective_hours) END AS cap FROM pte),
+chosen AS (SELECT * REPLACE ({', '.join(f'CASE WHEN cap IS NULL THEN {c} ELSE {c} * (cap / effective_hours) END AS {c}' for c in tpy)}, coalesce(cap, run_hours) AS run_hours, cap IS NOT NULL OR enforceable AS enforceable)
+  FROM worked WHERE cap IS NULL OR (top_tpy >= target AND cap >= 1000)), {pathway.sql('chosen.l_suppkey = located.site_id')},
+weighed AS (SELECT *, base_rank - rank AS rank_delta, base_months - months_likely AS months_saved, CASE WHEN enforceable THEN run_hours / 8760 ELSE 1 END AS availability FROM decided)"""
+
+
+def _weighed(spark, sf_dir) -> DataFrame:
+    return variants.weighed(permit.own_site(spark, sf_dir))
+
+
+@registered(f"""{_weighed_sql()} SELECT label, count(*)::BIGINT AS n, count(*) FILTER (WHERE rank_delta > 0)::BIGINT AS better, count(*) FILTER (WHERE rank_delta < 0)::BIGINT AS worse,
+count(*) FILTER (WHERE round(months_saved, 6) > 1)::BIGINT AS sooner, count(*) FILTER (WHERE n_stops > 0)::BIGINT AS stopped, max(months_saved) AS most_saved, min(availability) AS least_available FROM weighed GROUP BY 1""")
+def prj25_options_in_full(spark, sf_dir):
+    """All eleven options of every plant at its own site: how many there are and what they bring."""
+    sooner = F.count_if(F.round("months_saved", 6) > 1).alias("sooner")
+    return _weighed(spark, sf_dir).groupBy("label").agg(
+        F.count("*").alias("n"), F.count_if(F.col("rank_delta") > 0).alias("better"), F.count_if(F.col("rank_delta") < 0).alias("worse"), sooner,
+        F.count_if(F.size("stops") > 0).alias("stopped"), F.max("months_saved").alias("most_saved"), F.min("availability").alias("least_available"),
+    )
+
+
+@registered(f"""{_weighed_sql()} SELECT plant_id, label, pathway, rank_delta, months_saved, availability FROM weighed WHERE rank_delta > 0 OR round(months_saved, 6) > 1
+QUALIFY row_number() OVER (PARTITION BY plant_id, l_suppkey ORDER BY (n_stops > 0)::INT, rank_delta DESC, round(months_saved, 6) DESC, round(availability, 9) DESC, ord, mw, controls) = 1""")
+def win2_improving_option(spark, sf_dir):
+    """The option to take for each plant that any option improves."""
+    best = variants.best_option(_weighed(spark, sf_dir), "plant_id", "l_suppkey")
+    return best.select("plant_id", "label", "pathway", "rank_delta", "months_saved", "availability")
+
+
 @registered(f"""{_PTE.replace(SQL['plants'], SQL['plants'].replace('plants AS', 'base AS') + ''', plants AS (SELECT * REPLACE (CASE WHEN l_suppkey % 3 = 0 THEN 'fuel_cell' ELSE prime_mover END AS prime_mover, CASE WHEN l_suppkey % 3 = 0 THEN 'natural_gas' ELSE fuel END AS fuel,
   CASE WHEN l_suppkey % 3 = 0 THEN CAST([] AS VARCHAR[]) ELSE controls END AS controls, CASE WHEN l_suppkey % 5 = 0 THEN 4000::DOUBLE ELSE run_hours END AS run_hours, l_suppkey % 5 = 0 OR enforceable AS enforceable) FROM base)''')}
 SELECT plant_id, prime_mover, fuel, len(controls)::INT AS n_controls, round(nox_tpy + 1e-7::DOUBLE, 4) AS nox_tpy FROM pte""")

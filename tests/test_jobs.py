@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from airgate.functions import geo, stats
-from airgate.operators import emissions, news, pathway, pricing, records, spatial
+from airgate.operators import emissions, news, pathway, pricing, records, spatial, variants
 from airgate.operators.graph import components
 from airgate.plans import registry
 
@@ -88,13 +88,17 @@ SITE = {
 SITE_SCHEMA = "site_id int, state string, fips string, county string, lat double, lon double, residents_1km int, terrain_relief_m double, gas_pipeline_km double, moratorium boolean, zoning_posture string, cases int, class_i_km double, increment_no2 double, increment_pm25 double"
 
 
-def decided(spark, plant, site, **classes):
-    """One plant at one site with the given designation classes."""
+def at_site(spark, plant, site, **classes):
+    """One plant decided at one site with the given designation classes."""
     pte = emissions.estimate(spark.createDataFrame([plant], PLANT))
     sites = pathway.with_overlay(spark.createDataFrame([tuple((SITE | site).values())], SITE_SCHEMA))
     for p in pathway.DESIGNATED:
         sites = sites.withColumn(f"{p}_class", F.lit(classes.get(p)).cast("string"))
-    return pathway.decide(pte.crossJoin(sites)).first()
+    return pathway.decide(pte.crossJoin(sites))
+
+
+def decided(spark, plant, site, **classes):
+    return at_site(spark, plant, site, **classes).first()
 
 
 REFERENCE = ("ref", 500.0, "combined_cycle_turbine", "natural_gas", ["dry_low_nox", "scr", "oxidation_catalyst"], 8760.0, False, None, 1)
@@ -119,6 +123,38 @@ def test_county_months(spark, site, classes, pathway_, months):
     assert (r["pathway"], round(r["months_likely"], 4)) == (pathway_, months)
 
 
+def options_of(spark, plant, site, **classes):
+    d = variants.weighed(at_site(spark, plant, site, **classes)).persist()
+    rows, best = {r["label"]: r for r in d.collect()}, variants.best_option(d, "plant_id").collect()
+    d.unpersist()
+    return rows, best
+
+
+def test_options_of_a_controlled_plant(spark):
+    """Nothing to add, so what is left is another machine, fewer hours or a split; no option is listed twice."""
+    rows, best = options_of(spark, REFERENCE, {"state": "TX"})
+    assert sorted(rows) == ["fuel_cell", "hour_cap", "split"]
+    cap = 8760 * 100 * 0.9 / decided(spark, REFERENCE, {"state": "TX"})["nox_tpy"]
+    assert math.isclose(rows["hour_cap"]["run_hours"], cap) and math.isclose(rows["hour_cap"]["availability"], cap / 8760)
+    assert math.isclose(rows["hour_cap"]["nox_tpy"], 90.0) and rows["hour_cap"]["pathway"] == "synthetic_minor"
+    assert (rows["split"]["rank_delta"], rows["split"]["months_saved"]) == (0, -3.0)
+    assert [(r["label"], r["rank_delta"]) for r in best] == [("fuel_cell", 2)]
+
+
+def test_options_leave_out_what_cannot_be(spark):
+    """Caps under 1,000 hours, machines without factors for the fuel and splits of minor plants have no row."""
+    equipment = ["add_both", "add_catalyst", "add_scr", "dry_low_nox", "fuel_cell"]
+    rows, _ = options_of(spark, ("p", 2000.0, "simple_cycle_turbine", "diesel", [], 8760.0, False, None, 1), {"state": "TX"})
+    assert sorted(rows) == [*equipment, "split"]  # the caps would leave 24 and 244 hours
+    rows, _ = options_of(spark, ("p", 400.0, "simple_cycle_turbine", "diesel", [], 8760.0, False, None, 1), {"state": "TX"})
+    assert sorted(rows) == [*equipment, "hour_cap_both", "split"]  # 122 and 1,217.53 hours
+    assert math.isclose(rows["hour_cap_both"]["run_hours"], 1217.53, abs_tol=0.01)
+    assert not {"combined_cycle", "combined_cycle_both", "tier4"} & set(rows)
+    assert all(r["run_hours"] >= 1000 for r in rows.values())
+    rows, best = options_of(spark, ("p", 1.0, "fuel_cell", "natural_gas", [], 8760.0, False, None, 1), {"state": "TX"})
+    assert sorted(rows) == ["add_both", "add_catalyst", "add_scr"] and best == []
+
+
 def test_one_project_in_detail(spark):
     plant = ("p", 400.0, "simple_cycle_turbine", "natural_gas", [], 8760.0, False, None, 1)
     r = decided(spark, plant, {"state": "NJ", "county": "Cumberland", "cases": 2, "gas_pipeline_km": None}, ozone="serious")
