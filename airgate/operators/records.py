@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fields billed together as one parcel group, its price, and prices of driving distances.
@@ -15,6 +15,46 @@ def facts(rows: DataFrame, key: str, body: str) -> DataFrame:
     return held.where("value is not null")
 
 
+def facts_in_full(rows: DataFrame, key: str, body: str) -> DataFrame:
+    """Long facts with their provenance from {"fields": {name: {value, unit, source, ...}}}; absent and failed ones stay.
+
+    Numbers are in value, all else in said. A field without status is present if it has a value, absent otherwise.
+    Bodies that are null or no such object give no rows.
+    """
+    field = "struct<value: string, unit: string, source: string, confidence: double, fetched_at: string, ttl_seconds: bigint, status: string>"
+    held = rows.select(key, F.explode(F.from_json(body, f"fields map<string, {field}>")["fields"]).alias("key", "f"))
+    number = F.col("f.value").try_cast("double")
+    said = F.when(number.isNull(), F.col("f.value"))
+    status = F.coalesce("f.status", F.when(F.col("f.value").isNull(), "absent").otherwise("present"))
+    kept = ("unit", "source", "confidence", "fetched_at", "ttl_seconds")
+    return held.select(key, "key", number.alias("value"), said.alias("said"), *[F.col(f"f.{c}").alias(c) for c in kept], status.alias("status"))
+
+
+def page_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """Designation rows of county pages: key, row (its place), state, county, area, whole, designation, status.
+
+    Table rows of one cell are headers: a state if the cell is in capitals, else a county of that state. Rows of three
+    cells or more are designations of the last headers; an area with an asterisk is a part of its county (whole false).
+    Rows before the first header have neither; a new state has no county yet. Null pages and rows of two cells give none.
+    """
+    rows = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("row", "tr"))
+    cells = F.transform(
+        F.regexp_extract_all("tr", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)),
+        lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " ")),
+    )
+    rows = rows.select(key, "row", cells.alias("cells"), F.size(cells).alias("n")).where("n = 1 or n >= 3")
+    title = F.col("cells")[0]
+    is_state = (title == F.upper(title)) & title.rlike("[A-Z]")
+    so_far = Window.partitionBy(key).orderBy("row")
+    rows = rows.withColumn("state", F.last(F.when((F.col("n") == 1) & is_state, title), ignorenulls=True).over(so_far))
+    header = F.when(F.col("n") == 1, F.struct(F.when(~is_state, title).alias("county")))
+    rows = rows.withColumn("county", F.last(header, ignorenulls=True).over(so_far)["county"]).where("n >= 3")
+    area = F.trim(F.replace(title, F.lit("*"), F.lit("")))
+    return rows.select(
+        key, "row", "state", "county", area.alias("area"), (~F.contains(title, F.lit("*"))).alias("whole"), F.col("cells")[1].alias("designation"), F.col("cells")[2].alias("status")
+    )
+
+
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key; an aggregate, so that a frequent key needs no sort of its rows."""
     rest = [c for c in rows.columns if c not in keys]

@@ -116,6 +116,23 @@ def src5_page_rows(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", heading.alias("heading"), F.regexp_count("html", F.lit("<li>")).cast("long").alias("items"), F.regexp_count("html", F.lit("<p>")).cast("long").alias("paragraphs"))
 
 
+@registered("""WITH l AS (SELECT l_orderkey, l_partkey, l_returnflag, l_linestatus, o_orderpriority,
+  count(*) OVER w + sum(l_linenumber % 2) OVER w AS place, last_value(CASE WHEN l_linenumber % 2 = 1 THEN 'County ' || l_suppkey END IGNORE NULLS) OVER w AS county
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_returnflag, l_linestatus ROWS UNBOUNDED PRECEDING))
+SELECT l_orderkey AS page, place::INT AS row, upper(o_orderpriority) AS state, county, 'Area ' || l_partkey AS area, l_returnflag <> 'R' AS whole, l_linestatus AS designation, l_returnflag AS status FROM l""")
+def src5_designation_rows(spark, sf_dir):
+    """Each order as a page: its priority the state, suppliers of odd lines the counties, lines the designations."""
+    cell = lambda *said: F.concat(F.lit("<td>"), *said, F.lit("</td>"))
+    county = F.when(F.col("l_linenumber") % 2 == 1, F.concat(F.lit("<tr>"), cell(F.lit("County "), F.col("l_suppkey")), F.lit("</tr>"))).otherwise("")
+    area = cell(F.lit("<b>Area\n"), F.col("l_partkey"), F.lit(" </b>"), F.when(F.col("l_returnflag") == "R", "*").otherwise(""))
+    line = F.concat(county, F.lit('<tr class="d">'), area, cell(F.col("l_linestatus")), cell(F.col("l_returnflag")), F.lit("</tr>\n"))
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_returnflag", "l_linestatus", line.alias("tr")))).alias("lines"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    html = F.concat(F.lit("<table><tr>"), cell(F.upper("o_orderpriority")), F.lit("</tr>"), F.array_join("lines.tr", ""), F.lit("</table>"))
+    pages = lines.join(orders, "l_orderkey").select(F.col("l_orderkey").alias("page"), html.alias("html"))
+    return records.page_rows(pages, "page", "html")
+
+
 @registered("""WITH h AS (SELECT d.source AS county, l.quality, l.toxic FROM labels l JOIN documents d ON l.doc_id = d.doc_id), p AS (SELECT county, CASE WHEN toxic = 1 THEN 'hostile' WHEN quality = 1 THEN 'by-right' ELSE 'special-exception' END AS posture, CASE WHEN quality = 1 THEN 'high' ELSE 'medium' END AS confidence FROM h)
 SELECT posture, confidence, count(*)::BIGINT AS n, count(DISTINCT county)::BIGINT AS counties FROM p GROUP BY GROUPING SETS ((posture), (confidence), ())""")
 def agg22_reconciliation_totals(spark, sf_dir):
@@ -162,6 +179,24 @@ def src15_facts(spark, sf_dir):
     return records.facts(read(spark, sf_dir, "events"), "event_id", "props")
 
 
+@registered("""WITH e AS (SELECT event_id, event_type, value, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, CAST(DATE '2024-01-01' + (event_id % 28)::INT AS VARCHAR) AS fetched_at FROM events)
+SELECT event_id, 'k' AS key, CASE WHEN event_id % 10 <> 0 THEN k END AS value, NULL::VARCHAR AS said, 'count' AS unit, 'props' AS source, 0.5::DOUBLE AS confidence, fetched_at, 3600::BIGINT AS ttl_seconds, CASE WHEN event_id % 10 = 0 THEN 'failed' WHEN k IS NULL THEN 'absent' ELSE 'present' END AS status FROM e
+UNION ALL SELECT event_id, 'value', value, NULL, NULL, 'events', 1.0, fetched_at, NULL, CASE WHEN value IS NULL THEN 'absent' ELSE 'present' END FROM e
+UNION ALL SELECT event_id, 'kind', NULL, event_type, NULL, 'events', NULL, NULL, NULL, CASE WHEN event_type IS NULL THEN 'absent' ELSE 'present' END FROM e""")
+def src15_facts_in_full(spark, sf_dir):
+    """Each event as a response with three fields: a count that fails for every tenth, a value, and a text."""
+    k = F.when(F.col("event_id") % 10 != 0, F.get_json_object("props", "$.k"))
+    at = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("event_id") % 28).cast("int")).cast("string")
+    count = F.to_json(F.struct(
+        k.alias("value"), F.lit("count").alias("unit"), F.lit("props").alias("source"), F.lit(0.5).alias("confidence"), at.alias("fetched_at"),
+        F.lit(3600).alias("ttl_seconds"), F.when(F.col("event_id") % 10 == 0, "failed").alias("status"),
+    ))
+    value = F.to_json(F.struct(F.col("value").cast("string").alias("value"), F.lit("events").alias("source"), F.lit(1.0).alias("confidence"), at.alias("fetched_at")))
+    kind = F.to_json(F.struct(F.col("event_type").alias("value"), F.lit("events").alias("source")))
+    body = F.concat(F.lit('{"fields": {"k": '), count, F.lit(', "value": '), value, F.lit(', "kind": '), kind, F.lit("}}"))
+    return records.facts_in_full(read(spark, sf_dir, "events").select("event_id", body.alias("body")), "event_id", "body")
+
+
 @registered("""SELECT user_id, max(value) FILTER (WHERE event_type = 'click') AS click, max(value) FILTER (WHERE event_type = 'view') AS view, max(value) FILTER (WHERE event_type = 'purchase') AS purchase FROM events GROUP BY 1""")
 def agg20_facts_wide(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["click", "view", "purchase"]).agg(F.max("value"))

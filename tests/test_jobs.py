@@ -278,3 +278,21 @@ def test_simplified_rings_equal_the_recursive_rule(spark):
     kept = spatial.simplified(spark.createDataFrame(rows, "shape long, seq int, x double, y double").repartition(3), 0.05).collect()
     for s, ring in rings.items():
         assert [(r["x"], r["y"]) for r in sorted(kept, key=lambda r: r["seq"]) if r["shape"] == s] == plain_simplified(ring, 0.05)
+
+
+def test_page_rows_carry_headers(spark):
+    cells = lambda *said: "<tr>" + "".join(f"<td>{x}</td>" for x in said) + "</tr>"
+    html = cells("A", "B", "C") + cells("OHIO") + cells("D", "E", "F") + cells("Lake <i>Co.</i>") + cells("two", "cells") + cells("G*", "H", "I", "J") + cells("UTAH") + cells("K", "", "L")
+    pages = spark.createDataFrame([(1, html), (2, None), (3, ""), (4, "<tr><th>open")], "page int, html string")
+    got = [tuple(r) for r in records.page_rows(pages, "page", "html").orderBy("page", "row").collect()]
+    assert got == [
+        (1, 0, None, None, "A", True, "B", "C"), (1, 2, "OHIO", None, "D", True, "E", "F"),
+        (1, 5, "OHIO", "Lake Co.", "G", False, "H", "I"), (1, 7, "UTAH", None, "K", True, "", "L"),
+    ]
+
+
+def test_facts_in_full_keep_what_is_missing(spark):
+    said = '{"fields": {"a": {"value": 2.5, "unit": "km", "confidence": 0.9, "ttl_seconds": 60}, "b": {"status": "failed"}, "c": {"value": "x"}, "d": {}}}'
+    rows = spark.createDataFrame([(1, said), (2, None), (3, "no json"), (4, '{"fields": {}}')], "id int, body string")
+    got = {r["key"]: (r["value"], r["said"], r["unit"], r["ttl_seconds"], r["status"]) for r in records.facts_in_full(rows, "id", "body").collect()}
+    assert got == {"a": (2.5, None, "km", 60, "present"), "b": (None, None, None, None, "failed"), "c": (None, "x", None, None, "present"), "d": (None, None, None, None, "absent")}
