@@ -87,3 +87,27 @@ def values(rows) -> str:
         return str(x) if isinstance(x, int) else f"CAST({x!r} AS DOUBLE)"
 
     return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+#: The text of law or the kind of record that each step of a chain of reasons rests on.
+CITATIONS = {
+    "nonattainment_designation": "40 CFR 81",
+    "permit_by_rule": "state program",
+    "minor_nsr": "40 CFR 51.160",
+    "synthetic_minor": "40 CFR 52.21(b)(4)",
+    "major_psd": "40 CFR 52.21(b)(1)(i)",
+    "major_nonattainment_nsr": "CAA 173; 40 CFR 51.165(a)(1)(iv)(A)",
+    "class_i_aqrv": "40 CFR 52.21(p)",
+    "psd_increment_consumed": "40 CFR 52.21(c)",
+    "title_v": "40 CFR 70",
+    "nsps_turbine": "40 CFR 60 KKKK, KKKKa",
+    "nsps_rice": "40 CFR 60 IIII, JJJJ; 40 CFR 63 ZZZZ",
+    "state_toxics": "state program",
+    "ozone_transport_region": "CAA 184; 40 CFR 51.165",
+    "ej_denial_authority": "state program",
+    "complex_terrain": "40 CFR 51 W",
+    "county_moratorium": "county record",
+    "zoning_posture": "county record",
+    "litigation": "court docket",
+    "gas_reachability": "utility map",
+    "source_aggregation_risk": "40 CFR 52.21(b)(6)",
+}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airgate.functions.rules import (
-    CRITERIA, EJ_STATES, NA_THRESHOLDS, OFFSETS, OTR_STATES, OTR_THRESHOLD, OTR_VA, OVERLAYS, PATHWAYS, PBR_HEAT, PBR_TPY, PRECURSORS, SEVERITY,
+    CITATIONS, CRITERIA, EJ_STATES, NA_THRESHOLDS, OFFSETS, OTR_STATES, OTR_THRESHOLD, OTR_VA, OVERLAYS, PATHWAYS, PBR_HEAT, PBR_TPY, PRECURSORS, SEVERITY,
 )
 from airgate.operators.emissions import largest_criteria, significant
 
@@ -157,6 +157,33 @@ def triggers() -> Column:
     return F.array_compact(F.array(*[F.when(fires, F.struct(F.lit(name).alias("name"), months.alias("months"))) for name, fires, months in rules()]))
 
 
+def reasons() -> Column:
+    """The chain of reasons as struct(name, fired, months, citation), unfired steps too, in rule order.
+
+    The five pathway rules are one step, the pathway that was found. A rule whose input is null has not fired.
+    """
+    ways = [p[0] for p in PATHWAYS]
+    cited = F.lit(None).cast("string")
+    for way in ways:
+        cited = F.when(F.col("pathway") == way, CITATIONS[way]).otherwise(cited)
+    months = F.when(F.col("rank") == 4, 6.0).otherwise(0.0)
+    step = lambda name, fired, added, law: F.struct(name.alias("name"), fired.alias("fired"), added.alias("months"), law.alias("citation"))
+    chain = []
+    for name, fires, added in rules():
+        if name not in ways:
+            fired = F.coalesce(fires, F.lit(False))
+            chain.append(step(F.lit(name), fired, F.when(fired, added).otherwise(0.0), F.lit(CITATIONS[name])))
+        elif name == ways[0]:
+            chain.append(step(F.col("pathway"), F.col("pathway").isNotNull(), months, cited))
+    return F.array(*chain)
+
+
+def reason_rows(decided: DataFrame, *keys: str) -> DataFrame:
+    """keys, place (from 1), name, fired, months, citation: a row for each step of each decision's chain of reasons."""
+    long = decided.select(*keys, F.posexplode(reasons()).alias("pos", "r"))
+    return long.select(*keys, (F.col("pos") + 1).alias("place"), "r.*")
+
+
 def trigger_counts(decided: DataFrame) -> DataFrame:
     """name, n: how many decisions each trigger fires in, counted rule by rule in one pass; a rule that fires twice counts twice."""
     held = rules()

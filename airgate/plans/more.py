@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from airgate.functions import forms
+from airgate.functions import forms, rules
 from airgate.operators import pathway, records
 from airgate.plans import permit
 from airgate.plans.base import registered, shown
@@ -102,6 +102,26 @@ def prj18_reasoning_chain(spark, sf_dir):
     return steps.groupBy(F.col("pathway").alias("name"), (F.col("pos") + 1).alias("place")).agg(F.count("*").alias("n"))
 
 
+_STEPS = (
+    ("nonattainment_designation", "coalesce(ozone_class, pm25_class, pm10_class, co_class, so2_class, no2_class, lead_class) IS NOT NULL"),
+    ("class_i_aqrv", "class_i_km <= 300"), ("psd_increment_consumed", "increment_no2 >= 0.5"), ("psd_increment_consumed", "increment_pm25 >= 0.5"),
+    ("title_v", "largest_tpy >= 100 OR hcho_tpy >= 10"), ("nsps_turbine", "contains(prime_mover, 'turbine')"), ("nsps_rice", "contains(prime_mover, 'recip')"),
+    ("state_toxics", "state_toxics"), ("ozone_transport_region", "otr"), ("ej_denial_authority", "ej"), ("complex_terrain", "terrain_relief_m > 150"),
+    ("county_moratorium", "moratorium"), ("zoning_posture", "zoning_posture = 'hostile'"), ("litigation", "cases > 0"),
+    ("gas_reachability", "fuel = 'natural_gas' AND gas_pipeline_km > 8"), ("source_aggregation_risk", "units > 1"),
+)
+_SAID = [f"CASE WHEN {fires} THEN '+' ELSE '-' END || '{name} [{rules.CITATIONS[name]}]'" for name, fires in _STEPS]
+_LAW = " ".join(f"WHEN '{p[0]}' THEN '{rules.CITATIONS[p[0]]}'" for p in rules.PATHWAYS)
+_SAID.insert(1, f"'+' || pathway || ' [' || CASE pathway {_LAW} END || ']'")
+
+
+@registered(f"""{_OWN} SELECT plant_id, site_id, {" || '; ' || ".join(_SAID)} AS reasons FROM decided""")
+def prj18_reasons_in_order(spark, sf_dir):
+    """The whole chain of each assessment in one text: fired (+) and unfired (-) steps in order, each with its citation."""
+    said = lambda r: F.concat(F.when(r["fired"], "+").otherwise("-"), r["name"], F.lit(" ["), r["citation"], F.lit("]"))
+    return permit.own_site(spark, sf_dir).select("plant_id", "site_id", F.array_join(F.transform(pathway.reasons(), said), "; ").alias("reasons"))
+
+
 @registered(f"""{_OWN}, o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY site_id, plant_id) AS seq FROM decided), p AS (SELECT l_orderkey, rank, months_likely, n_stops, plant_id FROM o WHERE seq <= 2)
 SELECT l_orderkey AS project, (max(rank) FILTER (WHERE plant_id = lo) - max(rank) FILTER (WHERE plant_id = hi))::INT AS rank_delta FROM (SELECT *, min(plant_id) OVER (PARTITION BY l_orderkey) AS lo, max(plant_id) OVER (PARTITION BY l_orderkey) AS hi FROM p) GROUP BY 1""")
 def prj24_pathway_delta(spark, sf_dir):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from airgate.functions import geo, stats
 from airgate.operators import emissions, news, pathway, pricing, records, spatial, variants
 from airgate.operators.graph import components
-from airgate.plans import registry
+from airgate.plans import permit, registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 PLANT = "plant_id string, mw double, prime_mover string, fuel string, controls array<string>, run_hours double, enforceable boolean, heat_rate double, units int"
@@ -296,3 +296,13 @@ def test_facts_in_full_keep_what_is_missing(spark):
     rows = spark.createDataFrame([(1, said), (2, None), (3, "no json"), (4, '{"fields": {}}')], "id int, body string")
     got = {r["key"]: (r["value"], r["said"], r["unit"], r["ttl_seconds"], r["status"]) for r in records.facts_in_full(rows, "id", "body").collect()}
     assert got == {"a": (2.5, None, "km", 60, "present"), "b": (None, None, None, None, "failed"), "c": (None, "x", None, None, "present"), "d": (None, None, None, None, "absent")}
+
+
+def test_reason_rows_are_whole_chains(spark, sf):
+    decided = permit.own_site(spark, sf)
+    rows = pathway.reason_rows(decided, "plant_id", "site_id").cache()
+    assert rows.count() == 17 * decided.count() and rows.where("citation is null or fired is null").count() == 0
+    fired = decided.agg(F.sum(F.size("triggers"))).first()[0]
+    assert rows.where("fired").count() == fired
+    added = {r[0]: r[1] for r in rows.groupBy("plant_id").agg(F.sum("months")).collect()}
+    assert all(abs(added[r["plant_id"]] - r["added"]) < 1e-9 for r in decided.groupBy("plant_id").agg(F.sum("added").alias("added")).collect())
