@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airgate.llm import mixing
+from airgate.llm import centroids, mixing, periodic_runs, top_k
 from airgate.llm.common import table
 from airgate.llm.decontam import find_leaks
 from airgate.llm.fingerprints import edited_fingerprints
@@ -62,8 +62,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.nearest_of_set(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edited = periodic_runs.with_repeated_tails(table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digest(periodic_runs.periodic_runs(edited))
+
+
 #: DuckDB SQL by query.
-ORACLE: dict[str, str] = {"op10_mixing": mixing.ORACLE}
+ORACLE: dict[str, str] = {
+    "op10_mixing": mixing.ORACLE,
+    "op11_centroids": centroids.ORACLE,
+    "op12_top_k": top_k.ORACLE,
+    "op13_periodic_runs": periodic_runs.ORACLE,
+}
 
 
 def queries() -> dict[str, Query]:
