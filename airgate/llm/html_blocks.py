@@ -52,7 +52,12 @@ _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 
 
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
-    """The page's text blocks in order: the steps of its tag path, its text, and the share of the text inside links."""
+    """The page's text blocks in order: the steps of its tag path, its text, and the share of the text inside links.
+
+    A slash before `>` closes no element, as in HTML, `svg` apart; what a raw element holds is skipped up to its end tag, or to
+    the page's end without one. A tag that has an opening quote but no end ends at the next `>`, and from there on quotes hide
+    nothing, so that a page of such tags is read once.
+    """
     page = page or ""
     out: list[tuple[tuple[str, ...], str, float]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
@@ -98,7 +103,8 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
             continue
         ends, attributes = bool(m[1]), page[m.end() : stop]
         if name in RAW:
-            if not ends and not attributes.endswith("/"):
+            # The slash of `<script/>` ends nothing in HTML; only foreign content closes by it.
+            if not ends and not (name == "svg" and attributes.endswith("/")):
                 stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
                 at = stop.end() if stop else len(page)
             continue
@@ -124,11 +130,10 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
                     links -= tag == "a"
                 if stack and stack[-1][0] == "p":
                     opened[stack.pop()[0]] -= 1
-            if not attributes.endswith("/"):
-                marks = re.findall(r"[a-z0-9_-]+", " ".join(a or b or c for a, b, c in _MARK.findall(attributes)).lower())
-                stack.append((name, (name, *(f".{x}" for x in marks))))
-                opened[name] += 1
-                links += name == "a"
+            marks = re.findall(r"[a-z0-9_-]+", " ".join(a or b or c for a, b, c in _MARK.findall(attributes)).lower())
+            stack.append((name, (name, *(f".{x}" for x in marks))))
+            opened[name] += 1
+            links += name == "a"
     add(page[at:])
     close()
     return out

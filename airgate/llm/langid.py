@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airgate.llm.common import crc_mod, mix, slices
@@ -117,21 +117,20 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 def train(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Centroids:
     """Learns from rows with lang whose crc32(doc_id) mod 3 isn't 1: frequencies from all, clusters from a sample.
 
-    The sample is at most `sample` rows a language, those with the lowest hashes of doc_id.
+    The sample is at most `sample` rows a language, those with the lowest hashes of doc_id and text, so rows that share a
+    doc_id are drawn one by one; of rows equal in both one is drawn. No more than the sample reaches the driver.
     """
     learn = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.coalesce(crc_mod("doc_id", 3) != 1, F.lit(False)))
     idf = inverse_frequencies(learn)
-    sizes = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    # About twice the sample passes the hash; the driver keeps the lowest.
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 2 * sample / n))]), F.col("lang")) if sizes else F.lit(0.0)
-    held = learn.withColumn("spread", spread).where(F.col("spread") < share).select("spread", "doc_id", "text", "lang").collect()
-    chosen, taken = [], dict.fromkeys(sizes, 0)
-    for r in sorted(held, key=lambda r: (r["spread"], r["doc_id"], r["text"] or "")):
-        if taken[r["lang"]] < sample:
-            taken[r["lang"]] += 1
-            chosen.append((r["text"], r["lang"]))
-    return fit(chosen, idf, clusters)
+    drawn = learn.select("lang", "text", F.xxhash64("doc_id", "text").alias("draw"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    lowest = drawn.select("lang", "draw").distinct().withColumn("place", place).where(F.col("place") <= sample)
+    upto = {r["lang"]: r["upto"] for r in lowest.groupBy("lang").agg(F.max("draw").alias("upto")).collect()}
+    if not upto:
+        return fit([], idf, clusters)
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in upto.items() for x in pair]), F.col("lang"))
+    held = drawn.where(F.col("draw") <= limit).groupBy("lang", "draw").agg(F.min("text").alias("text")).collect()
+    return fit([(r["text"], r["lang"]) for r in sorted(held, key=lambda r: (r["lang"], r["draw"]))], idf, clusters)
 
 
 def _predict(shared):

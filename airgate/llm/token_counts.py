@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from airgate.llm.common import slices
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
-#: Largest vocabulary that is sent to the executors.
-MOST_PIECES = 1_000_000
 #: Distinct words whose counts a task remembers at most, and the longest word that it remembers.
 REMEMBERED, REMEMBERED_LENGTH = 200_000, 64
 
@@ -43,8 +41,6 @@ class LongestMatch:
     """Counts the pieces of a word; a symbol that begins no piece counts as one unknown piece."""
 
     def __init__(self, pieces: list[str]):
-        if len(pieces) > MOST_PIECES:
-            raise ValueError(f"the vocabulary has {len(pieces)} pieces; {MOST_PIECES} can be sent to the executors")
         self.next: list[dict[str, int]] = [{}]
         ends = [False]
         for piece in [*sorted({symbol for piece in pieces for symbol in piece}), *pieces]:
@@ -132,7 +128,7 @@ def token_counts(docs: DataFrame, vocabulary: str | list[str] = VOCABULARY, lowe
     """doc_id, n_words, n_tokens of every whole text: its words (by white space) cut by greedy longest match.
 
     vocabulary is a tokenizer file, read once by the driver, or a list of pieces over byte symbols in which a space ends a
-    word; one of more than MOST_PIECES is refused. Null and blank texts have no tokens; a symbol that begins no piece is one
+    word. Each Python worker holds its automaton, about 300 bytes a node, so the workers' memory bounds it. Null and blank texts have no tokens; a symbol that begins no piece is one
     token. Words of any length are read
     once. Repeated rows are counted alike; other columns are ignored. An empty table gives no rows.
     """
