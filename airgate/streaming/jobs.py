@@ -28,12 +28,14 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(rows: DataFrame, mode: str) -> DataFrame:
+def drained(rows: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
     """Runs a streaming job over all input there is and returns what it wrote.
 
-    A micro-batch writes a folder of its own, so that one that is replayed replaces what it wrote before.
+    A micro-batch writes a folder of its own, so that one that is replayed replaces what it wrote before. With the folder of
+    an earlier run the job goes on where that ended.
     """
-    spark, folder = rows.sparkSession, _folder(rows.sparkSession)
+    spark = rows.sparkSession
+    folder = folder or _folder(spark)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/{'all' if mode == 'complete' else number}")
