@@ -73,8 +73,8 @@ def test_states_lie_in_their_boxes(spark):
 
 
 def test_rings_are_drawn_by_their_middle_and_area(spark):
-    far, small = ring(9, 172.0, 52.5, 0.5), ring(9, -96.0, 38.0, 0.01)
-    data = spark.createDataFrame(rows(1, 0, far, "02") + rows(2, 0, small) + rows(3, 0, ring(9, -96.0, 38.0, 1.0)), SCHEMA)
+    far, small = ring(9, -177.0, 28.2, 0.5), ring(9, -96.0, 38.0, 0.01)
+    data = spark.createDataFrame(rows(1, 0, far, "15") + rows(2, 0, small) + rows(3, 0, ring(9, -96.0, 38.0, 1.0)), SCHEMA)
     held = shapes.rings(shapes.projected(data))
     got = {r["shape"]: r["d"] for r in held.select("shape", shapes.drawn(held, 1.0).alias("d")).collect()}
     assert got == {1: False, 2: False, 3: True}
