@@ -33,14 +33,13 @@ def factors(spark: SparkSession) -> DataFrame:
     return spark.range(1, numPartitions=1).select(F.inline(one))
 
 
-def _kept(pollutant: str) -> Column:
-    """What the control stack leaves: each control in turn, twice if listed twice, none if it doesn't bear on it."""
-    left = F.lit(1.0)
+def _kept(pollutant: str) -> str:
+    """SQL: what the control stack leaves: each control in turn, twice if listed twice, none if it doesn't bear on it."""
+    left = ["1D"]
     for control, removes in CONTROL_EFFICIENCY.items():
         if pollutant in removes:
-            listed = F.size("controls") - F.size(F.array_remove("controls", control))
-            left = left * F.pow(F.lit(1 - removes[pollutant]), listed)
-    return left
+            left.append(f"power({1 - removes[pollutant]!r}D, size(controls) - size(array_remove(controls, '{control}')))")
+    return " * ".join(left)
 
 
 def estimate(plants: DataFrame, with_rejects: bool = False) -> DataFrame:
@@ -50,29 +49,33 @@ def estimate(plants: DataFrame, with_rejects: bool = False) -> DataFrame:
     break a rule or have no emission factors carry the reason in `rejected` and no emissions; they go unless asked for.
     """
     held = plants.join(F.broadcast(factors(plants.sparkSession)), ["prime_mover", "fuel"], "left")
-    held = held.withColumn("rejected", F.coalesce(config_error(), F.when(F.col("ef_nox").isNull(), "no_factors")))
+    held = held.withColumns({
+        "rejected": F.coalesce(config_error(), F.expr("if(ef_nox is null, 'no_factors', null)")), "effective_hours": F.expr("if(enforceable, run_hours, 8760D)"),
+        "heat_input": F.expr("mw * 1000 * coalesce(nullif(heat_rate, 0D), heat_rate_default) / 1e6D"),
+    })
     if not with_rejects:
         held = held.where("rejected is null")
-    hours = F.when(F.col("enforceable"), F.col("run_hours")).otherwise(8760.0)
-    rate = F.coalesce(F.nullif(F.col("heat_rate"), F.lit(0.0)), F.col("heat_rate_default"))
-    held = held.withColumns({"effective_hours": hours, "heat_input": F.col("mw") * 1000 * rate / 1e6})
+    amounts = {}
     for p in POLLUTANTS:
-        lb_hr = F.col(f"ef_{p}") * _kept(p) * F.col("heat_input")
+        lb_hr = f"ef_{p} * ({_kept(p)}) * heat_input"
         if p in TIER4:
-            lb_hr = F.when(has("tier4_final"), F.lit(TIER4[p]) * F.col("mw") * 1000 / GRAMS_PER_LB).otherwise(lb_hr)
-        held = held.withColumn(f"{p}_tpy", F.when(F.col("rejected").isNull(), lb_hr * F.col("effective_hours") / 2000))
-    return held.drop("heat_rate_default", *(f"ef_{p}" for p in POLLUTANTS))
+            lb_hr = f"if(array_contains(controls, 'tier4_final'), {TIER4[p]!r}D * mw * 1000 / {GRAMS_PER_LB!r}D, {lb_hr})"
+        amounts[f"{p}_tpy"] = F.expr(f"if(rejected is null, {lb_hr} * effective_hours / 2000, null)")
+    return held.withColumns(amounts).drop("heat_rate_default", *(f"ef_{p}" for p in POLLUTANTS))
+
+
+#: SQL: struct(tpy, order, name) of the largest criteria pollutant, the first in order on ties.
+LARGEST_CRITERIA = f"array_max(array({', '.join(f"named_struct('tpy', {p}_tpy, 'order', {-i}, 'name', '{p}')" for i, p in enumerate(CRITERIA))}))"
+#: SQL: the pollutants at or over their significant rate, in order.
+SIGNIFICANT_ONES = f"array_compact(array({', '.join(f"if({p}_tpy >= {rate!r}D, '{p}', null)" for p, rate in SIGNIFICANT.items())}))"
 
 
 def largest_criteria() -> Column:
-    """struct(tpy, name) of the largest criteria pollutant, the first in order on ties."""
-    ranked = F.array(*[F.struct(F.col(f"{p}_tpy").alias("tpy"), F.lit(-i).alias("order"), F.lit(p).alias("name")) for i, p in enumerate(CRITERIA)])
-    return F.array_max(ranked)
+    return F.expr(LARGEST_CRITERIA)
 
 
 def significant() -> Column:
-    """The pollutants at or over their significant rate, in order."""
-    return F.array_compact(F.array(*[F.when(F.col(f"{p}_tpy") >= rate, p) for p, rate in SIGNIFICANT.items()]))
+    return F.expr(SIGNIFICANT_ONES)
 
 
 def hours_to_hold(pollutant_tpy: Column, target: float | Column, hours: Column) -> Column:
