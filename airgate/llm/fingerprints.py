@@ -11,10 +11,12 @@ and its edited text are one bag with two weights a word, so that they share the
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from airgate.llm.common import SPACE, written
+from airgate.llm.common import SPACE, shared_folder, written
 
 #: Components of a signature; a likeness of p is met with a standard error of sqrt(p * (1 - p) / SAMPLES), 0.0625 at most.
 SAMPLES = 64
@@ -90,6 +92,19 @@ def followed(ids: DataFrame, parts: int) -> DataFrame:
     return dealt.withColumn("next", F.coalesce(inside, F.element_at(beyond, F.col("_part") + 1))).drop("_part")
 
 
+def bucketed(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """df, written to the shared folder in buckets by keys and read again: joins on the keys don't deal it anew.
+
+    The table has a name in the session's catalog; its files go when the session ends.
+    """
+    spark, name = df.sparkSession, f"airgate_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/airgate/{name}"
+    df.write.bucketBy(parts, *keys).option("path", path).format("parquet").saveAsTable(name)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return spark.table(name)
+
+
 def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of every row's text and of its edited text, in which the last half comes from the next document.
 
@@ -124,11 +139,14 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     sigs = sigs.withColumnsRenamed({c: f"s_{c}" for c in [*KEY, "again"]})
     same = F.col("again").cast("int") - F.col("s_again").cast("int") == 0
     made = facts.join(sigs, [F.col(c) == F.col(f"s_{c}") for c in KEY] + [same], "left")
-    made = written(made.select(*KEY, "again", "edited_sha256", F.col("sig_text").alias("own"), F.col("sig_changed").alias("changed")))
-    nexts = made.select(F.struct(*KEY).alias("next"), F.col("own").alias("next_own"))
+    # Kept in buckets by KEY, so that signatures are dealt no more: only what the next document says travels, to the one before.
+    made = bucketed(made.select(*KEY, "again", "edited_sha256", F.col("sig_text").alias("own"), F.col("sig_changed").alias("changed")), KEY, parts)
+    owns = made.select(*KEY, F.col("own").alias("next_own"))
     if repeated:
-        nexts = nexts.groupBy("next").agg(F.first("next_own").alias("next_own"))
-    out = made.join(order, [*KEY, "again"]).join(nexts, "next")
+        owns = owns.groupBy(*KEY).agg(F.first("next_own").alias("next_own"))
+    asks = order.select(*[F.col(c).alias(f"to_{c}") for c in KEY], F.col("again").alias("to_again"), "n", "times", *[F.col(f"next.{c}").alias(c) for c in KEY])
+    told = owns.hint("merge").join(asks, KEY).drop(*KEY)
+    out = made.hint("merge").join(told, [F.col(c) == F.col(f"to_{c}") for c in KEY] + [F.col("again").cast("int") - F.col("to_again").cast("int") == 0])
     out = out.select(
         F.when(F.col("nil") == 0, F.bitwise_not("down")).alias("doc_id"),
         F.col("n").alias("n_chars"),
