@@ -54,16 +54,12 @@ def tokens(headline: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: F.length(w) > 2))
 
 
-def similar(items: DataFrame, undated: bool = False) -> DataFrame:
-    """Pairs (a, b) of items in one county with headlines alike by TENTHS and dates at most DAYS apart: a prefix filter.
-
-    With `undated`, a pair of which an item has no date passes too.
+def alike(sets: DataFrame) -> DataFrame:
+    """(county, wa, wb) of all ordered pairs of word sets (county, words) whose Jaccard similarity is TENTHS or more.
 
-    Ordered from the rarest word on, alike headlines share one of their first n - ceil(0.6 n) + 1 words, so those words
-    are the join's keys; what meets there is then compared whole. Headlines with equal words are one set for the filter.
+    Ordered from the rarest word on, alike sets share one of their first n - ceil(0.6 n) + 1 words, so those words are the
+    join's keys; what meets there is then compared whole. A set meets itself too.
     """
-    held = items.select("item_id", "county", "published", F.array_sort(tokens(F.col("headline"))).alias("words")).where("size(words) > 0")
-    sets = held.groupBy("county", "words").agg(F.count("*").alias("copies"))
     words = sets.select("county", "words", F.explode("words").alias("word"))
     often = words.groupBy("county", "word").agg(F.count("*").alias("often"))
     place = F.row_number().over(Window.partitionBy("county", "words").orderBy("often", "word"))
@@ -74,10 +70,19 @@ def similar(items: DataFrame, undated: bool = False) -> DataFrame:
     near = (F.size("wa") * TENTHS <= F.size("wb") * 10) & (F.size("wb") * TENTHS <= F.size("wa") * 10)
     met = a.join(b, ["county", "word"]).where(near).select("county", "wa", "wb").distinct()
     both = F.size(F.array_intersect("wa", "wb"))
-    alike = met.where(10 * both >= TENTHS * (F.size("wa") + F.size("wb") - both))
+    return met.where(10 * both >= TENTHS * (F.size("wa") + F.size("wb") - both))
+
+
+def similar(items: DataFrame, undated: bool = False) -> DataFrame:
+    """Pairs (a, b) of items in one county with headlines alike by TENTHS and dates at most DAYS apart.
+
+    With `undated`, a pair of which an item has no date passes too. Headlines with equal words are one set for the filter.
+    """
+    held = items.select("item_id", "county", "published", F.array_sort(tokens(F.col("headline"))).alias("words")).where("size(words) > 0")
+    pairs = alike(held.select("county", "words").distinct())
     left = held.select("county", F.col("words").alias("wa"), F.col("item_id").alias("a"), F.col("published").alias("pa"))
     right = held.select("county", F.col("words").alias("wb"), F.col("item_id").alias("b"), F.col("published").alias("pb"))
-    joined = left.join(alike, ["county", "wa"]).join(right, ["county", "wb"])
+    joined = left.join(pairs, ["county", "wa"]).join(right, ["county", "wb"])
     close = F.coalesce(F.abs(F.datediff("pa", "pb")) <= DAYS, F.lit(undated))
     return joined.where((F.col("a") < F.col("b")) & close).select("a", "b")
 

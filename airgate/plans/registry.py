@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from airgate.plans import bodies, details, extra, markets, more, permit, screening, shapes, signals, siting, streams  # noqa: F401  each registers its jobs
+from airgate.plans import bodies, details, extra, markets, more, newsroom, permit, screening, shapes, signals, siting, streams  # noqa: F401  each registers its jobs
 from airgate.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -54,7 +54,7 @@ def rate_rows(rows: DataFrame) -> DataFrame:
     """page, label, low, high of each row of a price table: the first cell is the label, the others are prices."""
     lines = rows.select("page", F.explode(F.regexp_extract_all("body", F.lit("<tr>(.*?)</tr>"), 1)).alias("row"))
     cells = lines.select("page", F.transform(F.regexp_extract_all("row", F.lit("<td>(.*?)</td>"), 1), lambda c: F.regexp_replace(c, "<[^>]+>", "")).alias("c"))
-    prices = F.transform(F.slice("c", 2, 10), lambda c: F.regexp_extract(c, r"\$([0-9.]+)", 1).try_cast("double"))
+    prices = F.transform(F.slice("c", F.lit(2), F.greatest(F.size("c") - 1, F.lit(0))), lambda c: F.regexp_extract(c, r"\$([0-9.]+)", 1).try_cast("double"))
     return cells.select("page", F.col("c")[0].alias("label"), F.array_min(prices).alias("low"), F.array_max(prices).alias("high"))
 
 
