@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from airgate.plans.base import registered
 from airgate.sources.derived import read
-from airgate.streaming import jobs, marks
+from airgate.streaming import jobs, marks, upserts
 
 
 @registered("""SELECT ts::DATE::VARCHAR AS day, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2""")
@@ -64,3 +64,9 @@ def str3_latest_marks(spark, sf_dir):
     with marks.keyed_state(spark):
         told = jobs.drained(marks.latest_marks(rows), "update")
     return marks.last_told(told).select("gpu_class", "kind", "source", "n", "low", "high", "usd", F.col("marked").cast("string").alias("marked"), "stale")
+
+
+@registered("""SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1""")
+def str5_touched_parts(spark, sf_dir):
+    rows = jobs.stream(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    return upserts.kept_up(rows, "user_id", "event_id").read()

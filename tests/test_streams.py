@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from airgate.streaming import jobs, marks
+from airgate.streaming import jobs, marks, upserts
 
 DAY = dt.timedelta(days=1)
 START = dt.datetime(2024, 1, 1)
@@ -140,3 +140,47 @@ def test_first_sight_drops_copies_of_later_batches(spark, tmp_path):
     found = jobs.drained(jobs.first_sight(streamed(spark, tmp_path, schema), ["url"], "14 days"), "append", f"{tmp_path}/job")
     # A copy within 14 days is dropped; one that comes after its key was let go, at the end of a batch, is a first sight again.
     assert sorted(r["event_id"] for r in found.select(F.col("event_id")).collect()) == [1, 2, 4, 5, 7]
+
+
+def files(folder):
+    return {f"{d}/{f}": os.path.getmtime(f"{d}/{f}") for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet")}
+
+
+def test_a_batch_rewrites_only_the_parts_it_touches(spark, tmp_path):
+    schema = spark.createDataFrame([], "k long, at long, v string").schema
+    table = upserts.PartedTable(spark, str(tmp_path), schema, "k", "at", parts=8)
+    batch = lambda rows: spark.createDataFrame(rows, schema)
+    assert table.read().count() == 0 and table.merge(batch([]), 0) == []
+    assert len(table.merge(batch([(k, 1, "a") for k in range(50)] + [(None, 1, "x")]), 1)) == 8
+    before = files(tmp_path / "data")
+    assert len(table.merge(batch([(7, 2, "b")]), 2)) == 1
+    new = set(files(tmp_path / "data")) - set(before)
+    assert len({os.path.dirname(f) for f in new}) == 1 and all("number=2" in f for f in new) and before.items() <= files(tmp_path / "data").items()
+    want = {k: "b" if k == 7 else "a" for k in range(50)}
+    now = lambda: {r["k"]: r["v"] for r in table.read().collect()}
+    assert now() == want
+    # Run again, a batch changes nothing; an older row doesn't win over a newer one, a row of the same age does.
+    table.merge(batch([(7, 2, "b")]), 2)
+    assert now() == want and table.read().count() == 50
+    table.merge(batch([(7, 1, "old"), (8, 1, "same"), (99, 5, "new")]), 3)
+    want |= {8: "same", 99: "new"}
+    assert now() == want
+    # What was written without a mark doesn't count.
+    import shutil
+
+    shutil.rmtree(tmp_path / "marks" / "3")
+    assert now() == {k: "b" if k == 7 else "a" for k in range(50)}
+    table.merge(batch([(7, 1, "old"), (8, 1, "same"), (99, 5, "new")]), 3)
+    assert now() == want
+
+
+def test_a_stream_keeps_its_table_up_over_restarts(spark, tmp_path):
+    schema, want = "k long, at long, v double", {}
+    rng = np.random.default_rng(4)
+    for b in range(3):
+        rows = [(int(rng.integers(0, 30)), 100 * b + i, float(i)) for i in range(40)]
+        want |= {k: v for k, _, v in rows}
+        write(spark, tmp_path, f"f{b}", rows, schema)
+        table = upserts.kept_up(streamed(spark, tmp_path, schema), "k", "at", 8, f"{tmp_path}/job")
+        assert {r["k"]: r["v"] for r in table.read().collect()} == want
+    assert max(table.versions().values()) == 2
