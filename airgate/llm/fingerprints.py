@@ -31,8 +31,13 @@ def _uniform(bits: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(0x1FFFFF)).cast("double") + 0.5) * F.lit(1.0 / 0x200000)
 
 
-def _place(word: Column, log_weight: Column, sample: int, group: Column) -> Column:
-    one, two = F.xxhash64(word, group, F.lit(2 * sample)), F.xxhash64(word, group, F.lit(2 * sample + 1))
+def _draw(base: Column, k: int) -> Column:
+    """64 bits for the k-th draw of a word and group, whose hash is `base`: one hash of one number."""
+    return F.xxhash64(base.bitwiseXOR(F.lit((k + 1) * 0x9E3779B97F4A7C15 % (1 << 63))))
+
+
+def _place(base: Column, log_weight: Column, sample: int) -> Column:
+    one, two = _draw(base, 2 * sample), _draw(base, 2 * sample + 1)
     r = -F.log(_uniform(one, 0) * _uniform(one, 21))
     c = -F.log(_uniform(two, 0) * _uniform(two, 21))
     b = _uniform(one, 42)
@@ -53,8 +58,8 @@ def signatures(texts: DataFrame, keys: list[str], sides: tuple[str, ...] = ("tex
     weights = [F.log(F.count(F.when(F.col("side") == k, 1)).cast("double")).alias(f"w{k}") for k in range(len(sides))]
     bags = words.where("word <> ''").groupBy(*keys, F.xxhash64("word").alias("word")).agg(*weights)
     groups, size = -(-samples // GROUP), min(GROUP, samples)
-    bags = bags.withColumn("group", F.explode(F.array(*[F.lit(g) for g in range(groups)])))
-    least = [F.min(_place(F.col("word"), F.col(f"w{k}"), s, F.col("group"))).alias(f"m{s}_{k}") for s in range(size) for k in range(len(sides))]
+    bags = bags.withColumn("group", F.explode(F.array(*[F.lit(g) for g in range(groups)]))).withColumn("base", F.xxhash64("word", "group"))
+    least = [F.min(_place(F.col("base"), F.col(f"w{k}"), s)).alias(f"m{s}_{k}") for s in range(size) for k in range(len(sides))]
     made = bags.groupBy(*keys, "group").agg(*least)
     part = lambda k: F.when(F.col(f"m0_{k}").isNotNull(), F.array(*[F.hash(f"m{s}_{k}") for s in range(size)])).alias(f"s{k}")
     whole = F.struct(*[part(k) for k in range(len(sides))])
