@@ -42,6 +42,22 @@ def options(plants: DataFrame) -> DataFrame:
     return held.withColumns({c: F.col(f"o.{c}") for c in ("label", "ord", "prime_mover", "fuel", "controls", "units")} | {"heat_rate": rate}).drop("o")
 
 
+#: The labels of `options` by ord, from 1.
+LABELS = ("add_scr", "add_catalyst", "tier4", "combined_cycle", "fuel_cell", "split")
+
+
+def first_option(decided: DataFrame, *plant: str) -> DataFrame:
+    """plant and label of each plant's first decided option: no hard stop first, then rank, months and ord.
+
+    The order is one whole number (months in millionths, then three bits each for rank and ord), so that a plant's options
+    are aggregated by hash where they are made, and one row a plant travels.
+    """
+    micro = F.round(F.round("months_likely", 6) * 1e6).cast("long")
+    order = (((F.when(F.col("n_stops") > 0, 8).otherwise(0) + F.col("rank")).cast("long") * (1 << 50) + micro * 8) + F.col("ord")).cast("long")
+    best = decided.groupBy(*plant).agg(F.min(order).alias("o"))
+    return best.select(*plant, F.element_at(F.array(*[F.lit(x) for x in LABELS]), (F.col("o") % 8).cast("int")).alias("label"))
+
+
 #: The options of `weighed` in the order that breaks ties.
 OPTIONS = (
     "add_scr", "add_catalyst", "add_both", "dry_low_nox", "combined_cycle", "combined_cycle_both", "tier4", "fuel_cell", "hour_cap", "hour_cap_both", "split",

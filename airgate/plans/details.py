@@ -30,9 +30,8 @@ plants AS (SELECT plant_id, l_suppkey, mw, v.prime_mover, v.fuel, v.controls, ru
 
 
 def _variants(spark, sf_dir) -> DataFrame:
-    located = pathway.with_overlay(derived.sites(spark, sf_dir)).join(permit._worst(spark, sf_dir), "fips", "left")
-    options = emissions.estimate(variants.options(derived.plants(spark, sf_dir)))
-    return pathway.decide(options.join(located, options.l_suppkey == located.site_id)).withColumn("n_stops", F.size("stops"))
+    options = emissions.estimate(variants.options(permit.at_own_site(spark, sf_dir)))
+    return pathway.decide(options).withColumn("n_stops", F.size("stops"))
 
 
 @registered(f"{_VARIANTS} SELECT label, count(*)::BIGINT AS n, count(*) FILTER (WHERE rank <= 2)::BIGINT AS minor, round(avg(months_likely) + 1e-7::DOUBLE, 4) AS months FROM decided GROUP BY 1")
@@ -42,8 +41,8 @@ def prj25_config_variants(spark, sf_dir):
 
 @registered(f"{_VARIANTS} SELECT plant_id, label, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY plant_id, l_suppkey ORDER BY (n_stops > 0)::INT, rank, round(months_likely, 6), ord, mw, controls) AS place FROM decided) WHERE place = 1")
 def win2_best_option(spark, sf_dir):
-    order = Window.partitionBy("plant_id", "l_suppkey").orderBy((F.col("n_stops") > 0).cast("int"), "rank", F.round("months_likely", 6), "ord", "mw", "controls")
-    return _variants(spark, sf_dir).withColumn("place", F.row_number().over(order)).where("place = 1").select("plant_id", "label", "place")
+    best = variants.first_option(_variants(spark, sf_dir), "plant_id", "l_suppkey")
+    return best.select("plant_id", "label", F.lit(1).alias("place"))
 
 
 _DESIGN = "plant_id, l_suppkey, mw, prime_mover, fuel, controls, run_hours, enforceable, heat_rate, units"

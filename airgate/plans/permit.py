@@ -26,11 +26,16 @@ def _worst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pathway.worst_designations(derived.designations(spark, sf_dir))
 
 
+def at_own_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each plant with the facts of the site that it is planned for, joined while a plant is still a narrow row."""
+    located = pathway.with_overlay(derived.sites(spark, sf_dir)).join(_worst(spark, sf_dir), "fips", "left")
+    li = derived.read(spark, sf_dir, "lineitem")
+    return derived.designed(li.join(located, li.l_suppkey == located.site_id), *located.columns)
+
+
 def own_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each plant decided at the site that it is planned for."""
-    located = pathway.with_overlay(derived.sites(spark, sf_dir)).join(_worst(spark, sf_dir), "fips", "left")
-    pte = _pte(spark, sf_dir)
-    return pathway.decide(pte.join(located, pte.l_suppkey == located.site_id))
+    return pathway.decide(emissions.estimate(at_own_site(spark, sf_dir)))
 
 
 def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:

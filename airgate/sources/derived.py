@@ -22,7 +22,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def plants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """plant_id, mw, prime_mover, fuel, controls, run_hours, enforceable, heat_rate, units; one row a lineitem."""
-    li = read(spark, sf_dir, "lineitem")
+    return designed(read(spark, sf_dir, "lineitem"))
+
+
+def designed(li: DataFrame, *more: str) -> DataFrame:
+    """The plants of lineitem rows, with what `more` columns the rows bring.
+
+    Designs are wider than the rows that they are made of, so rows are joined first and designed afterwards.
+    """
     kind = F.col("l_partkey") % 6
     turbine, bit = kind < 2, lambda n: F.col("l_linenumber").bitwiseAND(n) > 0
     controls = F.array_compact(
@@ -45,6 +52,7 @@ def plants(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_linestatus") == "F").alias("enforceable"),
         F.when(F.col("l_quantity") % 7 == 0, 9000.0).when(F.col("l_quantity") % 10 == 0, 0.0).alias("heat_rate"),
         F.when(F.col("l_linenumber") == 7, 2).otherwise(1).alias("units"),
+        *more,
     )
 
 
