@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,6 +215,77 @@ def synthetic_cap(least_hours: float = 1000.0, margin: float = 0.9) -> dict[str,
     return {"cap_threshold": target, "cap_hours": hours, "cap_feasible": hours >= least_hours}
 
 
+# ---- decisions in brief: rank, months and the number of stops, for searches and sweeps that decide a plant at many sites
+
+
+#: The emitted pollutants that a designation can be hit by.
+_EMITTED = tuple(dict.fromkeys(p for held in PRECURSORS.values() for p in held))
+#: Classes with an offset ratio that stops a plant.
+_STRICT = ", ".join(f"'{name}'" for name, ratio in OFFSETS.items() if ratio >= 1.3)
+#: What the site's part of a decision can depend on: rank, whether the fuel is gas, whether there is more than one unit.
+_KINDS = tuple((rank, gas, units) for rank in range(len(PATHWAYS)) for gas in (0, 1) for units in (1, 2))
+
+
+def _said(sql: str, rank: int, gas: int, units: int) -> str:
+    """SQL of the rules with a plant's part put in; emissions and movers are left at nothing, as no months hang on them."""
+    held = {"rank": str(rank), "major": str(rank >= 3).lower(), "fuel": "'natural_gas'" if gas else "'none'", "units": str(units), "prime_mover": "''", "offset_ratio": "cast(null as double)"}
+    held |= {f"{p}_tpy": "0D" for p in (*CRITERIA, "hcho")}
+    return re.sub(rf"\b({'|'.join(held)})\b", lambda m: held[m[0]], sql)
+
+
+def in_brief(located: DataFrame, *keys: str) -> DataFrame:
+    """keys and `site`: what `brief` needs of each site with its overlay and designations, by the rules of `decide`.
+
+    For each pollutant the least threshold that it can hit here, with its place among the hits and whether its offsets stop
+    a plant; months and stops for each of the few kinds of plant that a site tells apart.
+    """
+    slots = [(f"{d}_class is not null", na_threshold(d), p, f"coalesce({d}_class in ({_STRICT}), false)") for d, emitted in PRECURSORS.items() for p in emitted]
+    slots += [("otr and ozone_class is null", f"{OTR_THRESHOLD!r}D", p, "false") for p in ("nox", "voc")]
+    d = located.withColumns({f"_limit{k}": F.expr(f"if({on}, {limit}, null)") for k, (on, limit, _, _) in enumerate(slots)})
+    fields, strict = [], []
+    for p in _EMITTED:
+        mine = [(k, hard) for k, (_, _, of, hard) in enumerate(slots) if of == p]
+        least = f"least({', '.join(f'_limit{k}' for k, _ in mine)}, double('infinity'))"
+        code = f"case {' '.join(f'when _limit{k} = {least} then {2 * k} + if({hard}, 0, 1)' for k, hard in mine)} end"
+        fields += [f"{least} as {p}_at", f"{code} as {p}_code"]
+        strict += [f"(_limit{k} is not null and {hard})" for k, hard in mine]
+    by_rank = [f"{p[3]!r}D * multiplier" for p in PATHWAYS]
+    months = ", ".join(f"{by_rank[kind[0]]} + ({' + '.join(_said(f'if({fires}, {more}, 0D)', *kind) for _, fires, more in RULES)})" for kind in _KINDS)
+    stops = ", ".join(f"size({_said(hard_stops(), 0, gas, 1)})" for gas in (0, 1))
+    fields += ["coalesce(permit_by_rule, false) as by_rule", f"({' or '.join(strict)}) as strict", f"array({months}) as months", f"array({stops}) as stops"]
+    parts = [f.rsplit(" as ", 1) for f in fields]
+    return d.select(*keys, F.struct(*[F.expr(sql).alias(name) for sql, name in parts]).alias("site"))
+
+
+def design_in_brief(pte: DataFrame) -> DataFrame:
+    """pte with what `brief` needs of a plant: rank_plain and rank_by_rule (its rank without a hit, without and with a permit by rule) and kind."""
+    d = pte.withColumn("_most", F.expr(f"{LARGEST_CRITERIA}.tpy"))
+    plain = f"case when _most >= {SOURCE_THRESHOLD} then 3 when enforceable and run_hours < 8760 then 2"
+    d = d.withColumns({
+        "rank_plain": F.expr(f"{plain} else 1 end"), "rank_by_rule": F.expr(f"{plain} when _most < {PBR_TPY!r}D and heat_input <= {PBR_HEAT!r}D then 0 else 1 end"),
+        "kind": F.expr("if(fuel = 'natural_gas', 2, 0) + if(units > 1, 1, 0)"),
+    })
+    return d.drop("_most")
+
+
+def brief(site: str = "site", best: str = "best") -> dict[str, str]:
+    """SQL of a decision by a plant of `design_in_brief` and a `site` of `in_brief`, in the order in which it is worked out.
+
+    best is the greatest ratio of an emission to a threshold, asked for only where offsets can stop a plant; tough whether they
+    do (the first hit of that ratio has strict offsets). rank, months and n_stops need `best`, `rank` and `tough` before them.
+    """
+    ratio, hit = lambda p: f"{p}_tpy / {site}.{p}_at", lambda p: f"{p}_tpy >= {site}.{p}_at"
+    most = f"greatest({', '.join(f'if({hit(p)}, {ratio(p)}, null)' for p in _EMITTED)})"
+    first = f"least({', '.join(f'if({ratio(p)} = {best}, {site}.{p}_code, null)' for p in _EMITTED)})"
+    return {
+        "best": f"if({site}.strict, {most}, null)",
+        "tough": f"if({best} is null, 0, if({first} % 2 = 0, 1, 0))",
+        "rank": f"if({' or '.join(hit(p) for p in _EMITTED)}, 4, if({site}.by_rule, rank_by_rule, rank_plain))",
+        "months": f"{site}.months[rank * 4 + kind]",
+        "n_stops": f"{site}.stops[kind div 2] + tough",
+    }
+
+
 def pairs(pte: DataFrame, sites: DataFrame, worst: DataFrame) -> DataFrame:
     """Every plant at every site; designations join the sites first, and the smaller side is what a cross join repeats.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from airgate.functions.rules import CRITERIA, MONTH_DAYS, POLLUTANTS, SEVERITY, SIGNIFICANT
+from airgate.functions.rules import CRITERIA, MONTH_DAYS, PATHWAYS, POLLUTANTS, SEVERITY, SIGNIFICANT
 from airgate.operators import emissions, pathway
 from airgate.plans.base import ORACLES, QUERIES, registered, shown
 from airgate.sources import derived
@@ -46,6 +46,27 @@ def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pathway.decide(pathway.pairs(emissions.estimate(designs), derived.sites(spark, sf_dir), _worst(spark, sf_dir)))
 
 
+def portfolio_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rank, n_stops, months of the portfolio's decisions, with how many there are (n_pairs) and how often they are planned (n_plants).
+
+    A design's rank at a site hangs on the thresholds of the site's county and state only, of which there are as many as
+    there are counties, however many sites. So designs are decided once for each set of thresholds and counted by rank and
+    kind; sites with one set of thresholds, months and stops are counted too; and the counts are multiplied.
+    """
+    design = ["mw", "prime_mover", "fuel", "controls", "heat_rate", "units"]
+    designs = derived.plants(spark, sf_dir).groupBy(*design).agg(F.count("*").alias("n_plants"))
+    designs = pathway.design_in_brief(emissions.estimate(designs.withColumns({"run_hours": F.lit(8760.0), "enforceable": F.lit(False)})))
+    located = pathway.with_overlay(derived.sites(spark, sf_dir)).join(_worst(spark, sf_dir), "fips", "left")
+    held = pathway.in_brief(located).groupBy("site").agg(F.count("*").alias("n_sites")).withColumn("at", F.col("site").dropFields("months", "stops"))
+    told, places = pathway.brief(), F.broadcast(held.select("at").distinct())
+    ruled = designs.crossJoin(places.withColumnRenamed("at", "site"))
+    for name in ("best", "tough", "rank"):
+        ruled = ruled.withColumn(name, F.expr(told[name]))
+    ruled = ruled.groupBy(F.col("site").alias("at"), "rank", "kind", "tough").agg(F.count("*").alias("n"), F.sum("n_plants").alias("n_plants"))
+    met = held.join(ruled, "at").withColumns({name: F.expr(told[name]) for name in ("months", "n_stops")})
+    return met.select("rank", "n_stops", F.col("months"), (F.col("n") * F.col("n_sites")).alias("n_pairs"), (F.col("n_plants") * F.col("n_sites")).alias("n_plants"))
+
+
 def reference_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference plant at every site."""
     one = spark.range(1, numPartitions=1).select(
@@ -161,8 +182,10 @@ def prj12_pathway_at_own_site(spark, sf_dir):
 
 @registered(f"{_DESIGNS} SELECT pathway, count(*)::BIGINT AS n_decisions, sum(n_plants)::BIGINT AS n_plants, count(*) FILTER (WHERE n_stops > 0)::BIGINT AS n_stopped, round(avg(months_likely) + 1e-7::DOUBLE, 4) AS months FROM decided GROUP BY 1 ORDER BY 2 DESC")
 def sweep_pathway_counts(spark, sf_dir):
-    d = portfolio(spark, sf_dir)
-    got = d.groupBy("pathway").agg(F.count("*").alias("n_decisions"), F.sum("n_plants").alias("n_plants"), F.count_if(F.size("stops") > 0).alias("n_stopped"), shown(F.avg("months_likely")).alias("months"))
+    n, months = F.sum("n_pairs"), F.sum(F.col("months") * F.col("n_pairs"))
+    stopped = F.coalesce(F.sum(F.when(F.col("n_stops") > 0, F.col("n_pairs"))), F.lit(0))
+    way = F.element_at(F.array(*[F.lit(p[0]) for p in PATHWAYS]), F.col("rank") + 1)
+    got = portfolio_counts(spark, sf_dir).groupBy(way.alias("pathway")).agg(n.alias("n_decisions"), F.sum("n_plants").alias("n_plants"), stopped.alias("n_stopped"), shown(months / n).alias("months"))
     return got.orderBy(F.desc("n_decisions"))
 
 

@@ -36,3 +36,33 @@ def test_the_first_option_is_the_first_by_every_key(spark):
     for plant, stops, rank, months, place in rows:
         want.setdefault(plant, []).append((stops > 0, rank, round(months, 6), place))
     assert {r["plant_id"]: r["label"] for r in got.collect()} == {p: variants.LABELS[min(held)[3] - 1] for p, held in want.items()}
+
+
+def test_decisions_in_brief_are_those_in_full(spark, sf):
+    from airgate.functions.rules import NA_THRESHOLDS
+    from airgate.operators import emissions, pathway
+    from airgate.sources import derived
+
+    pte = pathway.design_in_brief(emissions.estimate(derived.plants(spark, sf))).where("pmod(xxhash64(plant_id), 9) = 0")
+    grades = [*NA_THRESHOLDS["ozone"], "of no rule"]
+    located = pathway.with_overlay(derived.sites(spark, sf).crossJoin(spark.range(8).select(F.col("id").alias("copy"))).withColumn("site_id", F.col("site_id") * 8 + F.col("copy")))
+    located = located.withColumns({f"{p}_class": F.try_element_at(F.array(*[F.lit(g) for g in grades]), (F.pmod(F.xxhash64("site_id", F.lit(p)), F.lit(24)) + 1).cast("int")) for p in pathway.DESIGNATED})
+    pairs = pte.crossJoin(pathway.in_brief(located, "site_id").join(located, "site_id"))
+    d = pathway.decide(pairs.withColumnsRenamed({"kind": "kind_"})).withColumnsRenamed({"kind_": "kind", "rank": "rank_full"})
+    for name, sql in pathway.brief().items():
+        d = d.withColumn(name, F.expr(sql))
+    got = d.agg(
+        F.count("*").alias("n"), F.count_if(~F.col("rank").eqNullSafe(F.col("rank_full"))).alias("rank"), F.count_if(~F.col("months").eqNullSafe(F.col("months_likely"))).alias("months"),
+        F.count_if(F.col("n_stops") != F.size("stops")).alias("stops"), F.count_if(F.col("tough") == 1).alias("tough"), F.countDistinct("rank").alias("ranks"),
+    ).first()
+    assert got["n"] > 10_000 and got["tough"] > 100 and got["ranks"] >= 4 and (got["rank"], got["months"], got["stops"]) == (0, 0, 0)
+
+
+def test_the_sweep_decides_designs_once_for_each_set_of_thresholds(spark, sf):
+    from airgate.plans import permit
+
+    full = permit.portfolio(spark, sf).groupBy("rank", F.size("stops").alias("n_stops"), F.col("months_likely").alias("months")).agg(F.count("*").alias("n_pairs"), F.sum("n_plants").alias("n_plants"))
+    folded = permit.portfolio_counts(spark, sf).groupBy("rank", "n_stops", "months").agg(F.sum("n_pairs").alias("n_pairs"), F.sum("n_plants").alias("n_plants"))
+    assert sorted(map(tuple, folded.collect())) == sorted(map(tuple, full.collect()))
+    sides = [(a, b) for on, a, b in joins(permit.portfolio_counts(spark, sf)) if "None" in on]
+    assert all("site_id" not in a + b for a, b in sides)
