@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from airgate.functions.geo import EARTH_KM, haversine_sql
 from airgate.operators import emissions, pathway, sitesearch
 from airgate.plans.base import registered, shown
-from airgate.plans.permit import _pte, _worst
+from airgate.plans.permit import _worst
 from airgate.sources import derived
 from airgate.sources.derived import SQL
 
@@ -38,9 +38,12 @@ def _candidates(spark, sf_dir):
     return sitesearch.candidate_parcels(sites, sites, _RADIUS, _N)
 
 
-def _searched(spark, sf_dir):
-    located = pathway.with_overlay(derived.sites(spark, sf_dir)).join(_worst(spark, sf_dir), "fips", "left").drop("lat", "lon")
-    return sitesearch.searched(_pte(spark, sf_dir), _candidates(spark, sf_dir), located, _PLANT)
+def _tried(spark, sf_dir):
+    """Every plant with the candidates around it; plants are designed once they have met them, as narrow rows."""
+    located = pathway.with_overlay(derived.sites(spark, sf_dir)).join(_worst(spark, sf_dir), "fips", "left")
+    li, places = derived.read(spark, sf_dir, "lineitem"), sitesearch.around(_candidates(spark, sf_dir), located)
+    plants = emissions.estimate(derived.designed(li.join(places, li.l_suppkey == places.origin), "places"))
+    return sitesearch.tried(pathway.design_in_brief(plants), *_PLANT)
 
 
 @registered(f"""WITH {SQL['sites']}, {_POINTS} SELECT origin, seq, ring_km, bearing, round(plat + 1e-7::DOUBLE, 4) AS lat, round(plon + 1e-7::DOUBLE, 4) AS lon FROM points""")
@@ -57,7 +60,7 @@ def join7_candidate_parcels(spark, sf_dir):
 @registered(f"""{_SEARCH} SELECT plant_id, place::INT AS place, seq, parcel, round(km + 1e-7::DOUBLE, 4) AS km, rank, round(months_likely + 1e-7::DOUBLE, 4) AS months_likely, n_stops,
   rank_delta, round(months_saved + 1e-7::DOUBLE, 4) AS months_saved FROM ranked WHERE place <= 8""")
 def win1_candidate_sites(spark, sf_dir):
-    found = _searched(spark, sf_dir).where("kept and place <= 8")
+    found = sitesearch.read_rows(_tried(spark, sf_dir), _PLANT, first=8)
     return found.select("plant_id", "place", "seq", "parcel", shown("km").alias("km"), "rank", shown("months_likely").alias("months_likely"), "n_stops", "rank_delta", shown("months_saved").alias("months_saved"))
 
 
@@ -66,4 +69,4 @@ def win1_candidate_sites(spark, sf_dir):
   arg_min({{'parcel': parcel, 'rank_delta': rank_delta, 'months_saved': months_saved}}, place) FILTER (WHERE n_stops = 0 AND (rank_delta > 0 OR months_saved > 1)) AS b FROM ranked GROUP BY {_KEY})
 SELECT plant_id, read, improving, blocked, stopped_early, b.parcel AS best, b.rank_delta AS rank_delta, round(b.months_saved + 1e-7::DOUBLE, 4) AS months_saved FROM told""")
 def flt6_site_outcomes(spark, sf_dir):
-    return sitesearch.outcome(_searched(spark, sf_dir), _PLANT).drop(*_PLANT[1:]).withColumn("months_saved", shown("months_saved"))
+    return sitesearch.outcomes(_tried(spark, sf_dir), _PLANT).drop(*_PLANT[1:]).withColumn("months_saved", shown("months_saved"))

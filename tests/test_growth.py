@@ -66,3 +66,13 @@ def test_the_sweep_decides_designs_once_for_each_set_of_thresholds(spark, sf):
     assert sorted(map(tuple, folded.collect())) == sorted(map(tuple, full.collect()))
     sides = [(a, b) for on, a, b in joins(permit.portfolio_counts(spark, sf)) if "None" in on]
     assert all("site_id" not in a + b for a, b in sides)
+
+
+def test_candidates_of_a_plant_never_travel_as_rows(spark, sf):
+    from airgate.plans import siting
+
+    for job in (siting.flt6_site_outcomes, siting.win1_candidate_sites):
+        frame = job(spark, sf)
+        sides = [left for on, left, _ in joins(frame) if "l_suppkey" in on]
+        assert sides and all(c.startswith("l_") for c in sides[0])
+        assert "Window" not in frame._jdf.queryExecution().optimizedPlan().toString()
