@@ -279,7 +279,7 @@ def snk2_append_progress(spark, sf_dir):
 def snk3_assessment_json(spark, sf_dir):
     """Assessments as nested JSON lines, written and read back."""
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
-    permit.own_site(spark, sf_dir).select(F.to_json(F.struct("plant_id", "site_id", "pathway", "added", "triggers", "stops")).alias("value")).write.text(path)
+    permit.own_site(spark, sf_dir).select(F.to_json(F.struct("plant_id", "site_id", "pathway", "added", "triggers", "stops")).alias("value")).write.option("compression", "gzip").text(path)
     held = spark.read.text(path).select(F.from_json("value", "plant_id string, site_id long, pathway string, added double").alias("r"))
     return held.select("r.*")
 
