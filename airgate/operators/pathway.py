@@ -385,8 +385,9 @@ def deltas(decided: DataFrame, project: str) -> DataFrame:
     held = decided.select(project, "site_id", "plant_id", "pathway", "rank", "months_likely", F.transform("triggers", lambda t: t["name"]).alias("triggers"), "stops")
     place = F.struct("site_id", "plant_id")
     facts = F.struct(place.alias("place"), "pathway", "rank", "months_likely", "triggers", "stops")
-    first = held.groupBy(project).agg(F.min_by(facts, place).alias("base"))
-    d = held.join(first, project).where(place != F.col("base.place"))
+    # The first is read off beside the others: plants are decided, and travel, once.
+    inside = Window.partitionBy(project).orderBy("site_id", "plant_id")
+    d = held.where(F.col(project).isNotNull()).withColumn("base", F.first(facts).over(inside)).where(place != F.col("base.place"))
     less = lambda a, b: F.array_sort(F.array_except(a, b))
     return d.select(
         project, "site_id", "plant_id", F.col("base.pathway").alias("pathway_from"), F.col("pathway").alias("pathway_to"),

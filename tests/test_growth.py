@@ -100,3 +100,16 @@ def test_features_at_one_place_are_one(spark):
     features = spark.range(20_000).selectExpr("id as feature_id", "'t' as target", "40.05D as flat", "-100D + (id % 20) * 0.1 as flon")
     found = spatial.nearest(sites, features, 160.0)
     assert sorted(map(tuple, found.select("site_id", "feature_id").collect())) == sorted((s, s % 100) for s in [*range(20), *range(100, 120)])
+
+
+def test_deltas_decide_plants_once(spark, sf):
+    from airgate.plans import more
+
+    assert sum("l_suppkey" in on for on, _, _ in joins(more.prj24_candidate_deltas(spark, sf))) == 1
+
+
+def test_written_assessments_are_compressed(spark, sf):
+    from airgate.plans import more
+
+    files = more.snk3_assessment_json(spark, sf).inputFiles()
+    assert files and all(f.endswith(".gz") for f in files)
