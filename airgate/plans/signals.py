@@ -72,8 +72,9 @@ _LINKED = f"""{_NEWS}, dated AS (SELECT n.* REPLACE (CASE WHEN item_id % 11 <> 0
 def _dated(spark, sf_dir) -> DataFrame:
     """The news with the page of the same number as url, the second line as summary, and every eleventh item undated."""
     urls = read(spark, sf_dir, "pages").groupBy(F.col("page_id").alias("item_id")).agg(F.min("url").alias("url"))
-    held = _news(spark, sf_dir).join(urls, "item_id", "left")
-    return held.withColumns({"published": F.when(F.col("item_id") % 11 != 0, F.col("published")), "summary": F.split_part("body", F.lit("\n"), F.lit(2))})
+    # The summary is taken before the join, so that bodies stay where they are read.
+    held = _news(spark, sf_dir).withColumn("summary", F.split_part("body", F.lit("\n"), F.lit(2))).join(urls, "item_id", "left")
+    return held.withColumn("published", F.when(F.col("item_id") % 11 != 0, F.col("published")))
 
 
 @registered(rf"""WITH {_LINKED}, t AS (SELECT item_id, county, published, trim(regexp_replace(lower(headline), '[^a-z0-9]+', ' ', 'g')) AS h,

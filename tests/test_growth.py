@@ -113,3 +113,71 @@ def test_written_assessments_are_compressed(spark, sf):
 
     files = more.snk3_assessment_json(spark, sf).inputFiles()
     assert files and all(f.endswith(".gz") for f in files)
+
+
+def plain_stories(pairs, ids):
+    """The least id that each id's pairs lead to."""
+    story = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(story[a], story[b])
+            changed |= (story[a], story[b]) != (low, low)
+            story[a] = story[b] = low
+    return story
+
+
+def news_items(spark, n=260):
+    words = "alpha bravo carbon delta echo foxtrot".split()
+    rows = []
+    for i in range(n):
+        k = i * 7919 % 1009
+        head = " ".join(w for j, w in enumerate(words) if (k >> j) & 1) if k % 17 else ("To A" if k % 2 else None)
+        rows.append((i, None if k % 41 == 0 else f"c{k % 3}", head, None if k % 23 == 0 else k * 5 % 160, f"http://p.com/{k % 90}" if k % 5 == 0 else None, "told", f"m{k % 4}"))
+    items = spark.createDataFrame(rows, "item_id long, county string, headline string, day int, url string, summary string, publication string")
+    return items.withColumn("published", F.expr("date_add(date'2024-01-01', day)")).drop("day")
+
+
+def test_stories_are_the_components_of_their_pairs(spark):
+    from airgate.operators import news
+
+    items = news_items(spark)
+    rows = {r["item_id"]: r for r in items.withColumns({"w": news.tokens(F.col("headline")), "h": news.normalised(F.col("headline")), "u": news.canonical(F.col("url"))}).collect()}
+
+    def alike(a, b, undated):
+        days = None if a["published"] is None or b["published"] is None else abs((a["published"] - b["published"]).days)
+        both = len({*(a["w"] or ())} & {*(b["w"] or ())})
+        return bool(a["w"] and b["w"]) and (undated if days is None else days <= 14) and 10 * both >= 6 * (len(a["w"]) + len(b["w"]) - both)
+
+    met = [(a, b) for a in rows for b in rows if a < b and rows[a]["county"] is not None and rows[a]["county"] == rows[b]["county"]]
+    same = lambda a, b, c: rows[a][c] is not None and rows[a][c] == rows[b][c]
+    close = {p for p in met if alike(rows[p[0]], rows[p[1]], False)}
+    linked = {p for p in met if alike(rows[p[0]], rows[p[1]], True) or same(*p, "h") or same(*p, "u")}
+    assert sorted(map(tuple, news.similar(items).collect())) == sorted(close) and sorted(map(tuple, news.same_story(items).collect())) == sorted(linked)
+    counted = lambda story: sorted((s, list(story.values()).count(s)) for s in set(story.values()))
+    assert sorted((r["story"], r["items"]) for r in news.story_leads(items).collect()) == counted(plain_stories(linked, rows))
+    assert sorted(r["items"] for r in news.stories(items).collect()) == sorted(n for _, n in counted(plain_stories(close, rows)))
+
+
+def test_pairs_of_stories_do_not_travel(spark):
+    from airgate.operators import news
+
+    def above_the_last_join(frame):
+        node, names = frame._jdf.queryExecution().optimizedPlan(), []
+        while node.nodeName() != "Join":
+            names.append(node.nodeName())
+            node = node.children().apply(0)
+        return names
+
+    items = news_items(spark, 30)
+    for frame in (news.similar(items), news.same_story(items), news.alike(news.word_sets(items, news.tokens(F.col("headline")))[1])):
+        assert set(above_the_last_join(frame)) <= {"Project", "Filter", "Union"}
+
+
+def test_copies_of_a_headline_are_one_node(spark):
+    from airgate.operators import news
+
+    items = spark.range(400).selectExpr("id as item_id", "'c' as county", "'board votes on turbines' || if(id % 2 = 0, '', ' again') as headline", "date_add(date'2024-01-01', cast(id % 100 as int)) as published")
+    nodes, edges = news.run_nodes(items)
+    assert edges.count() == 1 and nodes.select("node").distinct().count() == 2
