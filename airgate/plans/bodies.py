@@ -13,7 +13,8 @@ from airgate.sources.derived import read
 
 
 def _pages(spark, sf_dir) -> DataFrame:
-    c, k = read(spark, sf_dir, "customer"), F.col("c_custkey")
+    # Dealt out while rows are a key each: a table of one row group is read by one task, which would make and search all pages.
+    c, k = read(spark, sf_dir, "customer").select("c_custkey").repartition(4 * spark.sparkContext.defaultParallelism), F.col("c_custkey")
     point = lambda m: lambda d: F.concat(
         F.lit('{"date":"$D2024-03-0'), (d + 1).cast("string"), F.lit('T00:00:00Z","avg":'), F.when((k + d + m) % 4 == 0, F.lit("0")).otherwise(((k * (m + 2) % 900 + d + 1) / 4).cast("string")),
         F.when((k + d) % 3 == 0, F.concat(F.lit(',"bottom":'), ((d + 1) / 8).cast("string"), F.lit(',"top":'), (k % 50 + 1000).cast("string"), F.lit(',"book":{"depth":{"n":1}}'))).otherwise(F.lit("")), F.lit("}"),

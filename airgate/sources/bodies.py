@@ -32,14 +32,15 @@ def balanced(text: Column) -> Column:
     # Piece i ends in a closing brace; after it the depth is the number of opening ones so far, less i + 1.
     opens = F.transform(closed, lambda piece: F.length(piece) - F.length(F.replace(piece, F.lit("{"), F.lit(""))))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(None).cast("int").alias("last"))
-    held = F.aggregate(
+    last = F.aggregate(
         F.slice(opens, F.lit(1), F.greatest(F.size(closed) - 1, F.lit(0))),
         start,
         lambda s, n: F.struct(
             (s["depth"] + n - 1).alias("depth"), (s["seen"] + 1).alias("seen"), F.coalesce(s["last"], F.when(s["depth"] + n - 1 == 0, s["seen"] + 1)).alias("last")
         ),
+        lambda s: s["last"],
     )
-    return F.when(held["last"].isNotNull(), F.concat(F.array_join(F.slice(closed, F.lit(1), held["last"]), "}"), F.lit("}")))
+    return F.concat(F.call_function("substring_index", text, F.lit("}"), last), F.lit("}"))
 
 
 def index_points(pages: DataFrame, key: str = "pricesByHardwareType") -> DataFrame:
@@ -51,7 +52,8 @@ def index_points(pages: DataFrame, key: str = "pricesByHardwareType") -> DataFra
     """
     text = unescaped(F.col("body"))
     rest = F.regexp_extract(text, f'(?s)"{key}"\\s*:\\s*(\\{{.*)', 1)
-    held = pages.select("page", F.when(rest != "", rest).alias("rest")).where("rest is not null").select("page", balanced(F.col("rest")).alias("object"))
+    # Generated, not projected: a projection would be inlined, and the page made and searched again, wherever it is used.
+    held = pages.select("page", F.explode(F.array(F.nullif(rest, F.lit("")))).alias("rest")).where("rest is not null").select("page", balanced(F.col("rest")).alias("object"))
     point = "struct<date: string, avg: double, bottom: double, top: double>"
     series = held.select("page", F.explode(F.from_json("object", f"map<string, array<{point}>>")).alias("hardware", "series"))
     points = series.select("page", "hardware", F.posexplode("series").alias("pos", "p")).where("p is not null")

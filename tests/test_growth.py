@@ -181,3 +181,12 @@ def test_copies_of_a_headline_are_one_node(spark):
     items = spark.range(400).selectExpr("id as item_id", "'c' as county", "'board votes on turbines' || if(id % 2 = 0, '', ' again') as headline", "date_add(date'2024-01-01', cast(id % 100 as int)) as published")
     nodes, edges = news.run_nodes(items)
     assert edges.count() == 1 and nodes.select("node").distinct().count() == 2
+
+
+def test_pages_are_dealt_out_and_searched_once(spark, sf):
+    from airgate.plans import bodies
+
+    frame = bodies.src12_index_points(spark, sf)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan and frame.rdd.getNumPartitions() > spark.read.parquet(f"{sf}/customer.parquet").rdd.getNumPartitions()
+    assert plan.count("aggregate(") == 1 and plan.count("regexp_extract(") == 1
