@@ -190,3 +190,16 @@ def test_pages_are_dealt_out_and_searched_once(spark, sf):
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" in plan and frame.rdd.getNumPartitions() > spark.read.parquet(f"{sf}/customer.parquet").rdd.getNumPartitions()
     assert plan.count("aggregate(") == 1 and plan.count("regexp_extract(") == 1
+
+
+def test_days_of_a_class_are_runs(spark):
+    from airgate.operators import news
+
+    days = spark.range(4000).selectExpr("id % 2 as class_id", "id as item_id", "if(id % 2 = 0, date_add(date'2024-01-01', cast(id % 400 as int)), date_add(date'2024-01-01', cast(id % 20 * 15 as int))) as day")
+    got = {}
+    for r in news.runs(days, "class_id", undated=False).collect():
+        got.setdefault(r["class_id"], []).append((r["lo"] - 19723, r["hi"] - 19723))
+    assert {k: sorted(v) for k, v in got.items()} == {0: [(0, 398)], 1: [(d * 15, d * 15) for d in range(1, 20, 2)]}
+    with_open = days.unionByName(spark.range(1).selectExpr("0L as class_id", "9999L as item_id", "cast(null as date) as day"))
+    whole = [r for r in news.runs(with_open, "class_id", undated=True).collect() if r["class_id"] == 0]
+    assert len(whole) == 1 and whole[0]["node"] == 0 and whole[0]["lo"] < 0
