@@ -12,19 +12,27 @@ def has(control: str) -> Column:
     return F.array_contains("controls", control)
 
 
-def config_error() -> Column:
-    """The first rule that a design breaks; null for a coherent one."""
+def size_error() -> Column:
+    """The first rule that a plant's size or hours break, whatever its design; null where they break none."""
+    return F.when(F.col("mw") <= 0, "mw").when((F.col("run_hours") <= 0) | (F.col("run_hours") > 8760), "run_hours")
+
+
+def design_error() -> Column:
+    """The first rule that a mover, its fuel and its controls break; null for a coherent design."""
     turbine, mover, fuel = F.col("prime_mover").contains("turbine"), F.col("prime_mover"), F.col("fuel")
     return (
-        F.when(F.col("mw") <= 0, "mw")
-        .when((F.col("run_hours") <= 0) | (F.col("run_hours") > 8760), "run_hours")
-        .when((fuel == "diesel") & mover.isin("recip_lean_burn", "recip_rich_burn", "fuel_cell"), "no_diesel")
+        F.when((fuel == "diesel") & mover.isin("recip_lean_burn", "recip_rich_burn", "fuel_cell"), "no_diesel")
         .when((fuel == "natural_gas") & (mover == "diesel_recip"), "needs_diesel")
         .when(has("tier4_final") & (mover != "diesel_recip"), "tier4_not_engine")
         .when((has("dry_low_nox") | has("water_injection")) & ~turbine, "turbine_only_control")
     )
 
 
+def config_error() -> Column:
+    """The first rule that a plant breaks; null for a coherent one."""
+    return size_error().otherwise(design_error())
+
+
 def factors(spark: SparkSession) -> DataFrame:
     """prime_mover, fuel, heat_rate_default and ef_<pollutant>: a few rows, fixed."""
     rows = [(*key, HEAT_RATES[key[0]], *ef) for key, ef in EMISSION_FACTORS.items()]
@@ -64,6 +72,27 @@ def estimate(plants: DataFrame, with_rejects: bool = False) -> DataFrame:
     return held.withColumns(amounts).drop("heat_rate_default", *(f"ef_{p}" for p in POLLUTANTS))
 
 
+def rated(designs: DataFrame, pollutants: tuple[str, ...] = CRITERIA) -> DataFrame:
+    """Coherent designs (prime_mover, fuel, controls) that have emission factors, with heat_rate_default, <pollutant>_lb
+    (what the controls leave of a pound per MMBtu) and tier4: all that `at_rates` needs to know of a design."""
+    held = designs.join(F.broadcast(factors(designs.sparkSession)), ["prime_mover", "fuel"]).where(design_error().isNull())
+    held = held.withColumns({f"{p}_lb": F.expr(f"ef_{p} * ({_kept(p)})") for p in pollutants} | {"tier4": has("tier4_final")})
+    return held.drop(*(f"ef_{p}" for p in POLLUTANTS))
+
+
+def at_rates(plants: DataFrame, pollutants: tuple[str, ...] = CRITERIA) -> DataFrame:
+    """plants with the columns of `rated`, with what `estimate` adds, to the last bit, of these pollutants.
+
+    Few designs are shared by many plants, so controls are looked through once a design and a plant costs a few products.
+    """
+    held = plants.where(size_error().isNull()).withColumns({
+        "effective_hours": F.expr("if(enforceable, run_hours, 8760D)"), "heat_input": F.expr("mw * 1000 * coalesce(nullif(heat_rate, 0D), heat_rate_default) / 1e6D"),
+    })
+    lb_hr = {p: f"if(tier4, {TIER4[p]!r}D * mw * 1000 / {GRAMS_PER_LB!r}D, {p}_lb * heat_input)" if p in TIER4 else f"({p}_lb * heat_input)" for p in pollutants}
+    amounts = {f"{p}_tpy": F.expr(f"{lb_hr[p]} * effective_hours / 2000") for p in pollutants}
+    return held.withColumns(amounts).drop("heat_rate_default", "tier4", *(f"{p}_lb" for p in pollutants))
+
+
 #: SQL: struct(tpy, order, name) of the largest criteria pollutant, the first in order on ties.
 LARGEST_CRITERIA = f"array_max(array({', '.join(f"named_struct('tpy', {p}_tpy, 'order', {-i}, 'name', '{p}')" for i, p in enumerate(CRITERIA))}))"
 #: SQL: the pollutants at or over their significant rate, in order.

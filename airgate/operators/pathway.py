@@ -198,19 +198,24 @@ def hard_stops() -> str:
     return f"array_compact(array({', '.join(f"if({on}, '{name}', null)" for name, on in stops)}))"
 
 
+def class_limits() -> list[Column]:
+    """For each of DESIGNATED the threshold of a site's class (100 for a class without one); null without a designation."""
+    limits = []
+    for p in DESIGNATED:
+        out = F.lit(100.0)
+        for name, x in NA_THRESHOLDS[p].items():
+            out = F.when(F.col(f"{p}_class") == name, x).otherwise(out)
+        limits.append(F.when(F.col(f"{p}_class").isNotNull(), out))
+    return limits
+
+
 def synthetic_cap(least_hours: float = 1000.0, margin: float = 0.9) -> dict[str, Column]:
     """cap_threshold, cap_hours and cap_feasible: the hours that hold the largest pollutant a margin under every threshold.
 
     The threshold is the least of the source category's and of each designation's class (100 for a class without one);
     the transport region's is not among them. cap_hours is null for a plant that is under the target already.
     """
-    limits = [source_threshold()]
-    for p in DESIGNATED:
-        out = F.lit(100.0)
-        for name, x in NA_THRESHOLDS[p].items():
-            out = F.when(F.col(f"{p}_class") == name, x).otherwise(out)
-        limits.append(F.when(F.col(f"{p}_class").isNotNull(), out))
-    target, full = F.least(*limits), largest_criteria()["tpy"] * 8760 / F.col("effective_hours")
+    target, full = F.least(source_threshold(), *class_limits()), largest_criteria()["tpy"] * 8760 / F.col("effective_hours")
     hours = F.when(full > target * margin, 8760 * target * margin / full)
     return {"cap_threshold": target, "cap_hours": hours, "cap_feasible": hours >= least_hours}
 
@@ -259,7 +264,7 @@ def in_brief(located: DataFrame, *keys: str) -> DataFrame:
 
 def design_in_brief(pte: DataFrame) -> DataFrame:
     """pte with what `brief` needs of a plant: rank_plain and rank_by_rule (its rank without a hit, without and with a permit by rule) and kind."""
-    d = pte.withColumn("_most", F.expr(f"{LARGEST_CRITERIA}.tpy"))
+    d = pte.withColumn("_most", F.greatest(*[f"{p}_tpy" for p in CRITERIA]))
     plain = f"case when _most >= {SOURCE_THRESHOLD} then 3 when enforceable and run_hours < 8760 then 2"
     d = d.withColumns({
         "rank_plain": F.expr(f"{plain} else 1 end"), "rank_by_rule": F.expr(f"{plain} when _most < {PBR_TPY!r}D and heat_input <= {PBR_HEAT!r}D then 0 else 1 end"),
@@ -286,6 +291,20 @@ def brief(site: str = "site", best: str = "best") -> dict[str, str]:
     }
 
 
+def decide_in_brief(pte: DataFrame) -> DataFrame:
+    """pte with its `site` (of `in_brief`), with rank, months_likely and n_stops by the rules of `decide`.
+
+    As in `decide`, array_compact, a lambda, keeps these projections out of whole-stage code, where all of them together would
+    be one method that is longer than the JVM compiles; it is reached only where offsets can stop a plant.
+    """
+    told, d = brief(), design_in_brief(pte)
+    for name in ("best", "tough"):
+        told[name] = re.sub(r"(greatest|least)\((if\(.*, null\))\)", lambda m: f"array_{'max' if m[1] == 'greatest' else 'min'}(array_compact(array({m[2]})))", told[name])
+    for name in ("best", "tough", "rank", "months", "n_stops"):
+        d = d.withColumn(name, F.expr(told[name]))
+    return d.withColumnRenamed("months", "months_likely").drop("best", "tough", "rank_plain", "rank_by_rule", "kind")
+
+
 def pairs(pte: DataFrame, sites: DataFrame, worst: DataFrame) -> DataFrame:
     """Every plant at every site; designations join the sites first, and the smaller side is what a cross join repeats.
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from airgate.functions.rules import OVERLAYS, POLLUTANTS
+from airgate.functions.rules import CRITERIA, OVERLAYS, PATHWAYS, POLLUTANTS
 from airgate.operators import emissions, pathway
 from airgate.operators.emissions import has, largest_criteria
+from airgate.operators.graph import written
 from airgate.operators.pathway import DESIGNATED, source_threshold
 
 
@@ -64,14 +65,14 @@ OPTIONS = (
 )
 
 
-def weighed(decided: DataFrame) -> DataFrame:
-    """Every option of a plant that was decided at its site, decided there in its turn: a row an option.
+#: What options change of a design.
+CHANGED = ("prime_mover", "fuel", "controls", "units")
 
-    Adds label, ord (its place in OPTIONS), base_rank, base_months, rank_delta and months_saved (more is better) and
-    availability (the share of the year that an enforceable limit leaves). An option that equals the plant or an earlier
-    option, breaks a rule or has no emission factors has no row. A stated heat rate stays. An hour cap is for plants over
-    the least threshold at their site and leaves at least 1,000 hours; splitting is for one-unit major sources. Sites
-    aren't joined again, so options add no shuffle.
+
+def changed_designs(divisible: Column) -> list[Column]:
+    """Of each of OPTIONS struct(label, ord, *CHANGED), the design with it; null where it doesn't make sense.
+
+    divisible says whether the plant is one that may be split.
     """
     mover, turbine = F.col("prime_mover"), F.col("prime_mover").contains("turbine")
     scr, catalyst, simple = has("scr"), has("oxidation_catalyst"), F.col("prime_mover") == "simple_cycle_turbine"
@@ -89,16 +90,27 @@ def weighed(decided: DataFrame) -> DataFrame:
         "fuel_cell": (mover != "fuel_cell", {"prime_mover": F.lit("fuel_cell"), "fuel": F.lit("natural_gas"), "controls": none}),
         "hour_cap": (F.lit(True), {}),
         "hour_cap_both": (~(scr & catalyst), {"controls": both}),
-        "split": ((F.col("units") == 1) & (F.col("rank") >= 3), {"units": F.lit(2)}),
+        "split": (divisible, {"units": F.lit(2)}),
     }
-    changed = ("prime_mover", "fuel", "controls", "units")
-    rows = [
-        F.when(on, F.struct(F.lit(label).alias("label"), F.lit(k).alias("ord"), *[held.get(c, F.col(c)).alias(c) for c in changed]))
+    return [
+        F.when(on, F.struct(F.lit(label).alias("label"), F.lit(k).alias("ord"), *[held.get(c, F.col(c)).alias(c) for c in CHANGED]))
         for k, (label, (on, held)) in enumerate((label, changes[label]) for label in OPTIONS)
     ]
+
+
+def weighed(decided: DataFrame) -> DataFrame:
+    """Every option of a plant that was decided at its site, decided there in its turn: a row an option.
+
+    Adds label, ord (its place in OPTIONS), base_rank, base_months, rank_delta and months_saved (more is better) and
+    availability (the share of the year that an enforceable limit leaves). An option that equals the plant or an earlier
+    option, breaks a rule or has no emission factors has no row. A stated heat rate stays. An hour cap is for plants over
+    the least threshold at their site and leaves at least 1,000 hours; splitting is for one-unit major sources. Sites
+    aren't joined again, so options add no shuffle.
+    """
+    rows = changed_designs((F.col("units") == 1) & (F.col("rank") >= 3))
     base = decided.withColumns({"base_rank": F.col("rank"), "base_months": F.col("months_likely"), "cap_threshold": pathway.synthetic_cap()["cap_threshold"]})
     d = base.withColumn("o", F.explode(F.array_compact(F.array(*rows))))
-    d = d.withColumns({c: F.col(f"o.{c}") for c in ("label", "ord", *changed)}).drop("o", "rejected", "heat_input", "effective_hours", *(f"{p}_tpy" for p in POLLUTANTS))
+    d = d.withColumns({c: F.col(f"o.{c}") for c in ("label", "ord", *CHANGED)}).drop("o", "rejected", "heat_input", "effective_hours", *(f"{p}_tpy" for p in POLLUTANTS))
     d = emissions.estimate(d)
     capped, worst = F.col("label").isin("hour_cap", "hour_cap_both"), largest_criteria()["tpy"]
     hours = 8760 * F.col("cap_threshold") * 0.9 / (worst * 8760 / F.col("effective_hours"))
@@ -117,13 +129,49 @@ def weighed(decided: DataFrame) -> DataFrame:
     )
 
 
+def weighed_in_brief(plants: DataFrame) -> DataFrame:
+    """The rows of `weighed`, with what there is to compare: no triggers, names of stops, ranges of months or offsets.
+
+    plants have the `site` (of `pathway.in_brief`) that they are planned for and site_cap, the least threshold of its
+    designations; they need not be decided before. Movers, fuels and controls are few, so the options of each are worked out
+    once and kept as a small table: a plant meets its own by number, and pays for products and comparisons only.
+    """
+    key = ["prime_mover", "fuel", "controls"]
+    seen = plants.select(*key).distinct().withColumns({"design": F.monotonically_increasing_id(), "units": F.lit(1)})
+    own = F.struct(F.lit(None).cast("string").alias("label"), F.lit(-1).alias("ord"), *CHANGED)
+    rows = written(seen).select(F.struct(*key).alias("own"), "design", F.explode(F.array_compact(F.array(own, *changed_designs(F.lit(True))))).alias("o"))
+    table = written(emissions.rated(rows.select("own", "design", "o.*").drop("units")))
+    d = plants.join(table.where("ord = -1").select("own.*", "design", *[c for c in table.columns if c not in ("own", "design", "label", "ord", *key)]), key)
+    d = pathway.decide_in_brief(emissions.at_rates(d))
+    told = {"base_rank": F.col("rank"), "base_months": F.col("months_likely"), "cap_threshold": F.least(pathway.source_threshold(), "site_cap")}
+    d = d.withColumns(told).drop("rank", "months_likely", "n_stops", "site_cap", "heat_input", "effective_hours", *key, *(f"{p}_tpy" for p in CRITERIA))
+    capped, split = (F.col("ord").isin(*[OPTIONS.index(x) for x in of]) for of in (("hour_cap", "hour_cap_both"), ("split",)))
+    d = d.join(table.where("ord >= 0").drop("own"), "design").where(~split | ((F.col("units") == 1) & (F.col("base_rank") >= 3)))
+    # array_compact for the reason that `decide_in_brief` gives, and for the few rows that are capped.
+    worst = F.when(capped, F.array_max(F.array_compact(F.array(*[f"{p}_tpy" for p in CRITERIA]))))
+    d = emissions.at_rates(d).withColumns({"units": F.when(split, 2).otherwise(F.col("units")), "uncapped": worst})
+    d = d.withColumn("cap_hours", F.when(F.col("uncapped") >= F.col("cap_threshold"), 8760 * F.col("cap_threshold") * 0.9 / (F.col("uncapped") * 8760 / F.col("effective_hours"))))
+    d = d.where(~capped | (F.col("cap_hours") >= 1000))
+    share = F.when(capped, F.col("cap_hours") / F.col("effective_hours")).otherwise(1.0)
+    d = d.withColumns({f"{p}_tpy": F.col(f"{p}_tpy") * share for p in CRITERIA} | {"run_hours": F.coalesce("cap_hours", "run_hours"), "enforceable": capped | F.col("enforceable")})
+    d = pathway.decide_in_brief(d.drop("design", "uncapped", "cap_hours", "effective_hours"))
+    return d.withColumns(
+        {
+            "pathway": F.element_at(F.array(*[F.lit(p[0]) for p in PATHWAYS]), F.col("rank") + 1),
+            "rank_delta": F.col("base_rank") - F.col("rank"), "months_saved": F.col("base_months") - F.col("months_likely"),
+            "availability": F.when(F.col("enforceable"), F.col("run_hours") / 8760).otherwise(1.0),
+        }
+    )
+
+
 def best_option(options: DataFrame, *plant: str) -> DataFrame:
-    """Of each plant's `weighed` options the first that improves its pathway or saves over a month; plants without one have no row.
+    """Of each plant's `weighed` options, in full or in brief, the first that improves its pathway or saves over a month; plants without one have no row.
 
     The order is: no hard stop first, then the better pathway, the months saved, the availability and OPTIONS.
     """
     better = (F.col("rank_delta") > 0) | (F.round("months_saved", 6) > 1)
-    stopped, saved, available = (F.size("stops") > 0).cast("int"), F.round("months_saved", 6), F.round("availability", 9)
+    n_stops = F.col("n_stops") if "n_stops" in options.columns else F.size("stops")
+    stopped, saved, available = (n_stops > 0).cast("int"), F.round("months_saved", 6), F.round("availability", 9)
     order = F.when(better, F.struct(stopped, -F.col("rank_delta"), -saved, -available, "ord", "mw", "controls"))
     kept = F.struct("label", "pathway", "rank", "rank_delta", "months_likely", "months_saved", "availability", "run_hours")
     return options.groupBy(*plant).agg(F.min_by(kept, order).alias("o")).where("o is not null").select(*plant, "o.*")

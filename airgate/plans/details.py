@@ -82,7 +82,7 @@ weighed AS (SELECT *, base_rank - rank AS rank_delta, base_months - months_likel
 
 
 def _weighed(spark, sf_dir) -> DataFrame:
-    return variants.weighed(permit.own_site(spark, sf_dir))
+    return variants.weighed_in_brief(permit.at_own_site_in_brief(spark, sf_dir))
 
 
 @registered(f"""{_weighed_sql()} SELECT label, count(*)::BIGINT AS n, count(*) FILTER (WHERE rank_delta > 0)::BIGINT AS better, count(*) FILTER (WHERE rank_delta < 0)::BIGINT AS worse,
@@ -92,7 +92,7 @@ def prj25_options_in_full(spark, sf_dir):
     sooner = F.count_if(F.round("months_saved", 6) > 1).alias("sooner")
     return _weighed(spark, sf_dir).groupBy("label").agg(
         F.count("*").alias("n"), F.count_if(F.col("rank_delta") > 0).alias("better"), F.count_if(F.col("rank_delta") < 0).alias("worse"), sooner,
-        F.count_if(F.size("stops") > 0).alias("stopped"), F.max("months_saved").alias("most_saved"), F.min("availability").alias("least_available"),
+        F.count_if(F.col("n_stops") > 0).alias("stopped"), F.max("months_saved").alias("most_saved"), F.min("availability").alias("least_available"),
     )
 
 

@@ -33,6 +33,14 @@ def at_own_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.designed(li.join(located, li.l_suppkey == located.site_id), *located.columns)
 
 
+def at_own_site_in_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each plant with `site`, what `pathway.brief` needs of the site that it is planned for, and site_cap, the least threshold of its designations."""
+    located = pathway.with_overlay(derived.sites(spark, sf_dir)).join(_worst(spark, sf_dir), "fips", "left")
+    held = pathway.in_brief(located, "site_id", F.least(*pathway.class_limits()).alias("site_cap"))
+    li = derived.read(spark, sf_dir, "lineitem")
+    return derived.designed(li.join(held, li.l_suppkey == held.site_id), *held.columns)
+
+
 def own_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each plant decided at the site that it is planned for."""
     return pathway.decide(emissions.estimate(at_own_site(spark, sf_dir)))

@@ -213,3 +213,27 @@ def test_streams_read_a_table_in_parts(spark, sf, tmp_path):
     for name in ("str4_metered", "str1_daily_volume"):
         got, want = (sorted(map(tuple, registry.QUERIES[name](spark, str(folder)).collect())) for folder in (tmp_path, sf))
         assert got == want and len(got) > 0
+
+
+def test_options_in_brief_are_those_in_full(spark, sf):
+    from airgate.operators import emissions, pathway, variants
+    from airgate.plans import details, permit
+
+    # Some designs list a control twice, some have no emission factors.
+    twice = F.when(F.pmod(F.xxhash64("plant_id"), F.lit(5)) == 0, F.concat("controls", "controls")).otherwise(F.col("controls"))
+    fuel = F.when(F.pmod(F.xxhash64("plant_id"), F.lit(11)) == 0, "diesel").otherwise(F.col("fuel"))
+    odd = lambda d: d.where("pmod(xxhash64(plant_id), 3) = 0").withColumns({"controls": twice, "fuel": fuel})
+    full = variants.weighed(pathway.decide(emissions.estimate(odd(permit.at_own_site(spark, sf))))).withColumn("n_stops", F.size("stops"))
+    told = variants.weighed_in_brief(odd(permit.at_own_site_in_brief(spark, sf)))
+    names = [
+        "plant_id", "l_suppkey", "mw", "label", "ord", *variants.CHANGED, "run_hours", "enforceable", "base_rank", "base_months", "rank", "pathway", "months_likely", "n_stops",
+        "rank_delta", "months_saved", "availability", *(f"{p}_tpy" for p in ("nox", "co", "voc", "pm25")),
+    ]
+    rows = lambda d: sorted(map(repr, d.select(*names).collect()))
+    want = rows(full)
+    assert rows(told) == want and len(want) > 5_000 and all(f"label='{x}'" in " ".join(want) for x in variants.OPTIONS)
+    # The jobs decide no more than they ask for, and plants meet their options by the number of a small table's design.
+    for job in (details.prj25_options_in_full, details.win2_improving_option):
+        frame = job(spark, sf)
+        assert "triggers" not in frame._jdf.queryExecution().optimizedPlan().toString()
+        assert [left for on, left, right in joins(frame) if "design" in on and "ord" in right]
