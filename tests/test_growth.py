@@ -205,6 +205,21 @@ def test_days_of_a_class_are_runs(spark):
     assert len(whole) == 1 and whole[0]["node"] == 0 and whole[0]["lo"] < 0
 
 
+def test_headlines_are_read_once_each_and_not_by_item(spark, monkeypatch):
+    from airgate.operators import graph, headlines
+
+    kept = []
+    monkeypatch.setattr(headlines, "written", lambda df: kept.append(df) or graph.written(df), raising=False)
+    items = spark.range(400).selectExpr("id as item_id", "'c' as county", "'Board votes on turbines' || if(id % 2 = 0, '', ' again') as headline", "date_add(date'2024-01-01', cast(id % 100 as int)) as published")
+    members, links = headlines.headline_links(items)
+    plan = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString()
+    assert all("regexp_replace" not in plan(f) for f in (members, *kept[1:], headlines.headline_stories(items)))
+    lines = plan(kept[0]).splitlines()
+    groups = next(i for i, line in enumerate(lines) if "Aggregate" in line)
+    assert "regexp_replace" in "".join(lines[: groups + 1]) and "regexp_replace" not in "".join(lines[groups + 1 :])
+    assert [tuple(r) for r in links.collect()] == [(0, 1)] and sorted(map(tuple, members.groupBy("class_id").count().collect())) == [(0, 200), (1, 200)]
+
+
 def test_streams_read_a_table_in_parts(spark, sf, tmp_path):
     from airgate.plans import registry
 
