@@ -189,6 +189,18 @@ def trigger_counts(decided: DataFrame) -> DataFrame:
     return long.groupBy("name").agg(F.sum("n").alias("n")).where("n > 0")
 
 
+def months_by_rule(met: DataFrame, *names: str) -> DataFrame:
+    """name, n, months: in how many decisions each of these rules fires and the months that it adds in all.
+
+    Each row of met stands for n decisions. It has what these rules look at, so they needn't be decided for rules on sites and fuels.
+    """
+    held = [(name, F.expr(fires), F.expr(months)) for name, fires, months in RULES if name in names]
+    counts = [F.sum(F.when(fires, F.col("n"))).alias(f"n{k}") for k, (_, fires, _) in enumerate(held)]
+    sums = met.agg(*counts, *[F.sum(F.when(fires, months * F.col("n"))).alias(f"months{k}") for k, (_, fires, months) in enumerate(held)])
+    rows = F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"n{k}").alias("n"), F.col(f"months{k}").alias("months")) for k, (name, *_) in enumerate(held)])
+    return sums.select(F.inline(rows)).groupBy("name").agg(F.sum("n").alias("n"), F.sum("months").alias("months")).where("n > 0")
+
+
 def hard_stops() -> str:
     """SQL: the names of what stops a plant at a site."""
     stops = (

@@ -122,11 +122,11 @@ def prj23_overrides(spark, sf_dir):
 SELECT r.k AS reason, count(*)::BIGINT AS n, sum(r.m)::DOUBLE AS months FROM t WHERE r.m > 0 GROUP BY 1""")
 def agg21_months_by_reason(spark, sf_dir):
     names = {"gas_reachability": "gas", "zoning_posture": "zoning", "ej_denial_authority": "ej", "litigation": "litigation"}
-    held = permit.own_site(spark, sf_dir).select(F.explode("triggers").alias("t")).where(F.col("t.name").isin(*names))
-    reason = F.col("t.name")
+    months = pathway.months_by_rule(permit.fuels_at_own_site(spark, sf_dir), *names)
+    reason = F.col("name")
     for old, new in names.items():
-        reason = F.when(F.col("t.name") == old, new).otherwise(reason)
-    return held.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"), F.sum("t.months").alias("months"))
+        reason = F.when(F.col("name") == old, new).otherwise(reason)
+    return months.select(reason.alias("reason"), "n", "months")
 
 
 @registered(f"""{_OWN} SELECT plant_id, site_id, array_to_string(list_filter([CASE WHEN NOT state IN ('VA', 'TX', 'GA', 'OH', 'AZ', 'NJ', 'NM', 'IL') THEN 'unmodelled_state' END,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from airgate.functions.rules import CRITERIA, MONTH_DAYS, PATHWAYS, POLLUTANTS, SEVERITY, SIGNIFICANT
@@ -33,14 +33,22 @@ def at_own_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.designed(li.join(located, li.l_suppkey == located.site_id), *located.columns)
 
 
-def at_own_site_in_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each plant with `site`, what `pathway.brief` needs of the site that it is planned for, and site_cap, the least threshold of its designations."""
+def at_own_site_in_brief(spark: SparkSession, sf_dir: str, *facts: Column) -> DataFrame:
+    """Each plant with `site`, what `pathway.brief` needs of the site that it is planned for, and other facts of it
+    (site_cap, the least threshold of its designations, unless others are asked for)."""
     located = pathway.with_overlay(derived.sites(spark, sf_dir)).join(_worst(spark, sf_dir), "fips", "left")
-    held = pathway.in_brief(located, "site_id", F.least(*pathway.class_limits()).alias("site_cap"))
+    held = pathway.in_brief(located, "site_id", *(facts or [F.least(*pathway.class_limits()).alias("site_cap")]))
     li = derived.read(spark, sf_dir, "lineitem")
     return derived.designed(li.join(held, li.l_suppkey == held.site_id), *held.columns)
 
 
+def fuels_at_own_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fuel, the facts of a site and n, how many plants with that fuel are planned for it; plants are counted before they meet their site."""
+    located = pathway.with_overlay(derived.sites(spark, sf_dir)).join(_worst(spark, sf_dir), "fips", "left")
+    counts = emissions.coherent(derived.plants(spark, sf_dir)).groupBy("l_suppkey", "fuel").agg(F.count("*").alias("n"))
+    return counts.join(located, counts.l_suppkey == located.site_id)
+
+
 def own_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each plant decided at the site that it is planned for."""
     return pathway.decide(emissions.estimate(at_own_site(spark, sf_dir)))

@@ -252,3 +252,30 @@ def test_options_in_brief_are_those_in_full(spark, sf):
         frame = job(spark, sf)
         assert "triggers" not in frame._jdf.queryExecution().optimizedPlan().toString()
         assert [left for on, left, right in joins(frame) if "design" in on and "ord" in right]
+
+
+def odd_designs(d):
+    """Plants some of which list a control twice, some have no emission factors or hours and sizes that break a rule."""
+    twice = F.when(F.pmod(F.xxhash64("plant_id"), F.lit(5)) == 0, F.concat("controls", "controls")).otherwise(F.col("controls"))
+    fuel = F.when(F.pmod(F.xxhash64("plant_id"), F.lit(11)) == 0, "diesel").otherwise(F.col("fuel"))
+    hours = F.when(F.pmod(F.xxhash64("plant_id"), F.lit(13)) == 0, 9000.0).otherwise(F.col("run_hours"))
+    size = F.when(F.pmod(F.xxhash64("plant_id"), F.lit(17)) == 0, 0.0).otherwise(F.col("mw"))
+    return d.withColumns({"controls": twice, "fuel": fuel, "run_hours": hours, "mw": size})
+
+
+def test_months_by_reason_count_plants_before_they_meet_sites(spark, sf):
+    from airgate.operators import emissions, pathway
+    from airgate.plans import details, permit
+    from airgate.sources import derived
+
+    plan = details.agg21_months_by_reason(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "triggers" not in plan and "class_i_aqrv" not in plan
+    names = ["gas_reachability", "zoning_posture", "ej_denial_authority", "litigation", "source_aggregation_risk", "psd_increment_consumed"]
+    full = pathway.decide(emissions.estimate(odd_designs(permit.at_own_site(spark, sf))))
+    want = full.select(F.explode("triggers").alias("t")).where(F.col("t.name").isin(*names)).groupBy("t.name").agg(F.count("*").alias("n"), F.sum("t.months").alias("months"))
+    kinds = full.select("plant_id", "fuel", "units", "rank", "major", "gas_pipeline_km", "zoning_posture", "ej", "cases", "increment_no2", "increment_pm25").withColumn("n", F.lit(1))
+    assert sorted(map(tuple, pathway.months_by_rule(kinds, *names).collect())) == sorted(map(tuple, want.collect()))
+    assert pathway.months_by_rule(kinds.where("false"), *names).count() == 0
+    odd = odd_designs(derived.plants(spark, sf))
+    kept = emissions.coherent(odd)
+    assert sorted(kept.select("plant_id").collect()) == sorted(emissions.estimate(odd).select("plant_id").collect()) and 0 < kept.count() < odd.count()
