@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from airgate.functions.rules import (
     CITATIONS, CRITERIA, EJ_STATES, NA_THRESHOLDS, OFFSETS, OTR_STATES, OTR_THRESHOLD, OTR_VA, OVERLAYS, PATHWAYS, PBR_HEAT, PBR_TPY, PRECURSORS, SEVERITY,
 )
+from airgate.operators import emissions
 from airgate.operators.emissions import LARGEST_CRITERIA, SIGNIFICANT_ONES, largest_criteria
+from airgate.operators.graph import written
 
 #: Designated pollutants, in the order in which hits on them are compared.
 DESIGNATED = tuple(PRECURSORS)
@@ -303,6 +305,16 @@ def brief(site: str = "site", best: str = "best") -> dict[str, str]:
     }
 
 
+def planned_in_brief(plants: DataFrame) -> DataFrame:
+    """plants with the `site` that they are planned for, estimated and with rank, months_likely and n_stops by the rules of `decide`.
+
+    Movers, fuels and controls are few: what a design emits is worked out once and kept as a small table, which plants meet.
+    """
+    key = ["prime_mover", "fuel", "controls"]
+    table = written(emissions.rated(plants.select(*key).distinct()))
+    return decide_in_brief(emissions.at_rates(plants.join(table, key)))
+
+
 def decide_in_brief(pte: DataFrame) -> DataFrame:
     """pte with its `site` (of `in_brief`), with rank, months_likely and n_stops by the rules of `decide`.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import takewhile
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,8 +99,12 @@ def agg13_cloud_share(spark, sf_dir):
 @registered(f"""{_OWN}, t AS (SELECT plant_id, site_id, 1 + (coalesce(ozone_class, pm25_class, pm10_class, co_class, so2_class, no2_class, lead_class) IS NOT NULL)::INT AS place, pathway AS name FROM decided) SELECT name, place::INT AS place, count(*)::BIGINT AS n FROM t GROUP BY 1, 2""")
 def prj18_reasoning_chain(spark, sf_dir):
     """Where the pathway stands in each chain of reasons."""
-    steps = permit.own_site(spark, sf_dir).select("pathway", F.posexplode("triggers").alias("pos", "t")).where(F.col("t.name") == F.col("pathway"))
-    return steps.groupBy(F.col("pathway").alias("name"), (F.col("pos") + 1).alias("place")).agg(F.count("*").alias("n"))
+    # The rules that come before the pathway's are on the site alone.
+    before = list(takewhile(lambda rule: rule[0] != rules.PATHWAYS[0][0], pathway.RULES))
+    place = F.expr(" + ".join(["1", *(f"if({fires}, 1, 0)" for _, fires, _ in before)])).alias("place")
+    d = pathway.planned_in_brief(permit.at_own_site_in_brief(spark, sf_dir, place))
+    counts = d.groupBy("rank", "place").agg(F.count("*").alias("n"))
+    return counts.select(F.element_at(F.array(*[F.lit(p[0]) for p in rules.PATHWAYS]), F.col("rank") + 1).alias("name"), "place", "n")
 
 
 _STEPS = (

@@ -279,3 +279,15 @@ def test_months_by_reason_count_plants_before_they_meet_sites(spark, sf):
     odd = odd_designs(derived.plants(spark, sf))
     kept = emissions.coherent(odd)
     assert sorted(kept.select("plant_id").collect()) == sorted(emissions.estimate(odd).select("plant_id").collect()) and 0 < kept.count() < odd.count()
+
+
+def test_reasoning_chain_decides_in_brief(spark, sf):
+    from airgate.operators import emissions, pathway
+    from airgate.plans import more, permit
+
+    assert "triggers" not in more.prj18_reasoning_chain(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    names = ["plant_id", "rank", "months_likely", "n_stops", "nox_tpy", "heat_input"]
+    full = pathway.decide(emissions.estimate(odd_designs(permit.at_own_site(spark, sf)))).withColumn("n_stops", F.size("stops")).select(*names)
+    told = pathway.planned_in_brief(odd_designs(permit.at_own_site_in_brief(spark, sf))).select(*names)
+    want = sorted(map(repr, full.collect()))
+    assert sorted(map(repr, told.collect())) == want and len(want) > 1_000
