@@ -238,11 +238,16 @@ def synthetic_cap(least_hours: float = 1000.0, margin: float = 0.9) -> dict[str,
 
 
 #: The emitted pollutants that a designation can be hit by.
-_EMITTED = tuple(dict.fromkeys(p for held in PRECURSORS.values() for p in held))
+EMITTED = tuple(dict.fromkeys(p for held in PRECURSORS.values() for p in held))
 #: Classes with an offset ratio that stops a plant.
 _STRICT = ", ".join(f"'{name}'" for name, ratio in OFFSETS.items() if ratio >= 1.3)
 #: What the site's part of a decision can depend on: rank, whether the fuel is gas, whether there is more than one unit.
 _KINDS = tuple((rank, gas, units) for rank in range(len(PATHWAYS)) for gas in (0, 1) for units in (1, 2))
+#: How many of them there are.
+CELLS = len(_KINDS)
+#: The emitted pollutants that offsets can stop a plant for, and the others.
+HARD = tuple(p for p in EMITTED if any(p in emitted and any(OFFSETS.get(c, 1.0) >= 1.3 for c in NA_THRESHOLDS[d]) for d, emitted in PRECURSORS.items()))
+SOFT = tuple(p for p in EMITTED if p not in HARD)
 
 
 def _said(sql: str, rank: int, gas: int, units: int) -> str:
@@ -262,7 +267,7 @@ def in_brief(located: DataFrame, *keys: str) -> DataFrame:
     slots += [("otr and ozone_class is null", f"{OTR_THRESHOLD!r}D", p, "false") for p in ("nox", "voc")]
     d = located.withColumns({f"_limit{k}": F.expr(f"if({on}, {limit}, null)") for k, (on, limit, _, _) in enumerate(slots)})
     fields, strict = [], []
-    for p in _EMITTED:
+    for p in EMITTED:
         mine = [(k, hard) for k, (_, _, of, hard) in enumerate(slots) if of == p]
         least = f"least({', '.join(f'_limit{k}' for k, _ in mine)}, double('infinity'))"
         code = f"case {' '.join(f'when _limit{k} = {least} then {2 * k} + if({hard}, 0, 1)' for k, hard in mine)} end"
@@ -276,30 +281,44 @@ def in_brief(located: DataFrame, *keys: str) -> DataFrame:
     return d.select(*keys, F.struct(*[F.expr(sql).alias(name) for sql, name in parts]).alias("site"))
 
 
+#: SQL of a plant's kind: whether its fuel is gas and whether it has more than one unit.
+KIND = "(if(fuel = 'natural_gas', 2, 0) + if(units > 1, 1, 0))"
+
+
 def design_in_brief(pte: DataFrame) -> DataFrame:
     """pte with what `brief` needs of a plant: rank_plain and rank_by_rule (its rank without a hit, without and with a permit by rule) and kind."""
     d = pte.withColumn("_most", F.greatest(*[f"{p}_tpy" for p in CRITERIA]))
     plain = f"case when _most >= {SOURCE_THRESHOLD} then 3 when enforceable and run_hours < 8760 then 2"
     d = d.withColumns({
         "rank_plain": F.expr(f"{plain} else 1 end"), "rank_by_rule": F.expr(f"{plain} when _most < {PBR_TPY!r}D and heat_input <= {PBR_HEAT!r}D then 0 else 1 end"),
-        "kind": F.expr("if(fuel = 'natural_gas', 2, 0) + if(units > 1, 1, 0)"),
+        "kind": F.expr(KIND),
     })
     return d.drop("_most")
 
 
+def limits(site: str = "site") -> dict[str, str]:
+    """SQL of what a `site` of `in_brief` says of thresholds: all that hits and stops by offsets hang on. least_at is the least of all,
+    soft_at of SOFT, hard_at the greatest of HARD where each of them is one whose offsets stop a plant."""
+    at, least = lambda p: f"{site}.{p}_at", lambda of: of[0] if len(of) == 1 else f"least({', '.join(of)})"
+    hard, most = " and ".join(f"{site}.{p}_code % 2 = 0" for p in HARD), f"greatest({', '.join(at(p) for p in HARD)}, 0D)"
+    held = {f"{p}_{x}": f"{site}.{p}_{x}" for p in EMITTED for x in ("at", "code")} | {"strict": f"{site}.strict"}
+    return held | {"least_at": least([at(p) for p in EMITTED]), "soft_at": least([at(p) for p in SOFT]), "hard_at": f"if({hard}, {most}, null)"}
+
+
 def brief(site: str = "site", best: str = "best") -> dict[str, str]:
     """SQL of a decision by a plant of `design_in_brief` and a `site` of `in_brief`, in the order in which it is worked out.
 
     best is the greatest ratio of an emission to a threshold, asked for only where offsets can stop a plant; tough whether they
-    do (the first hit of that ratio has strict offsets). rank, months and n_stops need `best`, `rank` and `tough` before them.
+    do (the first hit of that ratio has strict offsets); hit whether any emission is over a threshold. rank, months and n_stops need `best`, `rank` and `tough` before them.
     """
     ratio, hit = lambda p: f"{p}_tpy / {site}.{p}_at", lambda p: f"{p}_tpy >= {site}.{p}_at"
-    most = f"greatest({', '.join(f'if({hit(p)}, {ratio(p)}, null)' for p in _EMITTED)})"
-    first = f"least({', '.join(f'if({ratio(p)} = {best}, {site}.{p}_code, null)' for p in _EMITTED)})"
+    most = f"greatest({', '.join(f'if({hit(p)}, {ratio(p)}, null)' for p in EMITTED)})"
+    first = f"least({', '.join(f'if({ratio(p)} = {best}, {site}.{p}_code, null)' for p in EMITTED)})"
     return {
+        "hit": " or ".join(hit(p) for p in EMITTED),
         "best": f"if({site}.strict, {most}, null)",
         "tough": f"if({best} is null, 0, if({first} % 2 = 0, 1, 0))",
-        "rank": f"if({' or '.join(hit(p) for p in _EMITTED)}, 4, if({site}.by_rule, rank_by_rule, rank_plain))",
+        "rank": f"if({' or '.join(hit(p) for p in EMITTED)}, 4, if({site}.by_rule, rank_by_rule, rank_plain))",
         "months": f"{site}.months[rank * 4 + kind]",
         "n_stops": f"{site}.stops[kind div 2] + tough",
     }

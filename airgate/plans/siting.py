@@ -42,8 +42,8 @@ def _tried(spark, sf_dir):
     """Every plant with the candidates around it; plants are designed once they have met them, as narrow rows."""
     located = pathway.with_overlay(derived.sites(spark, sf_dir)).join(_worst(spark, sf_dir), "fips", "left")
     li, places = derived.read(spark, sf_dir, "lineitem"), sitesearch.around(_candidates(spark, sf_dir), located)
-    plants = emissions.estimate(derived.designed(li.join(places, li.l_suppkey == places.origin), "places"))
-    return sitesearch.tried(pathway.design_in_brief(plants), *_PLANT)
+    plants = sitesearch.of_kind(derived.designed(li.join(places, li.l_suppkey == places.origin), "kinds", "limits"))
+    return sitesearch.tried(pathway.design_in_brief(emissions.estimate(plants)), *_PLANT)
 
 
 @registered(f"""WITH {SQL['sites']}, {_POINTS} SELECT origin, seq, ring_km, bearing, round(plat + 1e-7::DOUBLE, 4) AS lat, round(plon + 1e-7::DOUBLE, 4) AS lon FROM points""")

@@ -104,3 +104,31 @@ def test_the_search_stops_at_the_first_minor_site(spark):
     assert rows[0]["rank"] == 4 and rows[3]["rank"] <= 1 and {s for s, r in rows.items() if r["kept"]} == {1, 2, 3}
     out = sitesearch.outcome(found).first()
     assert (out["read"], out["best"], out["stopped_early"], out["blocked"]) == (3, 4, True, 1)
+
+
+def test_decisions_by_distinct_thresholds_are_those_in_full(spark, sf):
+    from airgate.operators import emissions, pathway
+    from airgate.sources import derived
+
+    ozone, soft = (None, "extreme", "severe-15", "serious", "moderate", None), (None, "serious", "moderate")
+    rows = [(k, ("GA", "CA", "TX", "NJ")[k % 4], "x", k % 7 == 0, "hostile" if k % 3 else "by-right", float(k * 5 % 40), ozone[k % 6]) for k in range(1, 25)]
+    places = located(spark, rows)
+    for j, p in enumerate(("pm25", "pm10", "co", "so2")):
+        held = F.lit(None).cast("string")
+        for k in range(1, 25):
+            held = F.when(F.col("site_id") == k, soft[(k + j) // (j + 1) % 3]).otherwise(held)
+        places = places.withColumn(f"{p}_class", held)
+    around = candidates(spark, [(k - 1, k, k * 7 % 5) for k in range(1, 25)])
+    pte = emissions.estimate(derived.plants(spark, sf).where("pmod(xxhash64(plant_id), 10) = 0").withColumn("l_suppkey", F.lit(1).cast("long")))
+    # Plants are compared with distinct thresholds, and what is kept of a candidate is a number.
+    laid = sitesearch.around(around, places)
+    one = laid.select(F.size("limits").alias("limits"), F.size(F.col("kinds")[0]["places"]).alias("places")).first()
+    assert 5 < one["limits"] < one["places"] == 24
+    held = sitesearch.tried(sitesearch.of_kind(pathway.design_in_brief(pte.join(laid, F.col("l_suppkey") == F.col("origin")))), "plant_id")
+    assert held.schema["read"].dataType.simpleString() == "array<int>"
+    names = ["plant_id", "parcel", "rank", "months_likely", "n_stops"]
+    found = sitesearch.searched(pte, around, places).select(*names)
+    full = pathway.decide(pte.crossJoin(places)).select("plant_id", F.col("site_id").alias("parcel"), "rank", "months_likely", F.size("stops").alias("n_stops"))
+    want = set(map(tuple, full.collect()))
+    got = list(map(tuple, found.collect()))
+    assert set(got) <= want and len(set(got)) > 1_000 and {r[2] for r in got} >= {1, 3, 4}
